@@ -37,15 +37,29 @@ def lenient_double(text: Column) -> Column:
     return F.when(trimmed.rlike(_NUMBER), trimmed.try_cast("double"))
 
 
-def lenient_position(name: Column) -> tuple[Column, Column, Column]:
-    """East, north and heading of an ``@``-separated name; null where unreadable."""
-    parts = F.split(file_stem(name), "@")
-    skip = F.when(F.element_at(parts, 1) == "", 1).otherwise(0)
+def _fields(name: Column) -> Column:
+    return F.split(file_stem(name), "@")
 
-    def field(index: int) -> Column:
-        return lenient_double(F.try_element_at(parts, skip + F.lit(index + 1)))
 
-    return field(0), field(1), field(8)
+def _once(value: Column, build) -> Column:
+    """``build(value)`` with *value* computed a single time per row."""
+    return F.element_at(F.transform(F.array(value), build), 1)
+
+
+def lenient_position(name: Column) -> Column:
+    """Struct of utm_east, utm_north, heading of an ``@``-name; null where unreadable."""
+
+    def build(parts: Column) -> Column:
+        skip = F.when(F.element_at(parts, 1) == "", 1).otherwise(0)
+
+        def field(index: int) -> Column:
+            return lenient_double(F.try_element_at(parts, skip + F.lit(index + 1)))
+
+        return F.struct(
+            field(0).alias("utm_east"), field(1).alias("utm_north"), field(8).alias("heading")
+        )
+
+    return _once(_fields(name), build)
 
 
 def strict_pitts(name: Column) -> Column:
@@ -54,34 +68,39 @@ def strict_pitts(name: Column) -> Column:
     ``problem`` is null for a well-formed name.  The heading is derived from the
     yaw view: view 1 looks to 0 degrees and each further view adds 30.
     """
-    parts = F.split(file_stem(name), "@")
-
-    def field(index: int) -> Column:
-        return F.try_element_at(parts, F.lit(index + 1))
-
-    east, north = lenient_double(field(1)), lenient_double(field(2))
-    tile_text = field(8)
-    tile = F.when(tile_text != "", F.trim(tile_text).try_cast("int"))
-    note = field(14)
-    pitch = F.regexp_extract(note, PITTS_NOTE_PATTERN, 1).try_cast("int")
-    yaw = F.regexp_extract(note, PITTS_NOTE_PATTERN, 2).try_cast("int")
-    problem = (
-        F.when(F.size(parts) < PITTS_MIN_FIELDS, F.lit("too few fields"))
-        .when(east.isNull() | north.isNull(), F.lit("position is not a number"))
-        .when((tile_text != "") & tile.isNull(), F.lit("tile is not a number"))
-        .when(~F.coalesce(note.rlike(PITTS_NOTE_PATTERN), F.lit(False)), F.lit("pitch and yaw not found"))
-        .when(~yaw.between(1, YAW_VIEWS), F.lit("yaw out of range"))
-    )
-    return F.struct(
-        east.alias("utm_east"),
-        north.alias("utm_north"),
-        ((yaw - 1) * YAW_STEP_DEGREES).cast("double").alias("heading"),
-        pitch.alias("pitch_index"),
-        yaw.alias("yaw_index"),
-        tile.alias("tile_num"),
-        field(7).alias("pano_id"),
-        problem.alias("problem"),
-    )
+
+    def build(parts: Column) -> Column:
+        def field(index: int) -> Column:
+            return F.try_element_at(parts, F.lit(index + 1))
+
+        def view(group: int) -> Column:
+            return F.regexp_extract(field(14), PITTS_NOTE_PATTERN, group).try_cast("int")
+
+        return F.struct(
+            F.size(parts).alias("n"), lenient_double(field(1)).alias("utm_east"),
+            lenient_double(field(2)).alias("utm_north"), view(1).alias("pitch_index"),
+            view(2).alias("yaw_index"), field(8).alias("tile_text"),
+            F.trim(field(8)).try_cast("int").alias("tile"), field(7).alias("pano_id"),
+        )
+
+    def judge(p: Column) -> Column:
+        has_tile = p["tile_text"] != ""
+        problem = (
+            F.when(p["n"] < PITTS_MIN_FIELDS, F.lit("too few fields"))
+            .when(p["utm_east"].isNull() | p["utm_north"].isNull(), F.lit("position is not a number"))
+            .when(has_tile & p["tile"].isNull(), F.lit("tile is not a number"))
+            .when(p["yaw_index"].isNull() | p["pitch_index"].isNull(), F.lit("pitch and yaw not found"))
+            .when(~p["yaw_index"].between(1, YAW_VIEWS), F.lit("yaw out of range"))
+        )
+        return F.struct(
+            p["utm_east"].alias("utm_east"), p["utm_north"].alias("utm_north"),
+            ((p["yaw_index"] - 1) * YAW_STEP_DEGREES).cast("double").alias("heading"),
+            p["pitch_index"].alias("pitch_index"), p["yaw_index"].alias("yaw_index"),
+            F.when(has_tile, p["tile"]).alias("tile_num"), p["pano_id"].alias("pano_id"),
+            problem.alias("problem"),
+        )
+
+    return _once(_once(_fields(name), build), judge)
 
 
 def relative_path(path: Column, *bases: str) -> Column:
@@ -130,8 +149,11 @@ def metric_label(name: Column) -> Column:
 
 
 def percent_text(name: Column, value: Column) -> Column:
-    """One decimal; recalls are shown in percent."""
-    shown = F.when(is_recall_metric(name), value * 100).otherwise(value)
-    return F.format_string("%.1f", shown)
+    """One decimal, halves to even; recalls are shown in percent."""
+    return one_decimal(F.when(is_recall_metric(name), value * 100).otherwise(value))
+
+
+def one_decimal(value: Column) -> Column:
+    return F.format_string("%.1f", F.bround(value, 1))
 
 

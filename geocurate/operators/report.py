@@ -43,7 +43,7 @@ def recall_report(results: DataFrame) -> DataFrame:
 
 def recall_table(report: DataFrame, metrics: list[str]) -> DataFrame:
     """One line per run and dataset, one text column per metric in percent."""
-    shown = report.withColumn("text", F.format_string("%.1f", F.col("value") * 100))
+    shown = report.withColumn("text", N.one_decimal(F.col("value") * 100))
     return shown.groupBy("run", "dataset").pivot("metric", metrics).agg(F.first("text")).fillna("-", metrics)
 
 

@@ -12,7 +12,7 @@ from geocurate.functions import geo
 from geocurate.functions import names as N
 from geocurate.operators import checks
 from geocurate.operators.ids import codes, dense_ids
-from geocurate.runtime import path_exists, qualified
+from geocurate.runtime import path_exists, qualified, stage
 
 
 def scan_images(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
@@ -48,11 +48,10 @@ def base_dirs(spark: SparkSession, *bases: str) -> list[str]:
 
 def named_manifest(paths: DataFrame, source: str, *bases: str) -> DataFrame:
     """Manifest of files whose names carry position and heading."""
-    east, north, heading = N.lenient_position(N.file_name(F.col("path")))
-    return in_walk_order(paths).select(
+    parsed = in_walk_order(paths).withColumn("p", N.lenient_position(N.file_name(F.col("path"))))
+    return parsed.select(
         "image_id", N.relative_path(F.col("path"), *bases).alias("image_path"),
-        east.alias("utm_east"), north.alias("utm_north"), heading.alias("heading"),
-        F.lit(source).alias("source"),
+        "p.utm_east", "p.utm_north", "p.heading", F.lit(source).alias("source"),
     )
 
 
@@ -82,13 +81,13 @@ def pitts_manifest(
     east = F.when(F.col("p.problem").isNotNull(), F.raise_error(message).cast("double")).otherwise(
         F.col("p.utm_east")
     )
-    rows = parsed.select(
+    rows = stage(parsed.select(
         "image_id", N.relative_path(F.col("path"), *bases).alias("image_path"),
         east.alias("utm_east"), F.col("p.utm_north").alias("utm_north"), F.col("p.heading").alias("heading"),
         F.col("p.pitch_index").alias("pitch_index"), F.col("p.yaw_index").alias("yaw_index"),
         F.col("p.tile_num").alias("tile_num"), F.col("p.pano_id").alias("pano_id"),
         F.lit(source).alias("source"),
-    )
+    ), "parsed").df
     binned = rows.select(
         "*", geo.cell(F.col("utm_east"), cell_m).alias("_e"), geo.cell(F.col("utm_north"), cell_m).alias("_n"),
         geo.wrapped_heading_bucket(F.col("heading"), angle_deg).alias("_h"),
@@ -115,10 +114,10 @@ def read_pitts(
 
 def eval_manifest(paths: DataFrame, *bases: str) -> DataFrame:
     """Query / database manifest: root 0 holds the queries, root 1 the database."""
-    east, north, _ = N.lenient_position(N.file_name(F.col("path")))
-    return in_walk_order(paths).select(
+    parsed = in_walk_order(paths).withColumn("p", N.lenient_position(N.file_name(F.col("path"))))
+    return parsed.select(
         "image_id", N.relative_path(F.col("path"), *bases).alias("image_path"),
-        (F.col("root") == 0).alias("is_query"), east.alias("utm_east"), north.alias("utm_north"),
+        (F.col("root") == 0).alias("is_query"), "p.utm_east", "p.utm_north",
     )
 
 

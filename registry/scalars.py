@@ -57,9 +57,10 @@ def pitts_name(yaws: int = 12):
     CASE WHEN image_id % 13 = 0 THEN NULL ELSE heading END AS angle FROM shots""",
 )
 def lenient_names(spark, sf):
-    east, north, angle = N.lenient_position(F.col("name"))
-    return W.shots(spark, sf).select("image_id", lenient_name().alias("name")).select(
-        "image_id", east.alias("east"), north.alias("north"), angle.alias("angle")
+    named = W.shots(spark, sf).select("image_id", N.lenient_position(lenient_name()).alias("p"))
+    return named.select(
+        "image_id", F.col("p.utm_east").alias("east"), F.col("p.utm_north").alias("north"),
+        F.col("p.heading").alias("angle"),
     )
 
 
@@ -314,8 +315,8 @@ def uniform_supergroups(spark, sf):
     W.ctes(W.SHOTS) + "SELECT count(*) FILTER (image_id % 13 = 0) AS missing, count(*) AS total FROM shots",
 )
 def missing_headings(spark, sf):
-    _, _, angle = N.lenient_position(lenient_name())
-    return checks.missing_heading_count(W.shots(spark, sf).withColumn("heading", angle))
+    parsed = W.shots(spark, sf).select(N.lenient_position(lenient_name()).alias("p")).select("p.heading")
+    return checks.missing_heading_count(parsed)
 
 
 @query(
