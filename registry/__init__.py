@@ -19,7 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("scalars", "readers", "assignment", "curating")
+_MODULES = ("scalars", "readers", "assignment", "curating", "retrieving", "batching")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
