@@ -193,3 +193,70 @@ def value_histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
         df.filter(F.col(column).isNotNull())
         .groupBy(index.cast("int").alias("bin")).agg(F.count("*").alias("count"))
     )
+
+
+def row_profile(images: DataFrame, group: str = "place_id", rows: int | None = None) -> DataFrame:
+    """Per image: lowest, mean and highest cosine to the other images of its group.
+
+    These are the row statistics of the similarity matrix of each place; the matrix
+    itself is returned for chosen places by :func:`similarity_matrix`.
+    """
+
+    def profile(row: dict) -> dict:
+        left, right, sim, other = _similarities(row)
+        n = other.sum(axis=1)
+        return {
+            "image_id": B.column(left, "id"), "n": n,
+            "low": np.where(other, sim, np.inf).min(axis=1),
+            "total": np.where(other, sim, 0.0).sum(axis=1),
+            "high": np.where(other, sim, -np.inf).max(axis=1),
+        }
+
+    rows = rows or B.rows_per_block(B.vector_size(images, "embedding"))
+    blocks = stage(B.pack(images, [group], "image_id", ["embedding"], rows), "image_blocks")
+    part = _run(
+        B.pair_up(blocks.df, [group], ordered=True), group, profile,
+        [("image_id", pa.int64()), ("n", pa.int64()), ("low", pa.float64()),
+         ("total", pa.float64()), ("high", pa.float64())],
+        "image_id long, n long, low double, total double, high double",
+    )
+    out = part.groupBy(group, "image_id").agg(
+        F.min("low").alias("low"), (F.sum("total") / F.sum("n")).alias("mean"),
+        F.max("high").alias("high"), F.sum("n").alias("_n"),
+    ).filter(F.col("_n") > 0).drop("_n")
+    with arrow_rows(images.sparkSession, B.BATCH_BLOCKS):
+        result = stage(out, "row_profile").df
+    blocks.drop()
+    return result
+
+
+def similarity_matrix(images: DataFrame, place_ids: list[int], rows: int | None = None) -> DataFrame:
+    """Cosine matrix of the named places: (place_id, image_id, others, similarities).
+
+    A row of the matrix comes in parts of at most one block.
+    """
+
+    def lines(row: dict) -> dict:
+        left, right, sim, _ = _similarities(row)
+        others = B.column(right, "id")
+        return {
+            "image_id": B.column(left, "id"), "others": [others] * len(sim), "similarities": list(sim),
+        }
+
+    chosen = images.filter(F.col("place_id").isin(*place_ids))
+    rows = rows or B.rows_per_block(B.vector_size(images, "embedding"))
+    blocks = stage(B.pack(chosen, ["place_id"], "image_id", ["embedding"], rows), "image_blocks")
+    out = _run(
+        B.pair_up(blocks.df, ["place_id"], ordered=True), "place_id", lines,
+        [("image_id", pa.int64()), ("others", pa.list_(pa.int64())), ("similarities", pa.list_(pa.float64()))],
+        "image_id long, others array<long>, similarities array<double>",
+    )
+    with arrow_rows(images.sparkSession, B.BATCH_BLOCKS):
+        return stage(out, "similarity_matrix").df
+
+
+def _similarities(row: dict):
+    left, right = B.fields(row["left"]), B.fields(row["right"])
+    sim = B.unit_rows(B.matrix(left, "embedding"), 1e-12) @ B.unit_rows(B.matrix(right, "embedding"), 1e-12).T
+    other = B.column(left, "id")[:, None] != B.column(right, "id")[None, :]
+    return left, right, sim, other

@@ -19,7 +19,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-_MODULES = ("scalars", "readers", "assignment", "curating", "retrieving", "batching")
+_MODULES = (
+    "scalars", "readers", "assignment", "curating", "retrieving", "batching", "profiling", "reporting",
+)
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -200,12 +200,12 @@ def city_allow_list(spark, sf):
     "combined_sources",
     W.ctes(W.SHOTS)
     + """SELECT row_number() OVER (ORDER BY CASE source WHEN 'msls' THEN 0 ELSE 1 END, image_id) - 1 AS image_id, image_path,
-    CASE WHEN source = 'pitts30k' THEN image_id % 9 END AS place_id FROM shots WHERE source IN ('msls', 'pitts30k')""",
+    CASE WHEN source <> 'msls' THEN image_id % 9 END AS place_id FROM shots""",
 )
 def combined_sources(spark, sf):
     shots = W.shots(spark, sf)
     first = shots.filter("source = 'msls'")
-    second = shots.filter("source = 'pitts30k'").withColumn("place_id", F.col("image_id") % 9)
+    second = shots.filter("source <> 'msls'").withColumn("place_id", F.col("image_id") % 9)
     return places.combine([first, second]).select("image_id", "image_path", "place_id")
 
 

@@ -93,16 +93,17 @@ def recall_at_k(spark, sf):
     "mean_first_recall",
     RECALL_SQL
     + """SELECT round(avg(r), 9) AS mean_r1 FROM (SELECT CAST(count(*) FILTER (first <= 1) AS DOUBLE) / count(*) AS r FROM first_hits
-    GROUP BY query_id % 4)""",
+    JOIN img_eval ON image_id = query_id GROUP BY source)""",
 )
 def mean_first_recall(spark, sf):
-    """R@1 per query set (four of them here), averaged."""
+    """R@1 per query set (the sources of the queries), averaged."""
     queries, database = sides(spark, sf)
+    origin = W.img_eval(spark, sf).select("image_id", "source")
     gold = matches.radius_pairs(W.img_eval(spark, sf), 10)
     found = stage(retrieval.knn(queries, database, 10), "found").df
     parts = [
-        retrieval.recall_at(found, gold, queries.filter(F.col("image_id") % 4 == r), database, [1])
-        for r in (0, 2)
+        retrieval.recall_at(found, gold, queries.join(origin.filter(F.col("source") == s), "image_id"), database, [1])
+        for s in W.QUERY_SOURCES
     ]
     return retrieval.mean_r1(reduce(DataFrame.unionByName, parts)).select(F.round("mean_r1", 9).alias("mean_r1"))
 

@@ -13,6 +13,7 @@ NORTH0 = 4180000.0
 CELL_M = 50.0
 HEADING_DEG = 60.0
 SOURCES = ("gsvcities", "sf_xl", "pitts30k", "msls")
+QUERY_SOURCES = ("gsvcities", "pitts30k")  # query numbers of img are even
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
