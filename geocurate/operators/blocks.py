@@ -33,12 +33,20 @@ def vector_size(df: DataFrame, vector: str) -> int:
 
 
 def pack(
-    df: DataFrame, group: Sequence[str], id_col: str, values: Sequence[str], rows: int
+    df: DataFrame, group: Sequence[str], id_col: str, values: Sequence[str], rows: int,
+    one_block: bool = False,
 ) -> DataFrame:
     """Blocks of about *rows* rows: (group..., blk, nblk, rows array<struct>).
 
     The block of a row is a hash of its id, so a hot group is spread without a sort.
+    With *one_block* the caller knows that no group exceeds a block.
     """
+    content = F.array_sort(
+        F.collect_list(F.struct(F.col(id_col).alias("id"), *[F.col(v) for v in values]))
+    ).alias("rows")
+    if one_block:
+        packed = df.groupBy(*group).agg(content)
+        return packed.select(*group, F.lit(0).alias("blk"), F.lit(1).alias("nblk"), "rows")
     sizes = df.groupBy(*group).agg(
         F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("nblk")
     )
@@ -46,11 +54,7 @@ def pack(
         df.join(sizes, list(group))
         .withColumn("blk", F.pmod(F.xxhash64(id_col), F.col("nblk")).cast("int"))
         .groupBy(*group, "blk", "nblk")
-        .agg(
-            F.array_sort(
-                F.collect_list(F.struct(F.col(id_col).alias("id"), *[F.col(v) for v in values]))
-            ).alias("rows")
-        )
+        .agg(content)
     )
 
 

@@ -78,14 +78,6 @@ def require_images_per_place(images: DataFrame, per_place: int, keys: Sequence[s
     return images
 
 
-def require_nonnegative_cells(df: DataFrame) -> DataFrame:
-    """The linear place key is one-to-one only for non-negative y and heading cells."""
-    n = df.filter((F.col("cell_y") < 0) | (F.coalesce("cell_h", F.lit(0)) < 0)).count()
-    if n:
-        raise DataCheckError(f"{n} rows have a negative cell index")
-    return df
-
-
 def city_prefix_collisions(df: DataFrame, prefix: int) -> DataFrame:
     """City rows whose own place number reaches into the next city's prefix."""
     return df.filter(F.col("place_id") >= prefix)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -27,18 +28,40 @@ def add_cells(df: DataFrame, cell_m: float, heading_deg: float | None = None) ->
     return out
 
 
-def linear_place_key(df: DataFrame, use_heading: bool = True) -> DataFrame:
+@dataclass(frozen=True)
+class GridExtent:
+    """What one pass over gridded rows finds: counts of bad rows and the radices."""
+
+    rows: int
+    missing_heading: int
+    negative: int
+    n_y: int
+    n_h: int
+
+
+def grid_extent(df: DataFrame, use_heading: bool = True) -> GridExtent:
+    heading = checks.is_missing("heading") if use_heading else F.lit(False)
+    cell_h = F.col("cell_h") if use_heading else F.lit(0).cast("long")
+    row = df.agg(
+        F.count("*").alias("rows"), F.count_if(heading).alias("missing_heading"),
+        F.count_if((F.col("cell_y") < 0) | (cell_h < 0)).alias("negative"),
+        F.coalesce(F.max("cell_y") + 1, F.lit(1)).alias("n_y"), F.coalesce(F.max(cell_h) + 1, F.lit(1)).alias("n_h"),
+    ).first()
+    return GridExtent(**row.asDict())
+
+
+def linear_place_key(df: DataFrame, use_heading: bool = True, extent: GridExtent | None = None) -> DataFrame:
     """Add ``place_id`` as the mixed-radix number of the cell.
 
-    The radices are the largest cell indices plus one, read by scalar subqueries.
+    The radices are the largest cell indices plus one; the key is one-to-one for
+    non-negative y and heading cells.
     """
-    n_y = (df.agg(F.max("cell_y")).scalar() + 1).cast("long")
+    extent = extent or grid_extent(df, use_heading)
     if use_heading:
-        n_h = (df.agg(F.max("cell_h")).scalar() + 1).cast("long")
-        key = F.col("cell_x") * (n_y * n_h) + F.col("cell_y") * n_h + F.col("cell_h")
+        key = (F.col("cell_x") * extent.n_y + F.col("cell_y")) * extent.n_h + F.col("cell_h")
     else:
-        key = F.col("cell_x") * n_y + F.col("cell_y")
-    return df.withColumn("place_id", key)
+        key = F.col("cell_x") * extent.n_y + F.col("cell_y")
+    return df.withColumn("place_id", key.cast("long"))
 
 
 def assign_places(
@@ -53,26 +76,27 @@ def assign_places(
     renumbered from 0.  The other rows get the key of their grid cell, shifted past
     the existing numbers.  All rows end with cell columns.  Equal coordinates of two
     UTM zones share a cell unless *zone_col* separates them.
+
+    One aggregate over the new rows checks headings and cells and finds the radices.
     """
     use_heading = heading_deg is not None
-    if "place_id" not in df.columns:
-        existing, fresh = None, df.withColumn("place_id", F.lit(None).cast("long"))
-    else:
-        existing = df.filter(F.col("place_id").isNotNull())
-        fresh = df.filter(F.col("place_id").isNull())
-    if use_heading:
-        checks.require_heading(fresh, "place assignment")
-    gridded = add_cells(fresh.drop("place_id"), cell_m, heading_deg)
-    checks.require_nonnegative_cells(gridded if use_heading else gridded.withColumn("cell_h", F.lit(0)))
-    keyed = linear_place_key(gridded, use_heading)
+    has_places = "place_id" in df.columns
+    fresh = df.filter(F.col("place_id").isNull()).drop("place_id") if has_places else df
+    gridded = add_cells(fresh, cell_m, heading_deg)
+    extent = grid_extent(gridded, use_heading)
+    if extent.missing_heading:
+        raise checks.DataCheckError(
+            f"place assignment: {extent.missing_heading} of {extent.rows} images are missing a heading value"
+        )
+    if extent.negative:
+        raise checks.DataCheckError(f"place assignment: {extent.negative} rows have a negative cell index")
+    keyed = linear_place_key(gridded, use_heading, extent)
     if zone_col:
-        keyed = factorize(keyed, [zone_col, "place_id"], "place_id_zoned")
-        keyed = keyed.drop("place_id").withColumnRenamed("place_id_zoned", "place_id")
-    if existing is None:
+        keyed = factorize(keyed, [zone_col, "place_id"], "place_id")
+    if not has_places:
         return keyed
-    kept = factorize_sources(add_cells(existing, cell_m, heading_deg))
-    shifted = offset_by_existing(keyed, kept, "place_id")
-    return kept.unionByName(shifted, allowMissingColumns=True)
+    kept = factorize_sources(add_cells(df.filter(F.col("place_id").isNotNull()), cell_m, heading_deg))
+    return kept.unionByName(offset_by_existing(keyed, kept, "place_id"), allowMissingColumns=True)
 
 
 def factorize_sources(df: DataFrame) -> DataFrame:

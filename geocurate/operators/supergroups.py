@@ -97,11 +97,12 @@ def spherical_kmeans(
     blocks are replicated to salts and joined by shuffle.
     """
     spark = points.sparkSession
-    dim = B.vector_size(points, vector)
-    rows = rows or B.rows_per_block(dim)
     unit = stage(
         points.select(id_col, group_col, V.l2_normalize(F.col(vector), 1e-8).alias("v")), "unit_points"
     )
+    share = stage(share.select(group_col, "k"), "share").df
+    dim = B.vector_size(unit.df, "v")
+    rows = rows or B.rows_per_block(dim)
     packed = stage(B.pack(unit.df, [group_col], id_col, ["v"], rows), "point_blocks")
     bounds = share.agg(F.max("k").alias("top"), F.sum("k").alias("total")).first()
     broadcast = bounds["total"] * dim * 8 <= max_broadcast_bytes
@@ -122,7 +123,7 @@ def spherical_kmeans(
     unit.drop()
 
     def paired(current: DataFrame) -> DataFrame:
-        centre = B.pack(current, [group_col], "cluster", ["v"], rows).select(
+        centre = B.pack(current, [group_col], "cluster", ["v"], rows, one_block).select(
             group_col, F.col("blk").alias("cblk"), F.col("rows").alias("right")
         )
         left = packed.df.select(group_col, "blk", F.col("rows").alias("left"))

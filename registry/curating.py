@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from geocurate.functions import vectors as V
 from geocurate.operators import aggregate, coherence, places, supergroups
 from geocurate.plans import curation
+from geocurate.runtime import stage
 from registry import query
 from registry import views as W
 from registry.readers import fresh
@@ -196,7 +197,7 @@ KMEANS = W.ctes(
 
 
 def _clustering_input(spark, sf):
-    placed = placed_img(spark, sf)
+    placed = stage(placed_img(spark, sf), "placed").df
     table = supergroups.outer_groups(places.cells_of_places(placed), 2, 2)
     points = table.select("place_id", "outer_group").join(aggregate.place_embeddings(placed), "place_id")
     return points, supergroups.allocate_k(table, 2)
@@ -222,9 +223,10 @@ def spherical_kmeans_by_shuffle(spark, sf):
     + "SELECT image_id, first + cluster AS supergroup_id FROM img_placed JOIN labels USING (place_id) JOIN share USING (outer_group)",
 )
 def supergroup_assignment(spark, sf):
-    placed = placed_img(spark, sf)
+    placed = stage(placed_img(spark, sf), "placed").df
+    vectors = stage(aggregate.place_embeddings(placed), "place_vectors").df
     out = supergroups.assign_supergroups(
-        placed, aggregate.place_embeddings(placed), size=2, spatial=2, angular=2, max_iter=3
+        placed, vectors, size=2, spatial=2, angular=2, max_iter=3
     )
     return out.select("image_id", "supergroup_id")
 
