@@ -116,10 +116,14 @@ def _below(path: Column, prefix: str) -> Column:
 
 
 def walk_key(path: Column) -> Column:
-    """Sort key of a depth-first walk: files of a folder before its subfolders."""
-    parts = F.split(path, "/")
-    return F.transform(
-        parts, lambda part, i: F.struct((i < F.size(parts) - 1).alias("folder"), part.alias("name"))
+    """Sort key of a depth-first walk: files of a folder before its subfolders.
+
+    Folder names are marked 1 and the file name 0 behind a NUL, which no name holds
+    and which sorts before every other character.
+    """
+    folder = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+    return F.concat(
+        F.replace(folder, F.lit("/"), F.lit("\u00001")), F.lit("\u00000"), file_name(path)
     )
 
 

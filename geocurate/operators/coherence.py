@@ -26,8 +26,39 @@ _EPS = 1e-12  # floor of the norm when similarities are taken
 MAX_TASK_VALUES = 16_000_000
 
 
-def coherence(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Add ``coherence``: mean cosine to the other images of the place (null if alone)."""
+def coherence(
+    df: DataFrame, vector: str = "embedding", keep_vector: bool = False,
+    max_task_values: int = MAX_TASK_VALUES,
+) -> DataFrame:
+    """Add ``coherence``: mean cosine to the other images of the place (null if alone).
+
+    Places that fit a task are scored there, from one shuffle on ``place_id``.  For
+    larger ones the place sum is aggregated map-side and joined back.
+    """
+    small, large = _by_size(df, vector, max_task_values)
+    scored = _stream_scores(small, vector, keep_vector)
+    if large is None:
+        return scored
+    rest = _joined_scores(large, vector)
+    return scored.unionByName(rest if keep_vector else rest.drop(vector))
+
+
+def _by_size(df: DataFrame, vector: str, max_task_values: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of places that fit a task, and rows of larger places (None if there are none)."""
+    limit = task_rows(_width(df, vector), max_task_values)
+    large = stage(
+        places.place_sizes(df).filter(F.col("num_images") > limit).select("place_id"), "large_places"
+    ).df
+    if large.isEmpty():
+        return df, None
+    return df.join(large, "place_id", "left_anti"), df.join(large, "place_id", "left_semi")
+
+
+def task_rows(dim: int, max_task_values: int = MAX_TASK_VALUES) -> int:
+    return max(2, max_task_values // max(1, dim))
+
+
+def _joined_scores(df: DataFrame, vector: str) -> DataFrame:
     unit = df.withColumn("_u", V.l2_normalize(F.col(vector), _EPS))
     sums = unit.groupBy("place_id").agg(
         F.count("*").alias("_n"), V.sum_vector(F.col("_u")).alias("_s")
@@ -41,6 +72,26 @@ def coherence(df: DataFrame, vector: str = "embedding") -> DataFrame:
     )
 
 
+def _stream_scores(df: DataFrame, vector: str, keep_vector: bool) -> DataFrame:
+    out = [f for f in df.schema.fields if keep_vector or f.name != vector]
+    names = [f.name for f in out]
+    ordered = df.repartition("place_id").sortWithinPartitions("place_id", "image_id")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_places(batches):
+            u, parts = _units(table, vector)
+            score = np.full(len(u), np.nan)
+            for rows in parts:
+                if len(rows) > 1:
+                    x = u[rows]
+                    score[rows] = (x @ x.sum(axis=0) - np.einsum("ij,ij->i", x, x)) / (len(rows) - 1)
+            column = pa.array(score, from_pandas=True)
+            yield from table.select(names).append_column("coherence", column).to_batches()
+
+    schema = T.StructType([*out, T.StructField("coherence", T.DoubleType())])
+    return ordered.mapInArrow(scored, schema)
+
+
 def coherence_filter(
     df: DataFrame,
     tau: float = 0.3,
@@ -58,23 +109,20 @@ def coherence_filter(
     Places that fit a task are filtered there, streamed from one shuffle on
     ``place_id``.  Larger places never meet in one task: see :func:`_rounds`.
     """
+    small, large = _by_size(df, vector, max_task_values)
+    kept = _stream(small, tau, min_images, vector, keep_vector)
+    if large is None:
+        return kept
+    candidates = min(round_candidates, task_rows(_width(large, vector), max_task_values))
+    dropped = _rounds(large, tau, vector, candidates)
+    rest = large.join(dropped, ["place_id", "image_id"], "left_anti")
+    rest = places.min_images(rest, min_images)
+    return kept.unionByName(rest if keep_vector else rest.drop(vector))
+
+
+def _width(df: DataFrame, vector: str) -> int:
     head = df.select(F.size(vector).alias("d")).first()
-    if head is None:
-        return df if keep_vector else df.drop(vector)
-    dim = max(1, head["d"])
-    limit = max(2, max_task_values // dim)
-    large = places.place_sizes(df).filter(F.col("num_images") > limit).select("place_id")
-    large = stage(large, "large_places").df
-    if large.isEmpty():
-        return _stream(df, tau, min_images, vector, keep_vector)
-    small = df.join(large, "place_id", "left_anti")
-    rest = df.join(large, "place_id", "left_semi")
-    dropped = _rounds(rest, tau, vector, min(round_candidates, limit))
-    kept = rest.join(dropped, ["place_id", "image_id"], "left_anti")
-    kept = places.min_images(kept, min_images)
-    if not keep_vector:
-        kept = kept.drop(vector)
-    return _stream(small, tau, min_images, vector, keep_vector).unionByName(kept)
+    return head["d"] if head else 1
 
 
 # -- places that fit a task ---------------------------------------------------
@@ -118,14 +166,19 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     return np.asarray(flat, dtype=np.float64).reshape(rows, -1)
 
 
-def _keep_mask(table: pa.Table, vector: str, tau: float, min_images: int) -> np.ndarray:
+def _units(table: pa.Table, vector: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Unit vectors of a table of whole places, and the rows of each place."""
     place = table.column("place_id").to_numpy()
     x = _matrix(table.column(vector), len(place))
     x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), _EPS)
-    cuts = np.flatnonzero(np.diff(place)) + 1
-    keep = np.ones(len(place), dtype=bool)
-    for rows in np.split(np.arange(len(place)), cuts):
-        alive = _greedy(x[rows], tau)
+    return x, np.split(np.arange(len(place)), np.flatnonzero(np.diff(place)) + 1)
+
+
+def _keep_mask(table: pa.Table, vector: str, tau: float, min_images: int) -> np.ndarray:
+    u, parts = _units(table, vector)
+    keep = np.ones(len(u), dtype=bool)
+    for rows in parts:
+        alive = _greedy(u[rows], tau)
         keep[rows] = alive if alive.sum() >= min_images else False
     return keep
 
