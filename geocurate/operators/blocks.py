@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geocurate.runtime import stage
+
 BLOCK_VALUES = 2_000_000
 BLOCK_ROWS = 2048
 
@@ -39,6 +41,8 @@ def pack(
     """Blocks of about *rows* rows: (group..., blk, nblk, rows array<struct>).
 
     The block of a row is a hash of its id, so a hot group is spread without a sort.
+    The block counts are written, so that Spark sees their size: while they are small
+    they are broadcast and the rows are shuffled once, by block.
     With *one_block* the caller knows that no group exceeds a block.
     """
     content = F.array_sort(
@@ -47,9 +51,9 @@ def pack(
     if one_block:
         packed = df.groupBy(*group).agg(content)
         return packed.select(*group, F.lit(0).alias("blk"), F.lit(1).alias("nblk"), "rows")
-    sizes = df.groupBy(*group).agg(
-        F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("nblk")
-    )
+    sizes = stage(
+        df.groupBy(*group).agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias("nblk")), "block_counts"
+    ).df
     return (
         df.join(sizes, list(group))
         .withColumn("blk", F.pmod(F.xxhash64(id_col), F.col("nblk")).cast("int"))

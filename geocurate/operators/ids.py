@@ -49,10 +49,11 @@ def rank_in_group(
     """Running number 0.. of each row inside its group.
 
     A group of any size is spread over the range partitions: the rank is the dense
-    number over (group, order) minus the first number of the group.
+    number over (group, order) minus the first number of the group.  The first numbers
+    are written, so that Spark sees their size and broadcasts them only if small.
     """
     numbered = dense_ids(df, [*group, *order], rank_col)
-    firsts = numbered.groupBy(*group).agg(F.min(rank_col).alias("_first"))
+    firsts = stage(numbered.groupBy(*group).agg(F.min(rank_col).alias("_first")), "firsts").df
     return (
         numbered.join(firsts, list(group))
         .withColumn(rank_col, F.col(rank_col) - F.col("_first"))

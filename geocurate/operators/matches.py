@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geocurate.runtime import stage
+
 CELL_ROWS = 4096
 
 
@@ -41,11 +43,12 @@ def radius_pairs(images: DataFrame, radius_m: float, cell_rows: int = CELL_ROWS)
     def fragments(n: str):
         return F.ceil(F.col(n) / F.lit(cell_rows)).cast("int")
 
-    cells = (
+    cells = stage(
         database.groupBy("cx", "cy").agg(F.count("*").alias("nd"))
         .join(queries.groupBy("cx", "cy").agg(F.count("*").alias("nq")), ["cx", "cy"])
-        .select("cx", "cy", fragments("nd").alias("fd"), fragments("nq").alias("fq"))
-    )
+        .select("cx", "cy", fragments("nd").alias("fd"), fragments("nq").alias("fq")),
+        "cells",
+    ).df
 
     def own(id_col: str, n: str):
         return F.pmod(F.xxhash64(id_col), F.col(n)).cast("int")

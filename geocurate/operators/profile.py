@@ -119,23 +119,16 @@ def train_totals(df: DataFrame) -> DataFrame:
 
 
 def train_summary(df: DataFrame) -> DataFrame:
-    """One nested row: totals, schema, and a block per source and per supergroup.
+    """One nested row: totals, schema and a block per source.
 
-    The per-supergroup blocks form a map in this single row, as large as the number
-    of supergroups; :func:`supergroup_stats` is the same data as a table.
+    The blocks per supergroup are the rows of :func:`supergroup_stats`: their number
+    grows with the data, so they are a table and not part of this row.
     """
     stats = ["mean", "min", "max", "median"]
     out = train_totals(df).select(
         _schema_struct(df).alias("schema"), "num_images", "num_places", "num_supergroups",
         _stats(stats).alias("images_per_place"),
     )
-    block = F.struct("num_images", "num_places", _stats(stats).alias("images_per_place"))
-    if "supergroup_id" in df.columns:
-        table = _as_map(
-            supergroup_stats(df), F.concat(F.lit("supergroup_"), F.col("supergroup_id").cast("string")),
-            block, "supergroups",
-        )
-        out = out.withColumn("supergroups", table.scalar())
     if "source" in df.columns:
         block = F.struct(
             "num_images", "num_places", _stats(stats).alias("images_per_place"),

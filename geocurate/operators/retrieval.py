@@ -86,12 +86,8 @@ def _search(queries, database, k, vector, scores, max_broadcast_bytes, rows) ->
     )
     d = database.select("image_id", F.col(vector).alias("v"))
     element = d.schema["v"].dataType.elementType.simpleString()
-    with arrow_rows(spark, rows):
-        packed = stage(
-            d.mapInArrow(_pack_local, f"part array<struct<id:bigint,v:array<{element}>>>"),
-            "database_blocks",
-        )
-    left = packed.df.select(
+    packed = d.mapInArrow(_pack_local(rows), f"part array<struct<id:bigint,v:array<{element}>>>")
+    left = packed.select(
         F.col("part").alias("left"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qblk"),
     )
@@ -106,18 +102,34 @@ def _search(queries, database, k, vector, scores, max_broadcast_bytes, rows) ->
         B.per_row(_best_k(k, scores), _HITS), "query_id long, database_id long, score double"
     )
     with arrow_rows(spark, B.BATCH_BLOCKS):
-        result = stage(top_k(hits, k), "neighbours")
-    packed.drop()
-    return result.df
-
-
-def _pack_local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            vector = batch.column("v")
-            rows = pa.StructArray.from_arrays([batch.column("image_id"), vector], names=["id", "v"])
-            part = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)
-            yield pa.RecordBatch.from_arrays([part], names=["part"])
+        return stage(top_k(hits, k), "neighbours").df
+
+
+def _pack_local(rows: int):
+    """Arrow batches of a partition as blocks of *rows* rows, in the order they come."""
+
+    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        columns = [table.column(c).chunk(0) for c in ("image_id", "v")]
+        packed = pa.StructArray.from_arrays(columns, names=["id", "v"])
+        part = pa.ListArray.from_arrays(pa.array([0, len(packed)], pa.int32()), packed)
+        return pa.RecordBatch.from_arrays([part], names=["part"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n >= rows:
+                yield block(held)
+                held, n = [], 0
+        if held:
+            yield block(held)
+
+    return run
 
 
 def _cosine_scores(q: pa.StructArray, d: pa.StructArray) -> np.ndarray:

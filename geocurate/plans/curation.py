@@ -87,6 +87,7 @@ def build_train_set(
     result = curate(images, store, params)
     sinks.save_train(result.images, root, name)
     sinks.save_summary(profile.train_summary(result.images), root, "train", name)
+    sinks.save_summary(profile.supergroup_stats(result.images), root, "train", name, "supergroups")
     sinks.save_summary(profile.source_stats(result.images), root, "train", name, "sources")
     if params.supergroup_size is not None:
         centroids = stage(profile.place_centroids(result.images), "centroids").df

@@ -56,7 +56,7 @@ def save_test(df: DataFrame, root: str, name: str) -> str:
 
 def save_summary(summary: DataFrame, root: str, split: str, name: str, kind: str = "summary") -> str:
     path = f"{root}/{split}/{name}/{kind}"
-    summary.coalesce(1).write.mode("overwrite").json(path)
+    summary.write.mode("overwrite").json(path)
     return path
 
 

@@ -77,14 +77,13 @@ def supergroup_stats(spark, sf):
     "train_summary",
     GROUPED
     + """SELECT count(*) AS num_images, count(DISTINCT place_id) AS num_places, count(DISTINCT supergroup_id) AS num_supergroups,
-    11 AS num_columns, count(DISTINCT supergroup_id) AS supergroup_blocks, count(DISTINCT source) AS source_blocks,
+    11 AS num_columns, count(DISTINCT source) AS source_blocks,
     (SELECT median(n) FROM (SELECT count(*) AS n FROM shots_grouped GROUP BY place_id)) AS median FROM shots_grouped""",
 )
 def train_summary(spark, sf):
     summary = profile.train_summary(grouped(spark, sf))
     return summary.select(
         "num_images", "num_places", "num_supergroups", F.size("schema.columns").alias("num_columns"),
-        F.size("supergroups").cast("long").alias("supergroup_blocks"),
         F.size("sources").cast("long").alias("source_blocks"), F.col("images_per_place.median").alias("median"),
     )
 
