@@ -32,3 +32,13 @@ def place_embeddings(
     if normalize:
         out = out.withColumn("embedding", V.l2_normalize(F.col("embedding")))
     return out
+
+
+def carried_embeddings(kept: DataFrame, normalize: bool = True) -> DataFrame:
+    """Place vectors from the ``place_mean`` that the coherence filter left behind."""
+    means = kept.filter(F.col("place_mean").isNotNull()).select(
+        "place_id", F.col("place_mean").alias("embedding")
+    )
+    if normalize:
+        means = means.withColumn("embedding", V.l2_normalize(F.col("embedding")))
+    return means

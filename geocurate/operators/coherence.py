@@ -100,23 +100,33 @@ def coherence_filter(
     keep_vector: bool = False,
     max_task_values: int = MAX_TASK_VALUES,
     round_candidates: int = 4096,
+    place_mean: bool = False,
 ) -> DataFrame:
     """Drop the least coherent image of each place until every image reaches *tau*.
 
     After each drop the remaining images are scored again.  Ties go to the smallest
     image id.  Places left with fewer than *min_images* images are removed.
 
+    With *place_mean* the first survivor of a place carries the mean of the raw
+    vectors of all survivors in ``place_mean`` (null on the others), so that place
+    embeddings need no second pass over the vectors.
+
     Places that fit a task are filtered there, streamed from one shuffle on
     ``place_id``.  Larger places never meet in one task: see :func:`_rounds`.
     """
     small, large = _by_size(df, vector, max_task_values)
-    kept = _stream(small, tau, min_images, vector, keep_vector)
+    kept = _stream(small, tau, min_images, vector, keep_vector, place_mean)
     if large is None:
         return kept
     candidates = min(round_candidates, task_rows(_width(large, vector), max_task_values))
     dropped = _rounds(large, tau, vector, candidates)
     rest = large.join(dropped, ["place_id", "image_id"], "left_anti")
     rest = places.min_images(rest, min_images)
+    if place_mean:
+        means = rest.groupBy("place_id").agg(
+            F.min("image_id").alias("image_id"), V.mean_vector(F.col(vector)).alias("place_mean")
+        )
+        rest = rest.join(means, ["place_id", "image_id"], "left").select(*rest.columns, "place_mean")
     return kept.unionByName(rest if keep_vector else rest.drop(vector))
 
 
@@ -128,16 +138,24 @@ def _width(df: DataFrame, vector: str) -> int:
 # -- places that fit a task ---------------------------------------------------
 
 
-def _stream(df: DataFrame, tau: float, min_images: int, vector: str, keep_vector: bool) -> DataFrame:
+def _stream(
+    df: DataFrame, tau: float, min_images: int, vector: str, keep_vector: bool, place_mean: bool
+) -> DataFrame:
     out = [f for f in df.schema.fields if keep_vector or f.name != vector]
     names = [f.name for f in out]
     ordered = df.repartition("place_id").sortWithinPartitions("place_id", "image_id")
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_places(batches):
-            keep = _keep_mask(table, vector, tau, min_images)
-            yield from table.select(names).filter(pa.array(keep)).to_batches()
-
+            keep, means = _keep_mask(table, vector, tau, min_images, place_mean)
+            kept = table.select(names)
+            if place_mean:
+                column = pa.array(means, type=pa.list_(pa.float64()))
+                kept = kept.append_column("place_mean", column)
+            yield from kept.filter(pa.array(keep)).to_batches()
+
+    if place_mean:
+        out = [*out, T.StructField("place_mean", T.ArrayType(T.DoubleType()))]
     return ordered.mapInArrow(survivors, T.StructType(out))
 
 
@@ -168,19 +186,30 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
 
 def _units(table: pa.Table, vector: str) -> tuple[np.ndarray, list[np.ndarray]]:
     """Unit vectors of a table of whole places, and the rows of each place."""
+    x = _matrix(table.column(vector), table.num_rows)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), _EPS), _parts(table)
+
+
+def _parts(table: pa.Table) -> list[np.ndarray]:
     place = table.column("place_id").to_numpy()
-    x = _matrix(table.column(vector), len(place))
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), _EPS)
-    return x, np.split(np.arange(len(place)), np.flatnonzero(np.diff(place)) + 1)
-
-
-def _keep_mask(table: pa.Table, vector: str, tau: float, min_images: int) -> np.ndarray:
-    u, parts = _units(table, vector)
-    keep = np.ones(len(u), dtype=bool)
-    for rows in parts:
-        alive = _greedy(u[rows], tau)
-        keep[rows] = alive if alive.sum() >= min_images else False
-    return keep
+    return np.split(np.arange(len(place)), np.flatnonzero(np.diff(place)) + 1)
+
+
+def _keep_mask(
+    table: pa.Table, vector: str, tau: float, min_images: int, place_mean: bool
+) -> tuple[np.ndarray, list[np.ndarray | None]]:
+    """Which rows stay, and the mean raw vector on the first survivor of each place."""
+    raw = _matrix(table.column(vector), table.num_rows)
+    u = raw / np.maximum(np.linalg.norm(raw, axis=1, keepdims=True), _EPS)
+    keep = np.zeros(len(u), dtype=bool)
+    means: list[np.ndarray | None] = [None] * len(u)
+    for rows in _parts(table):
+        alive = rows[_greedy(u[rows], tau)]
+        if len(alive) >= min_images:
+            keep[alive] = True
+            if place_mean and len(alive):
+                means[alive[0]] = raw[alive].mean(axis=0)
+    return keep, means
 
 
 def _greedy(u: np.ndarray, tau: float) -> np.ndarray:

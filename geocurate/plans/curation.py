@@ -56,20 +56,28 @@ class Curated:
 def curate(images: DataFrame, store: DataFrame, params: CurationParams = BASE) -> Curated:
     """Places, coherence filter, optional subsampling, place vectors and supergroups.
 
-    The vectors are joined from the store where they are needed; what is written
-    between the steps is the narrow manifest and one vector per place.
+    The vectors are joined from the store once and shuffled once by place; what is
+    written between the steps is the narrow manifest and one vector per place.  Only
+    subsampling after the filter, which can thin out a place, averages again.
     """
     if params.heading_deg is not None and "place_id" not in images.columns:
         require_heading(images, "curation")
     placed = stage(places.assign_places(images, params.cell_m, params.heading_deg), "placed").df
-    kept = coherence.staged_filter(
-        embed.attach(placed, store), tau=params.tau, min_images=params.min_images
+    kept = places.refactorize(
+        coherence.staged_filter(
+            embed.attach(placed, store), tau=params.tau, min_images=params.min_images,
+            place_mean=not params.subsample,
+        )
     )
-    kept = places.refactorize(kept)
     for source, fraction in params.subsample:
         kept = places.subsample_source_places(kept, source, fraction, params.seed)
     kept = stage(kept, "kept").df
-    vectors = stage(aggregate.place_embeddings(embed.attach(kept, store)), "place_vectors").df
+    if params.subsample:
+        means = aggregate.place_embeddings(embed.attach(kept, store))
+    else:
+        means = aggregate.carried_embeddings(kept)
+        kept = kept.drop("place_mean")
+    vectors = stage(means, "place_vectors").df
     if params.supergroup_size is None:
         grouped = places.uniform_supergroup(kept)
     else:

@@ -41,6 +41,18 @@ def rows_of(names: list[str], rows) -> tuple[list[str], list[tuple[str, ...]]]:
     return [names[i] for i in order], sorted(tuple(_cell(r[i]) for i in order) for r in rows)
 
 
+_TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN",
+}
+
+
+def type_difference(df, description) -> str:
+    """Columns whose type differs between Spark and SQL."""
+    want = {d[0]: str(d[1]) for d in description}
+    got = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    return ", ".join(f"{c}: {t} != {want[c]}" for c, t in got.items() if c in want and want[c] != t)
+
+
 def compare(spark, con, sf: str, name: str) -> str:
     """Empty text if both sides agree, else the first difference."""
     got_df = registry.QUERIES[name](spark, sf)
@@ -56,6 +68,9 @@ def compare(spark, con, sf: str, name: str) -> str:
     for a, b in zip(*(side[1] for side in (got, want))):
         if a != b:
             return f"{a} != {b}"
+    types = type_difference(got_df, result.description)
+    if types:
+        return f"types differ, {types}"
     return "" if got[1] else "no rows on either side"
 
 
