@@ -71,20 +71,16 @@ def draw_images(
         .filter(F.col("_r") <= per_place)
         .drop("_h")
     )
-    sized = first.join(first.groupBy(*keys).agg(F.count("*").alias("_n")), list(keys))
-    full = sized.filter(F.col("_n") == per_place).select(
-        *keys, (F.col("_r") - 1).alias("slot"), "image_id"
+    # at most per_place images reach this aggregate, on the window's own partitioning
+    picked = first.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("_r", "image_id")))["image_id"].alias("_images")
     )
-    short = sized.filter(F.col("_n") < per_place)
-    slots = (
-        short.filter(F.col("_r") == 1)
-        .select(*keys, "_n", F.explode(F.sequence(F.lit(0), F.lit(per_place - 1))).alias("slot"))
-        .withColumn("_r", _pick(seed, [*keys, "slot"], F.col("_n")) + 1)
+    n = F.size("_images")
+    slots = picked.select(
+        *keys, "_images", F.explode(F.sequence(F.lit(0), F.lit(per_place - 1))).alias("slot")
     )
-    repeated = slots.join(short.select(*keys, "_r", "image_id"), [*keys, "_r"]).select(
-        *keys, "slot", "image_id"
-    )
-    return full.unionByName(repeated)
+    place = F.when(n == per_place, F.col("slot")).otherwise(_pick(seed, [*keys, "slot"], n))
+    return slots.select(*keys, "slot", F.element_at("_images", place + 1).alias("image_id"))
 
 
 def _pick(seed: int, keys: Sequence[str], n):

@@ -69,6 +69,9 @@ def qualified(spark: SparkSession, path: str) -> str:
     return fs.makeQualified(target).toString().rstrip("/")
 
 
+_created: list[str] = []
+
+
 @dataclass
 class Stage:
     """A DataFrame written to the shared folder; lineage ends here."""
@@ -77,9 +80,20 @@ class Stage:
     path: str
 
     def drop(self) -> None:
-        spark = self.df.sparkSession
-        target, fs = _hadoop_path(spark, self.path)
-        fs.delete(target, True)
+        _delete(self.df.sparkSession, self.path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target, fs = _hadoop_path(spark, path)
+    fs.delete(target, True)
+    if path in _created:
+        _created.remove(path)
+
+
+def drop_stages(spark: SparkSession) -> None:
+    """Delete the stages of this process that are left, once no result needs them."""
+    for path in list(_created):
+        _delete(spark, path)
 
 
 def stage(df: DataFrame, label: str) -> Stage:
@@ -90,6 +104,7 @@ def stage(df: DataFrame, label: str) -> Stage:
     """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
+    _created.append(path)
     return Stage(df.sparkSession.read.schema(df.schema).parquet(path), path)
 
 
