@@ -292,7 +292,7 @@ def distinct_place_cells(spark, sf):
 
 @query(
     "user_step",
-    PLACED + "SELECT place_id, count(*) AS num_images FROM shots_placed GROUP BY 1 HAVING count(*) > 10",
+    PLACED + "SELECT place_id, count(*) AS num_images FROM shots_placed GROUP BY 1 HAVING count(*) > 1",
 )
 def user_step(spark, sf):
     """Steps of the caller are functions from table to table."""
@@ -300,5 +300,5 @@ def user_step(spark, sf):
         W.shots(spark, sf)
         .transform(places.assign_places, W.CELL_M, W.HEADING_DEG)
         .transform(places.place_sizes)
-        .transform(lambda sizes: sizes.filter("num_images > 10"))
+        .transform(lambda sizes: sizes.filter("num_images > 1"))
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
@@ -75,7 +76,7 @@ def compare(spark, con, sf: str, name: str) -> str:
 
 
 def main(argv: list[str]) -> int:
-    sf = "/root/testdata/sf0.01"
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
     registry.load_all()
     spark = build_session(master="local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false",
