@@ -208,3 +208,22 @@ def _eval_set(split: str):
 
 for _split in ("val", "test"):
     query(f"{_split}_set", W.ctes(W.IMG_EVAL, MATCHES_SQL("img_eval", 10)) + _eval_set_sql(_split))(_eval_set(_split))
+
+
+@query(
+    "retrieved_overlaps_gold",
+    W.ctes(W.IMG_EVAL, MATCHES_SQL("img_eval", 10), KNN_SQL)
+    + """SELECT i.image_id, EXISTS (SELECT 1 FROM neighbours n JOIN pairs p USING (query_id, database_id)
+    WHERE n.query_id = i.image_id AND n.rank <= 5) AS hit FROM img_eval i WHERE is_query""",
+)
+def retrieved_overlaps_gold(spark, sf):
+    """Whether the first five of a query share an id with its gold set."""
+    queries, database = sides(spark, sf)
+    found = retrieval.knn(queries, database, 5).groupBy(F.col("query_id").alias("image_id")).agg(
+        F.collect_list("database_id").alias("found")
+    )
+    gold = matches.radius_pairs(W.img_eval(spark, sf), 10).groupBy(F.col("query_id").alias("image_id")).agg(
+        F.collect_list("database_id").alias("gold")
+    )
+    judged = queries.select("image_id").join(found, "image_id", "left").join(gold, "image_id", "left")
+    return judged.select("image_id", F.coalesce(F.arrays_overlap("found", "gold"), F.lit(False)).alias("hit"))
