@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from geocurate.llm import dedup
+from geocurate.llm import dedup, warc
 from geocurate.llm.common import table
+from geocurate.runtime import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -41,3 +42,25 @@ FROM hashed JOIN groups USING (text_sha256)
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as one delivery against a new, empty index."""
     return dedup.dedup(table(spark, sf_dir, "documents"), dedup.DigestIndex.open(spark))
+
+
+OP6_SQL = """
+WITH hashed AS (
+    SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+    FROM pages
+), holders AS (
+    SELECT payload_digest, max(page_id) AS holder FROM hashed GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN holder END AS refers_to
+FROM hashed JOIN holders USING (payload_digest)
+"""
+
+
+@query("op6_warc_archive", OP6_SQL)
+def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to a new archive, and the archive's records read back."""
+    path = new_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.describe(warc.parse_records(warc.read_records(spark, path)))
