@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from geocurate.llm import dedup, warc
+from geocurate.llm import dedup, secrets, warc
 from geocurate.llm.common import table
 from geocurate.runtime import new_path
 
@@ -64,3 +65,16 @@ def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
     return warc.describe(warc.parse_records(warc.read_records(spark, path)))
+
+
+@query("op7_secret_scan")
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest and positions of the secrets in every document."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of_kind = lambda k: F.filter("secrets", lambda s: s["kind"] == k)
+    count = lambda k: F.size(of_kind(k)).cast("long").alias(f"n_{k}")
+    base = F.filter("secrets", lambda s: s["kind"] != "entropy")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("secrets")).alias("spans"),
+    )
