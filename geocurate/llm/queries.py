@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geocurate.llm import dedup, secrets, warc
+from geocurate.llm import bpe, dedup, secrets, warc
 from geocurate.llm.common import table
 from geocurate.runtime import new_path
 
@@ -78,3 +79,17 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count("assign"), count("access"), count("hex"),
         F.sha2(secrets.span_text(base), 256).alias("base_sha256"), secrets.span_text(F.col("secrets")).alias("spans"),
     )
+
+
+@query("op1_byte_bpe")
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by the vocabulary for many languages, and their bytes, as digests."""
+    vocabulary = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ids = bpe.encode(docs, vocabulary, public_tokenizers.PATTERN).select("doc_id", "ids")
+    told = ids.select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+    )
+    decoded = bpe.decode(told, vocabulary, public_tokenizers.PATTERN)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
