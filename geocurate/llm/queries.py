@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geocurate.llm import bpe, dedup, secrets, warc
+from geocurate.llm import bpe, dedup, quality, secrets, warc
 from geocurate.llm.common import table
 from geocurate.runtime import new_path
 
@@ -93,3 +93,17 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     decoded = bpe.decode(told, vocabulary, public_tokenizers.PATTERN)
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def _held_out(modulus: int, rest: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % modulus == rest
+
+
+@query("op9_quality_ranking")
+def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a ranking learned from four fifths of the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranking = quality.train(docs, table(spark, sf_dir, "labels").filter(~_held_out(5, 0)))
+    return quality.rate(docs, ranking).withColumn("held_out", _held_out(5, 0)).select(
+        "doc_id", "held_out", "score", "predicted"
+    )
