@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geocurate.llm import bpe, dedup, quality, secrets, warc
+from geocurate.llm import bpe, decontaminate, dedup, quality, secrets, warc
 from geocurate.llm.common import table
 from geocurate.runtime import new_path
 
@@ -107,3 +107,9 @@ def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.rate(docs, ranking).withColumn("held_out", _held_out(5, 0)).select(
         "doc_id", "held_out", "score", "predicted"
     )
+
+
+@query("op10_decontamination")
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark item or a part of one, with the place and the edits."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
