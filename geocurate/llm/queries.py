@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geocurate.llm import bpe, decontaminate, dedup, quality, secrets, warc
+from geocurate.llm import bpe, decontaminate, dedup, quality, secrets, toxicity, warc
 from geocurate.llm.common import table
 from geocurate.runtime import new_path
 
@@ -113,3 +113,13 @@ def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item or a part of one, with the place and the edits."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a lexicon and a model learned from two thirds of the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judge = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~_held_out(3, 1)))
+    return toxicity.rate(docs, judge).withColumn("held_out", _held_out(3, 1)).select(
+        "doc_id", "held_out", "score", "predicted"
+    )
