@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geocurate.llm import bpe, decontaminate, dedup, quality, secrets, toxicity, warc
+from geocurate.llm import bpe, decontaminate, dedup, ngram_join, quality, secrets, toxicity, warc
 from geocurate.llm.common import table
 from geocurate.runtime import new_path
 
@@ -123,3 +123,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rate(docs, judge).withColumn("held_out", _held_out(3, 1)).select(
         "doc_id", "held_out", "score", "predicted"
     )
+
+
+@query("op2_ngram_jaccard_join")
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document by links of five-word shingles."""
+    return ngram_join.join(table(spark, sf_dir, "documents"))
