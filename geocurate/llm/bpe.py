@@ -10,9 +10,9 @@ unique, so a position that failed once is dead for good and the work stays linea
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -22,21 +22,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Entries of a worker's tables of pieces and of pairs; a full table is emptied, which costs time only.
-MEMO = 1 << 19
+MEMO = 1 << 18
 #: Characters of text whose ids are held at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 class _Pieces(dict):
-    """Piece of text -> ids."""
+    """Piece of text -> its ids as the bytes of 32-bit integers, which join without a list of numbers."""
 
     def __init__(self, coder: Coder):
         self.coder = coder
 
-    def __missing__(self, piece: str) -> list[int]:
+    def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMO:
             self.clear()
-        ids = self.coder.encode_piece(piece.encode("utf-8", "surrogatepass"))
+        ids = array("i", self.coder.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
         if len(piece) <= 64:
             self[piece] = ids
         return ids
@@ -54,6 +54,7 @@ class Coder:
         self.size = {rank: len(token) for token, rank in self.ranks.items()}
         self.find = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton()
+        self.words: dict[str, int] = {}
         #: The two tokens whose merge makes a token, where merges lead to it at all.
         self.halves: dict[int, tuple[int, int]] = {}
         for token, rank in self.ranks.items():
@@ -62,8 +63,10 @@ class Coder:
                 if len(halves) != 2 or self.merge(token) != [rank]:
                     continue  # stands for a whole piece only
                 self.halves[rank] = (halves[0], halves[1])
-            self.automaton.add_word(token.decode("latin-1"), rank)
-        self.automaton.make_automaton()
+            self.words[token.decode("latin-1")] = rank
+        for word, rank in self.words.items():
+            self.automaton.add_word(word, rank)
+        self.longest = max(map(len, self.words))
         #: Merges in order of rank: a token's parts are always older than itself.
         self.in_order = all(rank > max(half) or len(self.tokens[max(half)]) == 1 for rank, half in self.halves.items())
         self.edges: dict[tuple[int, int], list[tuple[bytes, int, int]]] = {}
@@ -133,28 +136,30 @@ class Coder:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        size, fit = self.size, self.fit
-        options: list[list[int]] = [[] for _ in piece]  # tokens that begin at each byte, longest last
-        for end, token in self.automaton.iter(piece.decode("latin-1")):
-            options[end + 1 - size[token]].append(token)
+        text, size, fit, known = piece.decode("latin-1"), self.size, self.fit, self.words.get
+        untried: dict[int, int] = {}  # at a byte, the greatest length not tried yet
         dead = bytearray(len(piece) + 1)
         chosen: list[int] = []
         at = 0
         while at < len(piece):
-            untried = options[at]
-            while untried:
-                token = untried.pop()
-                if not dead[at + size[token]] and (not chosen or fit(chosen[-1], token)):
+            length = untried.get(at, -1)
+            if length < 0:
+                length = self.automaton.longest_prefix(text[at:at + self.longest])
+            while length:
+                token = known(text[at:at + length])
+                if token is not None and not dead[at + length] and (not chosen or fit(chosen[-1], token)):
+                    untried[at] = length - 1
                     chosen.append(token)
-                    at += size[token]
+                    at += length
                     break
+                length -= 1
             else:
                 dead[at] = 1
                 at -= size[chosen.pop()]
         return chosen
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.pieces.__getitem__, self.find(text))))
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.find(text))), np.int32)
 
 
 @lru_cache(maxsize=2)
@@ -203,7 +208,7 @@ def encode(df: DataFrame, vocabulary: bytes, pattern: str, text_col: str = "text
             lengths = batch.column(text_col).cast(pa.large_string())
             sizes = np.diff(np.frombuffer(lengths.buffers()[1], np.int64)[lengths.offset:][:len(lengths) + 1])
             for part in _slices(batch, sizes, SLICE_CHARS):
-                rows = [np.array(coder.encode(t or ""), np.int32) for t in part.column(text_col).to_pylist()]
+                rows = [coder.encode(t or "") for t in part.column(text_col).to_pylist()]
                 offsets = np.zeros(len(rows) + 1, np.int32)
                 np.cumsum([len(r) for r in rows], out=offsets[1:])
                 values = np.concatenate(rows) if rows else np.zeros(0, np.int32)
@@ -219,9 +224,12 @@ def decode(df: DataFrame, vocabulary: bytes, pattern: str, ids_col: str = "ids",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = _coder(raw.value, pattern).tokens.__getitem__
         for batch in batches:
-            sizes = np.array([len(x) if x.is_valid else 0 for x in batch.column(ids_col)], np.int64)
+            lists = batch.column(ids_col)
+            sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
             for part in _slices(batch, sizes, SLICE_CHARS):
-                texts = [b"".join(map(token, row or ())) for row in part.column(ids_col).to_pylist()]
+                texts = [
+                    b"".join(map(token, row.values.to_numpy().tolist())) if row.is_valid else b"" for row in part.column(ids_col)
+                ]
                 yield _put(part, bytes_col, pa.array(texts, pa.binary()))
 
     return df.mapInArrow(run, _with(df.schema, bytes_col, T.BinaryType()))
