@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -218,6 +219,17 @@ def find(index: Index, texts: list[str]) -> dict[tuple[int, int], tuple[int, int
     return found
 
 
+def _indexes(benchmark: DataFrame, item_col: str, item_text_col: str, pass_chars: int) -> Iterator[Broadcast[Index]]:
+    """Indexes over the benchmark, part by part, so that what is sent at once is bounded."""
+    context = benchmark.sparkSession.sparkContext
+    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    items = items.filter("text IS NOT NULL AND item IS NOT NULL")
+    passes = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // pass_chars))
+    for turn in range(passes):
+        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == turn)
+        yield context.broadcast(Index.of(sorted((int(i), t) for i, t in part.collect())))
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", pass_chars: int = PASS_CHARS,
@@ -232,17 +244,11 @@ def leaks(
     No shuffle.  The benchmark goes to every task, `PASS_CHARS` characters of it in a pass
     over the documents, so what is broadcast is bounded whatever its size.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter("text IS NOT NULL AND item IS NOT NULL")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes = max(1, -(-total // pass_chars))
     kind = docs.schema[id_col].dataType
     schema = f"{id_col} {kind.simpleString()}, item_id bigint, start bigint, end bigint, edits bigint"
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     out = None
-    for turn in range(passes):
-        part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == turn)
-        index = spark.sparkContext.broadcast(Index.of(sorted((int(i), t) for i, t in part.collect())))
+    for index in _indexes(benchmark, item_col, item_text_col, pass_chars):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -256,3 +262,21 @@ def leaks(
         one = rows.mapInArrow(run, schema)
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def drop_leaky(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+    item_text_col: str = "text", pass_chars: int = PASS_CHARS,
+) -> DataFrame:
+    """The rows of *docs* in which `leaks` finds nothing, with their columns, without a join."""
+    for index in _indexes(benchmark, item_col, item_text_col, pass_chars):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = find(index.value, ["" if t is None else t for t in batch.column(text_col).to_pylist()])
+                clean = np.ones(batch.num_rows, bool)
+                clean[[row for row, _ in found]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
