@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geocurate.llm.common import components, join_lookup
+from geocurate.llm.words import MIX, mixed, word_hashes
 from geocurate.runtime import stage
 
 WORDS = 5
@@ -48,18 +49,6 @@ PAIRS_A_COPY = 500
 #: Bytes of text that are hashed together.
 SLICE = 1 << 21
 
-_BYTE = np.uint64(0x9E3779B97F4A7C15)
-_MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX_1
-    x = (x ^ (x >> np.uint64(27))) * _MIX_2
-    return x ^ (x >> np.uint64(31))
-
-
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
@@ -72,44 +61,18 @@ def shingles_of(text: str | None) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[i:] for i in range(WORDS))))
 
 
-_powers = np.zeros(0, np.uint64)
-
-
-def _powers_to(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.full(n, _BYTE, np.uint64))
-    return _powers[:n]
-
-
-def _word_hashes(raw: bytes) -> np.ndarray:
-    """64-bit hashes of the words of a text, by sums of bytes times powers."""
-    codes = np.frombuffer(raw, np.uint8)
-    solid = np.concatenate([[False], ~_SPACE[codes], [False]])
-    edges = np.flatnonzero(solid[1:] != solid[:-1])
-    starts, ends = edges[::2], edges[1::2]
-    powers = _powers_to(len(codes) + 1)
-    # the power of a byte counts from the end of its word
-    at = np.repeat(ends, ends - starts)
-    inside = np.flatnonzero(solid[1:-1])
-    parts = (codes[inside].astype(np.uint64) + np.uint64(1)) * powers[at - inside - 1]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(parts)])
-    total = np.concatenate([[0], np.cumsum(ends - starts)])
-    return _mixed(sums[total[1:]] - sums[total[:-1]])
-
-
 def shingle_hashes(text: str | None) -> np.ndarray:
     """The set as sorted distinct 64-bit hashes."""
     raw = (text or "").encode("utf-8", "surrogatepass").lower()
-    w = _word_hashes(raw) if raw else np.zeros(0, np.uint64)
+    w = word_hashes(raw) if raw else np.zeros(0, np.uint64)
     if not len(w):
         return w
     if len(w) < WORDS:
         w = np.concatenate([w, np.full(WORDS - len(w), 1 + len(w), np.uint64)])
     total = np.zeros(len(w) - WORDS + 1, np.uint64)
     for i in range(WORDS):
-        total = total * _MIX_1 + w[i:len(w) - WORDS + 1 + i]
-    return np.unique(_mixed(total))
+        total = total * MIX + w[i:len(w) - WORDS + 1 + i]
+    return np.unique(mixed(total))
 
 
 def prefix_length(n: int) -> int:

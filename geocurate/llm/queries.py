@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geocurate.llm import bpe, decontaminate, dedup, ngram_join, quality, secrets, toxicity, warc
+from geocurate.llm import bpe, decontaminate, dedup, lm, ngram_join, quality, secrets, toxicity, warc
 from geocurate.llm.common import table
 from geocurate.runtime import new_path
 
@@ -129,3 +129,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document by links of five-word shingles."""
     return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+@query("op4_pitman_yor_scores")
+def op4_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of six sevenths of them."""
+    held_out = F.coalesce(_held_out(7, 2), F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm.train(docs.filter(~held_out))
+    return lm.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.trained).cast("long").alias("train_tokens"),
+        "base_score", "score",
+    )
