@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geocurate.llm.common import components, join_lookup
+from geocurate.llm.common import components, join_lookup, release
 from geocurate.llm.words import MIX, mixed, word_hashes
 from geocurate.runtime import stage
 
@@ -153,32 +153,26 @@ def _frequent(rows: DataFrame, least: int) -> np.ndarray:
     return bits
 
 
-def _near_texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is in *ids* (distinct): a small broadcast thins them out before any text is shuffled."""
+def _thin(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id may be among *ids*: a small broadcast thins texts out before they are shuffled."""
     bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(ID_BUCKETS))
     buckets = ids.select(bucket("id").alias("_bucket")).distinct()
-    thin = rows.join(F.broadcast(buckets), bucket("id") == F.col("_bucket"), "left_semi")
-    return thin.join(ids, "id", "left_semi")
+    return rows.join(F.broadcast(buckets), bucket("id") == F.col("_bucket"), "left_semi")
 
 
 def _verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the *pairs* (a, b) that link, by their words.
+    """Those of the stored, distinct *pairs* (a, b) that link, by their words.
 
     The text of b travels to a's; a text that is in many pairs is copied, once for every
     `PAIRS_A_COPY` of them, so that no task gets more than its share.
     """
-    pairs = stage(pairs.distinct(), "pairs").df
     uses = stage(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("uses")), "uses").df
-    copies = F.ceil(F.col("uses") / PAIRS_A_COPY).cast("int")
-    ids = stage(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair_ids").df
-    texts = stage(_near_texts(rows, ids), "pair_texts").df
-    salted = join_lookup(pairs, uses, "a", "uses").withColumn("copy", F.pmod(F.xxhash64("b"), copies))
-    with_b = salted.select("a", "b", "copy").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    of_a = (
-        texts.withColumnRenamed("id", "a").join(uses, "a")
-        .select("a", F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0).cast("long"), copies.cast("long") - 1)).alias("copy"))
-    )
-    joined = with_b.join(of_a.hint("merge"), ["a", "copy"]).select("a", "b", "text_a", "text_b")
+    copies = F.ceil(F.col("uses") / PAIRS_A_COPY)
+    salted = join_lookup(pairs, uses, "a", "uses").select("a", "b", F.pmod(F.xxhash64("b"), copies).alias("copy"))
+    texts_b = _thin(rows, pairs.select(F.col("b").alias("id"))).select(F.col("id").alias("b"), F.col("text").alias("text_b"))
+    texts_a = _thin(rows, uses.select(F.col("a").alias("id"))).select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    of_a = texts_a.join(uses, "a").select("a", "text_a", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy"))
+    joined = salted.join(texts_b, "b").join(of_a.hint("merge"), ["a", "copy"]).select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_text, last = None, set()
@@ -293,20 +287,22 @@ def _search_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, representatives: DataFrame) -> DataFrame:
-    """Stored rows (key, id, n, size, first, first_n): the blocks of two documents or more."""
-    keyed = stage(_keys(rows, _frequent(rows, FREQUENT)).join(representatives.select("id"), "id", "left_semi"), "keyed").df
-    rare = keyed.select("id", "n", F.explode("rare").alias("key"))
+    """Stored rows (key, id, size, first): the blocks of two documents or more."""
+    keys = _keys(rows, _frequent(rows, FREQUENT)).drop("n")
+    keyed = stage(keys.join(representatives.select("id"), "id", "left_semi"), "keyed")
+    release(rows.sparkSession)
     whole = "OVER (PARTITION BY key)"  # a rare key has few documents
-    rare = rare.select(
-        "key", "id", "n", F.expr(f"count(*) {whole}").alias("size"), F.expr(f"min(struct(id, n)) {whole}").alias("head")
+    rare = keyed.df.select("id", F.explode("rare").alias("key")).select(
+        "key", "id", F.expr(f"count(*) {whole}").alias("size"), F.expr(f"min(id) {whole}").alias("first")
     ).filter("size > 1")
-    often = stage(keyed.select("id", "n", F.explode("often").alias("key")), "often").df
-    sizes = stage(
-        often.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("id", "n")).alias("head")), "often_sizes"
-    ).df
-    often = join_lookup(often, sizes, "key", "size").filter("size > 1")
-    both = rare.unionByName(often.select("key", "id", "n", "size", "head"))
-    return stage(both.select("key", "id", "n", "size", F.col("head.id").alias("first"), F.col("head.n").alias("first_n")), "blocks").df
+    often = stage(keyed.df.select("id", F.explode("often").alias("key")), "often")
+    sizes = stage(often.df.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")), "often_sizes").df
+    frequent = join_lookup(often.df, sizes, "key", "size").filter("size > 1")
+    blocks = stage(rare.unionByName(frequent.select("key", "id", "size", "first")), "blocks").df
+    for done in (keyed, often):
+        done.drop()
+    release(rows.sparkSession)
+    return blocks
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,20 +330,21 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     representatives = classes.filter("id IS NOT NULL").select("id").distinct()
     blocks = _blocks(rows, representatives)
 
-    # step 3: shingles shared with the head of the block bound the overlap from above for most pairs
-    after = lambda n: F.floor((4 * F.col(n) + 4) / 5) - 1
+    # step 3: the head that a document shares most with, if that is enough to make a link likely
+    sizes = profiles.groupBy("id").agg(F.max("n").alias("n"))
     stars = (
-        blocks.filter("id <> first").groupBy(F.col("first").alias("a"), F.col("id").alias("b"))
-        .agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"), F.max("first_n").alias("first_n"))
-        .filter(9 * (F.col("shared") + F.greatest(after("n"), after("first_n"))) >= 4 * (F.col("n") + F.col("first_n")))
+        blocks.filter("id <> first").groupBy(F.col("first").alias("a"), F.col("id").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+        .groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select("b", "best.a", "best.shared")
+        .join(sizes.withColumnRenamed("id", "b"), "b").filter(20 * F.col("shared") >= F.col("n"))
     )
-    links = stage(_verify(stars.select("a", "b"), rows), "star_links").df
+    links = stage(_verify(stage(stars.select("a", "b"), "stars").df, rows), "star_links").df
+    release(rows.sparkSession)
 
     # step 4: what is left are blocks with several components
     labels = components(links)
     labelled = stage(
-        blocks.select("key", "id", "n", "size").join(labels.withColumnRenamed("node", "id"), "id", "left")
-        .select("key", "id", "n", "size", F.coalesce("root", "id").alias("label")),
+        blocks.select("key", "id", "size").join(labels.withColumnRenamed("node", "id"), "id", "left")
+        .select("key", "id", "size", F.coalesce("root", "id").alias("label")),
         "labelled",
     ).df
     open_keys = stage(
@@ -355,14 +352,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         .filter("low <> high").select("key", "size"),
         "open_keys",
     ).df
-    points = profiles.select("id", "point").join(representatives, "id", "left_semi").dropDuplicates(["id"])
+    points = profiles.select("id", "n", "point").join(representatives, "id", "left_semi").dropDuplicates(["id"])
     open_rows = join_lookup(labelled.drop("size"), open_keys, "key", "size").join(points, "id")
     parts = F.ceil(F.col("size") / TREE_POINTS).cast("int")
     numbered = open_rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     cells = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "id", "label", "n", "point"
     )
-    more = stage(_verify(_search_blocks(cells), rows), "tree_links").df
+    candidates = stage(_search_blocks(cells).distinct(), "candidates").df
+    release(rows.sparkSession)
+    more = stage(_verify(candidates, rows), "tree_links").df
 
     roots = components(links.unionByName(more)).withColumnRenamed("node", "id")
     known = stage(
