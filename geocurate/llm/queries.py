@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geocurate.llm import bpe, decontaminate, dedup, lm, ngram_join, quality, secrets, toxicity, warc
+from geocurate.llm import bpe, decontaminate, dedup, lm, ngram_join, pii, quality, secrets, toxicity, warc
 from geocurate.llm.common import table
 from geocurate.runtime import new_path
 
@@ -141,3 +141,14 @@ def op4_pitman_yor_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.trained).cast("long").alias("train_tokens"),
         "base_score", "score",
     )
+
+
+#: Key of the pseudonyms in the query; a user of the operator keeps one secret.
+PII_KEY = "corpus"
+
+
+@query("op5_pii_pseudonyms")
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms for personal data, and how many of each kind were set."""
+    safe = pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+    return safe.select("doc_id", "text", *(F.col(f"personal.{kind}").alias(f"n_{kind}") for kind in pii.FORMS))
