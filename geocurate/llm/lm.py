@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geocurate.llm.words import word_hashes
+from geocurate.llm.words import MIX, mixed, word_hashes
 from geocurate.runtime import Stage, stage
 
 #: A word that makes up one token in so many is a context; so there are no more contexts than this.
@@ -100,14 +100,19 @@ def _table_weights(discount: float) -> np.ndarray:
     return weights
 
 
-def seat(c: np.ndarray, new_table: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Draw the number of tables of c customers who all eat one dish.
+def _uniform(noise: np.ndarray, step: int) -> np.ndarray:
+    """Numbers from 0 to 1 that depend on the row and the step only, so a task that is run again draws the same."""
+    return (mixed(noise + np.array([step + 1], np.uint64) * MIX) >> np.uint64(11)) * 2.0**-53
+
+
+def seat(c: np.ndarray, new_table: np.ndarray, discount: float, noise: np.ndarray) -> np.ndarray:
+    """Draw the number of tables of c customers who all eat one dish; *noise* is a random integer of each row.
 
     ``new_table`` is what a new table weighs for that dish.  Up to `EXACT` customers the draw
     is from the exact conditional distribution over all seatings; further ones arrive in groups of
-    a sixteenth, each group seated given those before.
+    a sixteenth, each group seated given those before, with the fraction of the expected number drawn.
     """
-    tables = np.minimum(c, 1)
+    tables, uniform = np.minimum(c, 1), _uniform(noise, 0)
     weights = _table_weights(discount)
     few = np.minimum(c, EXACT)
     order = np.argsort(few, kind="stable")
@@ -117,14 +122,16 @@ def seat(c: np.ndarray, new_table: np.ndarray, discount: float, rng: np.random.G
             rows = order[begin:min(begin + _CHUNK // n, cuts[n + 1])]
             score = weights[n, 1:n + 1] + np.log(new_table[rows])[:, None] * np.arange(1, n + 1)
             odds = np.exp(score - score.max(axis=1, keepdims=True)).cumsum(axis=1)
-            tables[rows] = 1 + (odds < rng.random(len(rows))[:, None] * odds[:, -1:]).sum(axis=1).clip(max=n - 1)
+            tables[rows] = 1 + (odds < uniform[rows, None] * odds[:, -1:]).sum(axis=1).clip(max=n - 1)
     many = np.flatnonzero(c > EXACT)
     seated = np.full(len(many), EXACT)
+    step = 0
     while len(many):
+        step += 1
         group = np.minimum(np.maximum(seated // 16, 1), c[many] - seated)
         weight = new_table[many]
         chance = weight / np.maximum(seated - discount * tables[many] + weight, 1e-12)
-        tables[many] += rng.binomial(group, np.clip(chance, 0, 1))
+        tables[many] += np.floor(group * np.clip(chance, 0, 1) + _uniform(noise[many], step)).astype(np.int64)
         seated = seated + group
         going = seated < c[many]
         many, seated = many[going], seated[going]
@@ -179,7 +186,8 @@ def _sweep(rows: DataFrame, totals: Totals, seed: int, keep: bool) -> DataFrame:
             lengths = np.diff(offsets)
             row = np.repeat(np.arange(len(w)), lengths)
             t, t0 = t.copy(), batch.column(4).to_numpy().copy()
-            rng = np.random.default_rng([seed, int(w.view(np.uint64).min() >> np.uint64(1)), len(w)])
+            dish = w.view(np.uint64) + np.uint64(seed + 1) * np.uint64(0x9E3779B97F4A7C15)
+            noise = mixed(dish[row] + (ctx + 1).astype(np.uint64) * MIX)
             for half in (0, 1):  # rows of one word see each other's tables
                 mine = np.flatnonzero((ctx + w[row]) % 2 == half)
                 root = np.add.reduceat(t, offsets[:-1])
@@ -187,10 +195,10 @@ def _sweep(rows: DataFrame, totals: Totals, seed: int, keep: bool) -> DataFrame:
                 rest0 = np.minimum(t0[row[mine]], c0)
                 base = (c0 - now.root_discount * rest0 + now.root_new) / (STRENGTH + now.root_customers - t[mine])
                 weight = (STRENGTH + now.discount * np.maximum(now.tables[ctx[mine]] - t[mine], 0)) * base
-                t[mine] = seat(c[mine], weight, now.discount, rng)
+                t[mine] = seat(c[mine], weight, now.discount, noise[mine])
             c0 = np.add.reduceat(t, offsets[:-1])
             new0 = (STRENGTH + now.root_discount * np.maximum(now.root_tables - t0, 0)) * now.uniform
-            t0 = seat(c0, new0, now.root_discount, rng)
+            t0 = seat(c0, new0, now.root_discount, mixed(dish))
             made = np.bincount(ctx, weights=t, minlength=places).astype(np.int64)
 
             def lists(values: np.ndarray) -> pa.Array:
