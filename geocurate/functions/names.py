@@ -134,11 +134,33 @@ def city_image_path(
     """Path of a city image, with the place number as it stands in the CSV."""
     name = F.format_string(
         CITY_IMAGE_FORMAT, city, place, year, month, north,
-        lat.cast("string"), lon.cast("string"), pano,
+        plain_number(lat), plain_number(lon), pano,
     )
     return F.concat(F.lit("Images/"), city, F.lit("/"), name)
 
 
+def plain_number(value: Column) -> Column:
+    """Shortest text of a double, with an exponent only below 1e-4 and from 1e16 on."""
+    text = value.cast("string")
+    size = F.abs(value)
+    digits = F.regexp_replace(F.regexp_extract(text, "^-?(.*)E", 1), r"\.0$|\.", "")
+    power = F.regexp_extract(text, "E(-?[0-9]+)$", 1).try_cast("int")
+    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit(""))
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    whole = F.concat(sign, F.rpad(digits, power + 1, "0"), F.lit(".0"))
+    # a number of 17 digits below 1e16 keeps its fraction
+    large = F.when(F.length(digits) <= power + 1, whole).otherwise(
+        F.concat(sign, F.substring(digits, F.lit(1), power + 1), F.lit("."), F.substring(digits, power + 2, F.length(digits)))
+    )
+    mantissa = F.regexp_replace(F.regexp_extract(text, "^(.*)E", 1), r"\.0$", "")
+    tail = F.concat(F.when(power < 0, F.lit("e-")).otherwise(F.lit("e+")), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return (
+        F.when(~F.contains(text, F.lit("E")), text)
+        .when((size >= 1e-4) & (size < 1), small).when((size >= 1) & (size < 1e16), large)
+        .otherwise(F.concat(mantissa, tail))
+    )
+
+
 def is_recall_metric(name: Column) -> Column:
     return F.contains(name, F.lit("/R@"))
 
@@ -158,6 +180,25 @@ def percent_text(name: Column, value: Column) -> Column:
 
 
 def one_decimal(value: Column) -> Column:
-    return F.format_string("%.1f", F.bround(value, 1))
+    """The double itself, not its short text, rounded to one decimal; exact ties go to the even digit.
+
+    Ten times the value is taken exactly as a sum of two doubles, so that the place of
+    the value between two tenths is known.
+    """
+    size = F.abs(value)
+    a, b = size * 8, size * 2
+    ten = a + b
+    high = ten - b  # two-sum: what the addition has lost
+    lost = (a - high) + (b - (ten - high))
+    low = F.floor(ten).cast("double")
+    beyond = ten - low - 0.5
+    odd = F.pmod(low, F.lit(2.0)) == 1.0
+    up = (beyond > 0) | ((beyond == 0) & ((lost > 0) | ((lost == 0) & odd)))
+    tenths = (low + up.cast("double")).cast("long")
+    text = F.concat(
+        F.when(value < 0, F.lit("-")).otherwise(F.lit("")), F.floor(tenths / 10).cast("string"), F.lit("."),
+        F.pmod(tenths, F.lit(10)).cast("string"),
+    )
+    return F.when(size < 1e14, text).otherwise(F.format_string("%.1f", value))
 
 

@@ -44,6 +44,28 @@ def require_keys(df: DataFrame, reference: DataFrame, keys: Sequence[str], label
     return df
 
 
+def vector_faults(images: DataFrame, store: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row: distinct keys of *images* that have no vector in *store*, or more than one.
+
+    Only keys are read and shuffled, never vectors.
+    """
+    held = store.select(*keys).groupBy(*keys).agg(F.count("*").alias("_held"))
+    wanted = images.select(*keys).distinct().join(held, list(keys), "left")
+    return wanted.agg(
+        F.count("*").alias("wanted"), F.count_if(F.col("_held").isNull()).alias("missing"),
+        F.count_if(F.col("_held") > 1).alias("doubled"),
+    )
+
+
+def require_vectors(images: DataFrame, store: DataFrame, keys: Sequence[str], label: str) -> None:
+    """Every image has exactly one stored vector."""
+    row = vector_faults(images, store, keys).first()
+    if row["missing"] or row["doubled"]:
+        raise DataCheckError(
+            f"{label}: of {row['wanted']} images {row['missing']} have no vector, {row['doubled']} have several"
+        )
+
+
 def mixed_batches(samples: DataFrame) -> DataFrame:
     """Batches that hold more than one supergroup."""
     return (

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geocurate.operators import checks
 from geocurate.runtime import path_exists
 from geocurate.schemas import IMAGE_EMBEDDINGS
 
@@ -56,5 +57,9 @@ def embed_missing(
 
 
 def attach(images: DataFrame, store: DataFrame) -> DataFrame:
-    """Images with their vector, joined on (source, image_path)."""
+    """Images with their vector, joined on (source, image_path).
+
+    An image without a vector, or with several, fails the call; no row is lost or doubled.
+    """
+    checks.require_vectors(images, store, ["source", "image_path"], "image vectors")
     return images.join(store.select("source", "image_path", "embedding"), ["source", "image_path"])

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geocurate.runtime import stage
@@ -67,12 +68,16 @@ def codes(df: DataFrame, keys: Sequence[str], code_col: str) -> DataFrame:
 
 
 def factorize(df: DataFrame, keys: Sequence[str], code_col: str) -> DataFrame:
-    """Add the contiguous 0-based code of *keys*, ordered by key."""
-    table = codes(df, keys, "_code")
+    """Add the contiguous 0-based code of *keys*, ordered by key.
+
+    Null is a key like any other and comes first, so no row is lost.
+    """
+    table = codes(df, keys, "_code").select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], "_code")
+    same = reduce(Column.__and__, [df[k].eqNullSafe(table[f"_key_{i}"]) for i, k in enumerate(keys)])
     return (
-        df.join(table, list(keys))
+        df.join(table, same)
         .withColumn(code_col, F.col("_code"))
-        .drop("_code")
+        .drop("_code", *[f"_key_{i}" for i in range(len(keys))])
     )
 
 

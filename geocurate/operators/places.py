@@ -33,6 +33,7 @@ class GridExtent:
     """What one pass over gridded rows finds: counts of bad rows and the radices."""
 
     rows: int
+    missing_position: int
     missing_heading: int
     negative: int
     n_y: int
@@ -42,8 +43,9 @@ class GridExtent:
 def grid_extent(df: DataFrame, use_heading: bool = True) -> GridExtent:
     heading = checks.is_missing("heading") if use_heading else F.lit(False)
     cell_h = F.col("cell_h") if use_heading else F.lit(0).cast("long")
+    lost = F.col("_lost") if "_lost" in df.columns else F.col("cell_x").isNull() | F.col("cell_y").isNull()
     row = df.agg(
-        F.count("*").alias("rows"), F.count_if(heading).alias("missing_heading"),
+        F.count("*").alias("rows"), F.count_if(lost).alias("missing_position"), F.count_if(heading).alias("missing_heading"),
         F.count_if((F.col("cell_y") < 0) | (cell_h < 0)).alias("negative"),
         F.coalesce(F.max("cell_y") + 1, F.lit(1)).alias("n_y"), F.coalesce(F.max(cell_h) + 1, F.lit(1)).alias("n_h"),
     ).first()
@@ -77,13 +79,24 @@ def assign_places(
     the existing numbers.  All rows end with cell columns.  Equal coordinates of two
     UTM zones share a cell unless *zone_col* separates them.
 
-    One aggregate over the new rows checks headings and cells and finds the radices.
+    One aggregate over the new rows checks positions, headings and cells and finds the
+    radices; a row that can't get a place fails the call, none is lost.
     """
     use_heading = heading_deg is not None
     has_places = "place_id" in df.columns
     fresh = df.filter(F.col("place_id").isNull()).drop("place_id") if has_places else df
-    gridded = add_cells(fresh, cell_m, heading_deg)
+    # a position may be missing only where the cell is given
+    lost = checks.is_missing("utm_east") | checks.is_missing("utm_north")
+    for cell in ("cell_x", "cell_y"):
+        if cell in fresh.columns:
+            lost = lost & F.col(cell).isNull()
+    gridded = add_cells(fresh.withColumn("_lost", lost), cell_m, heading_deg)
     extent = grid_extent(gridded, use_heading)
+    gridded = gridded.drop("_lost")
+    if extent.missing_position:
+        raise checks.DataCheckError(
+            f"place assignment: {extent.missing_position} of {extent.rows} images are missing a position"
+        )
     if extent.missing_heading:
         raise checks.DataCheckError(
             f"place assignment: {extent.missing_heading} of {extent.rows} images are missing a heading value"

@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 
 from geocurate.operators import aggregate, coherence, embed, matches, places, profile, retrieval, supergroups
-from geocurate.operators.checks import require_heading
+from geocurate.operators.checks import require_heading, require_vectors
 from geocurate.runtime import stage
 from geocurate.sources import sinks
 
@@ -117,7 +117,11 @@ def build_eval_set(
 
 
 def evaluate(matched: DataFrame, vectors: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
-    """Recall@k of a stored evaluation set for vectors keyed by image_id."""
+    """Recall@k of a stored evaluation set for vectors keyed by image_id.
+
+    Every image of the set needs exactly one vector, so no query leaves the denominator.
+    """
+    require_vectors(matched, vectors, ["image_id"], "evaluation")
     keyed = matched.select("image_id", "is_query").join(vectors.select("image_id", "embedding"), "image_id")
     queries = keyed.filter("is_query").select("image_id", "embedding")
     database = keyed.filter("not is_query").select("image_id", "embedding")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -43,6 +44,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -53,19 +57,20 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/geocurate/{label}-{uuid.uuid4().hex}"
 
 
-def _hadoop_path(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """The path, and the file system that holds it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    target, fs = _hadoop_path(spark, path)
+    target, fs = hadoop_path(spark, path)
     return bool(fs.exists(target))
 
 
 def qualified(spark: SparkSession, path: str) -> str:
     """Absolute form of *path* on its file system, without a trailing slash."""
-    target, fs = _hadoop_path(spark, path)
+    target, fs = hadoop_path(spark, path)
     return fs.makeQualified(target).toString().rstrip("/")
 
 
@@ -84,7 +89,7 @@ class Stage:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    target, fs = _hadoop_path(spark, path)
+    target, fs = hadoop_path(spark, path)
     fs.delete(target, True)
     if path in _created:
         _created.remove(path)

@@ -21,7 +21,7 @@ def local_place_ids(df: DataFrame) -> DataFrame:
         df.select("supergroup_id", "place_id").distinct(), ["supergroup_id"], ["place_id"], "_local"
     )
     return (
-        df.join(table.select("place_id", "_local"), "place_id")
+        df.join(table.select("supergroup_id", "place_id", "_local"), ["supergroup_id", "place_id"])
         .withColumn("place_id", F.col("_local")).drop("_local")
     )
 

@@ -31,9 +31,11 @@ def _write_tree(spark, sf) -> str:
     """One tiny image file per embedding; every second number lies one folder deeper."""
     root = fresh(spark, "tree").removeprefix("file:")
     i = F.col("image_id")
-    deeper = F.when(i % 2 == 0, F.concat(F.lit("sub"), (i % 3).cast("string"), F.lit("/"))).otherwise("")
+    folder = F.when(i % 3 == 1, "_sub").when(i % 3 == 2, ".sub").otherwise("sub")
+    deeper = F.when(i % 2 == 0, F.concat(folder, (i % 3).cast("string"), F.lit("/"))).otherwise("")
     extension = F.when(i % 17 == 0, ".txt").when(i % 5 == 0, ".JPG").otherwise(".png")
-    name = F.concat(F.lit(root + "/"), "source", F.lit("/"), deeper, F.lpad(i.cast("string"), 6, "0"), extension)
+    hidden = F.when(i % 7 == 0, "_").when(i % 11 == 0, ".").otherwise("")
+    name = F.concat(F.lit(root + "/"), "source", F.lit("/"), deeper, hidden, F.lpad(i.cast("string"), 6, "0"), extension)
     W.img(spark, sf).select(name.alias("path")).foreachPartition(_touch)
     return root
 
@@ -42,8 +44,8 @@ def _write_tree(spark, sf) -> str:
     "image_tree_scan",
     W.ctes(
         W.IMG,
-        """files AS (SELECT source, image_id % 2 = 0 AS deep, CASE WHEN image_id % 2 = 0 THEN 'sub' || CAST(image_id % 3 AS VARCHAR) ELSE '' END AS sub,
-        lpad(CAST(image_id AS VARCHAR), 6, '0') || CASE WHEN image_id % 5 = 0 THEN '.JPG' ELSE '.png' END AS name
+        """files AS (SELECT source, image_id % 2 = 0 AS deep, CASE WHEN image_id % 2 = 0 THEN CASE image_id % 3 WHEN 1 THEN '_' WHEN 2 THEN '.' ELSE '' END || 'sub' || CAST(image_id % 3 AS VARCHAR) ELSE '' END AS sub,
+        CASE WHEN image_id % 7 = 0 THEN '_' WHEN image_id % 11 = 0 THEN '.' ELSE '' END || lpad(CAST(image_id AS VARCHAR), 6, '0') || CASE WHEN image_id % 5 = 0 THEN '.JPG' ELSE '.png' END AS name
         FROM img WHERE image_id % 17 <> 0)""",
     )
     + """SELECT row_number() OVER (ORDER BY source, deep, sub, name) - 1 AS image_id,

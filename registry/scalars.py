@@ -130,15 +130,17 @@ def utm_positions(spark, sf):
     + """SELECT image_id, 'Images/' || source || '/' || source || '_' || lpad(CAST(image_id % 5000 AS VARCHAR), 7, '0')
     || '_' || CAST(2010 + image_id % 10 AS VARCHAR) || '_' || lpad(CAST(image_id % 12 + 1 AS VARCHAR), 2, '0')
     || '_' || lpad(CAST(CAST(heading AS INTEGER) AS VARCHAR), 3, '0') || '_' || CAST(utm_east / 16384e0 AS VARCHAR)
-    || '_' || CAST(-utm_north / 65536e0 AS VARCHAR) || '_pano' || CAST(image_id AS VARCHAR) || '.jpg' AS path FROM shots""",
+    || '_' || CAST(CASE WHEN image_id % 4 = 0 THEN (image_id % 100 - 50) / 100000e0 ELSE -utm_north / 65536e0 END AS VARCHAR) || '_pano' || CAST(image_id AS VARCHAR) || '.jpg' AS path FROM shots""",
 )
 def city_image_paths(spark, sf):
+    """Positions as they are, and every fourth one near the meridian of Greenwich."""
     i = F.col("image_id")
+    lon = F.when(i % 4 == 0, (i % 100 - 50) / F.lit(100000.0)).otherwise(-F.col("utm_north") / 65536.0)
     return W.shots(spark, sf).select(
         "image_id",
         N.city_image_path(
             F.col("source"), i % 5000, (2010 + i % 10).cast("int"), (i % 12 + 1).cast("int"),
-            F.col("heading").cast("int"), F.col("utm_east") / 16384.0, -F.col("utm_north") / 65536.0,
+            F.col("heading").cast("int"), F.col("utm_east") / 16384.0, lon,
             F.concat(F.lit("pano"), i.cast("string")),
         ).alias("path"),
     )
@@ -292,11 +294,10 @@ def metric_names(spark, sf):
 @query(
     "percent_texts",
     W.ctes(W.METRIC)
-    + """SELECT seq, format('{:.1f}', CASE WHEN contains(name, '/R@') THEN floor(value * 64) / 64 * 100 ELSE floor(value * 64) / 64 END) AS shown FROM metric""",
+    + """SELECT seq, format('{:.1f}', CASE WHEN contains(name, '/R@') THEN value * 100 ELSE value END) AS shown FROM metric""",
 )
 def percent_texts(spark, sf):
-    value = F.floor(F.col("value") * 64) / 64
-    return W.metric_results(spark, sf).select("seq", N.percent_text(F.col("name"), value).alias("shown"))
+    return W.metric_results(spark, sf).select("seq", N.percent_text(F.col("name"), F.col("value")).alias("shown"))
 
 
 @query(
