@@ -80,6 +80,11 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
+def _rest(n: np.ndarray) -> np.ndarray:
+    """Shingles behind the first part."""
+    return (4 * n + 4) // 5 - 1
+
+
 def _is_set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     at = (hashes >> np.uint64(40)) % np.uint64(FILTER_BITS)
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -99,7 +104,8 @@ def _profiles(rows: DataFrame) -> DataFrame:
                 h = shingle_hashes(text.as_py())
                 n.append(len(h))
                 prints.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
-                points.append(np.bincount((h % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes())
+                point = np.bincount((h % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+                points.append(point.astype("<u2" if point.max() < 1 << 16 else "<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(points, pa.binary())],
                 ["id", "n", "print", "point"],
@@ -188,6 +194,13 @@ def _verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def _points(column: list[bytes]) -> np.ndarray:
+    """Stored points as rows of an array; two bytes a coordinate, or four where a document is huge."""
+    if all(len(p) == 2 * GROUPS for p in column):
+        return np.frombuffer(b"".join(column), "<u2").reshape(-1, GROUPS).astype(np.int64)
+    return np.stack([np.frombuffer(p, f"<u{len(p) // GROUPS}").astype(np.int64) for p in column])
+
+
 class Tree:
     """R-tree over points, packed by size and then by the most spread coordinate; boxes are kept by their upper corner."""
 
@@ -238,26 +251,34 @@ class Tree:
 def _search_blocks(blocks: DataFrame) -> DataFrame:
     """Pairs (a, b) of the blocks' documents that are in different components and may link.
 
+    A pair meets in as many blocks as the first parts of its sets have shingles in common.
+    Beyond the part that ends first, the overlap is at most what that set has left, so
+    pairs that meet too seldom for a link are dropped.
+
     Rows are (key, one, two, part, id, label, n, point): a block's cell (one, two) holds the
     parts ``one`` and ``two`` of a block; pairs go from the first to the second.
     """
     cells = blocks.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
 
-    def cell(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def cell(rows: pa.Table) -> np.ndarray:
         column = lambda c: rows.column(c).to_numpy()
         ids, labels, n, part, one, two = map(column, ("id", "label", "n", "part", "one", "two"))
-        points = np.frombuffer(b"".join(rows.column("point").to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
+        points = _points(rows.column("point").to_pylist())
         if one[0] == two[0]:
             q, p = (Tree(points, n).search(points, n)) if len(ids) > 1 else (np.zeros(0, int),) * 2
         else:
             left, right = np.flatnonzero(part == one[0]), np.flatnonzero(part == two[0])
             if not len(left) or not len(right):
-                return ids[:0], ids[:0]
+                return np.zeros((3, 0), np.int64)
             q, p = Tree(points[right], n[right]).search(points[left], n[left])
             q, p = left[q], right[p]
         other = labels[q] != labels[p]
-        a, b = ids[q[other]], ids[p[other]]
-        return np.minimum(a, b), np.maximum(a, b)
+        q, p = q[other], p[other]
+        if one[0] == two[0]:  # the tree meets every pair of its points from both sides
+            once = ids[q] < ids[p]
+            q, p = q[once], p[once]
+        least = -((-4 * (n[q] + n[p])) // 9) - np.maximum(_rest(n[q]), _rest(n[p]))
+        return np.stack([np.minimum(ids[q], ids[p]), np.maximum(ids[q], ids[p]), least])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -266,9 +287,11 @@ def _search_blocks(blocks: DataFrame) -> DataFrame:
             keys = np.stack([table.column(c).to_numpy() for c in ("key", "one", "two")])
             cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), table.num_rows]
             pairs = [cell(table.slice(x, y - x)) for x, y in zip(cuts, cuts[1:]) if y - x > 1]
-            stacked = np.concatenate([np.stack(p) for p in pairs], axis=1) if pairs else np.zeros((2, 0), np.int64)
-            unique = np.unique(stacked, axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(unique[0]), pa.array(unique[1])], ["a", "b"])
+            found = np.concatenate([np.zeros((3, 0), np.int64), *pairs], axis=1)
+            found = found[:, np.lexsort(found)]
+            new = np.flatnonzero(np.concatenate([[True], (found[:, 1:] != found[:, :-1]).any(axis=0)])) if found.size else np.zeros(0, int)
+            counts = np.diff(np.append(new, found.shape[1]))
+            return pa.RecordBatch.from_arrays([*(pa.array(row) for row in found[:, new]), pa.array(counts)], ["a", "b", "least", "shared"])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -283,7 +306,9 @@ def _search_blocks(blocks: DataFrame) -> DataFrame:
         if rest is not None and rest.num_rows:
             yield done(rest)
 
-    return cells.mapInArrow(run, "a long, b long")
+    pairs = cells.mapInArrow(run, "a long, b long, least long, shared long")
+    met = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))
+    return met.filter("shared >= least").select("a", "b")
 
 
 def _blocks(rows: DataFrame, representatives: DataFrame) -> DataFrame:
@@ -359,7 +384,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     cells = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
         "key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "id", "label", "n", "point"
     )
-    candidates = stage(_search_blocks(cells).distinct(), "candidates").df
+    candidates = stage(_search_blocks(cells), "candidates").df
     release(rows.sparkSession)
     more = stage(_verify(candidates, rows), "tree_links").df
 
