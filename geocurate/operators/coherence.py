@@ -43,14 +43,20 @@ def coherence(
     return scored.unionByName(rest if keep_vector else rest.drop(vector))
 
 
-def _by_size(df: DataFrame, vector: str, max_task_values: int) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of places that fit a task, and rows of larger places (None if there are none)."""
-    limit = task_rows(_width(df, vector), max_task_values)
-    large = stage(
-        places.place_sizes(df).filter(F.col("num_images") > limit).select("place_id"), "large_places"
-    ).df
+def _by_size(
+    df: DataFrame, vector: str, max_task_values: int, manifest: DataFrame | None = None, width: int | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of places that fit a task, and rows of larger places (None if there are none).
+
+    Where there are larger places, *df* is written once and both parts read it, so that a
+    join below it runs once.
+    """
+    limit = task_rows(width or _width(df, vector), max_task_values)
+    sizes = places.place_sizes(df if manifest is None else manifest)
+    large = stage(sizes.filter(F.col("num_images") > limit).select("place_id"), "large_places").df
     if large.isEmpty():
         return df, None
+    df = stage(df, "joined").df
     return df.join(large, "place_id", "left_anti"), df.join(large, "place_id", "left_semi")
 
 
@@ -101,6 +107,8 @@ def coherence_filter(
     max_task_values: int = MAX_TASK_VALUES,
     round_candidates: int = 4096,
     place_mean: bool = False,
+    manifest: DataFrame | None = None,
+    width: int | None = None,
 ) -> DataFrame:
     """Drop the least coherent image of each place until every image reaches *tau*.
 
@@ -113,12 +121,15 @@ def coherence_filter(
 
     Places that fit a task are filtered there, streamed from one shuffle on
     ``place_id``.  Larger places never meet in one task: see :func:`_rounds`.
+
+    Where *df* is a join with a store of vectors, *manifest* is its narrow side, from which
+    the places are counted, and *width* the length of a vector; then the join runs once.
     """
-    small, large = _by_size(df, vector, max_task_values)
+    small, large = _by_size(df, vector, max_task_values, manifest, width)
     kept = _stream(small, tau, min_images, vector, keep_vector, place_mean)
     if large is None:
         return kept
-    candidates = min(round_candidates, task_rows(_width(large, vector), max_task_values))
+    candidates = min(round_candidates, task_rows(width or _width(large, vector), max_task_values))
     dropped = _rounds(large, tau, vector, candidates)
     rest = large.join(dropped, ["place_id", "image_id"], "left_anti")
     rest = places.min_images(rest, min_images)
@@ -329,7 +340,8 @@ def _replay(tau: float, candidates: int):
         place, n = int(rows["place_id"].iloc[0]), int(rows["_n"].iloc[0])
         more = len(rows) > candidates
         barrier = float(rows["_gain"].iloc[-1]) if more else np.inf
-        inside = rows.iloc[:candidates] if more else rows
+        # of equal gains the smallest id falls first, as in places that fit a task
+        inside = (rows.iloc[:candidates] if more else rows).sort_values("image_id")
         ids = inside["image_id"].to_numpy()
         u = np.stack(inside["_u"].to_numpy())
         gain = inside["_gain"].to_numpy(dtype=np.float64).copy()

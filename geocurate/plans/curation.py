@@ -6,7 +6,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 
-from geocurate.operators import aggregate, coherence, embed, matches, places, profile, retrieval, supergroups
+from geocurate.operators import aggregate, blocks, coherence, embed, matches, places, profile, retrieval, supergroups
 from geocurate.operators.checks import require_heading, require_vectors
 from geocurate.runtime import stage
 from geocurate.sources import sinks
@@ -57,22 +57,27 @@ def curate(images: DataFrame, store: DataFrame, params: CurationParams = BASE) -
     """Places, coherence filter, optional subsampling, place vectors and supergroups.
 
     The vectors are joined from the store once and shuffled once by place; what is
-    written between the steps is the narrow manifest and one vector per place.  Only
-    subsampling after the filter, which can thin out a place, averages again.
+    written between the steps is the narrow manifest and one vector per place.  The
+    length of a vector comes from one row of the store, the sizes of places from the
+    manifest.  Only subsampling after the filter, which can thin out a place, averages again.
+    With ``tau`` of -1 or less nothing is filtered and no vector leaves the JVM.
     """
     if params.heading_deg is not None and "place_id" not in images.columns:
         require_heading(images, "curation")
     placed = stage(places.assign_places(images, params.cell_m, params.heading_deg), "placed").df
-    kept = places.refactorize(
-        coherence.staged_filter(
+    filtered = params.tau > -1
+    if filtered:
+        kept = coherence.staged_filter(
             embed.attach(placed, store), tau=params.tau, min_images=params.min_images,
-            place_mean=not params.subsample,
+            place_mean=not params.subsample, manifest=placed, width=blocks.vector_size(store, "embedding"),
         )
-    )
+    else:  # no mean cosine is below -1
+        kept = places.min_images(placed, params.min_images)
+    kept = places.refactorize(kept)
     for source, fraction in params.subsample:
         kept = places.subsample_source_places(kept, source, fraction, params.seed)
     kept = stage(kept, "kept").df
-    if params.subsample:
+    if params.subsample or not filtered:
         means = aggregate.place_embeddings(embed.attach(kept, store))
     else:
         means = aggregate.carried_embeddings(kept)
