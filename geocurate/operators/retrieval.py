@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geocurate.functions import vectors as V
 from geocurate.operators import blocks as B
-from geocurate.runtime import arrow_rows, stage
+from geocurate.runtime import stage
 
-#: Queries are broadcast while all of them together stay below this many bytes.
+#: Queries are broadcast in parts of at most this many bytes.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 _HITS = pa.schema([("query_id", pa.int64()), ("database_id", pa.int64()), ("score", pa.float64())])
@@ -29,10 +31,10 @@ def knn(
 ) -> DataFrame:
     """The k database images of largest cosine per query: rank 1.. by score, then id.
 
-    Database rows are packed where they lie, without a shuffle.  Each packed block
-    is multiplied with each query block and returns its k best per query; a window
-    limited to k merges them.  Query blocks travel by broadcast while they are
-    small, otherwise as replicated fragments under salted keys.
+    The database never moves.  Queries are broadcast, as many as *max_broadcast_bytes*
+    hold; more queries take several passes.  A task streams its part of the database past
+    the queries, holds the k best of each, and emits them once at its end; a window
+    limited to k merges the parts.  With *rows* a pass takes at least so many queries.
     """
     return _search(queries, database, k, vector, _cosine_scores, max_broadcast_bytes, rows)
 
@@ -76,98 +78,77 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 def _search(queries, database, k, vector, scores, max_broadcast_bytes, rows) -> DataFrame:
     spark = database.sparkSession
     dim = B.vector_size(queries, vector)
-    rows = rows or B.rows_per_block(dim)
+    n = queries.count()
+    held = n if not dim else max(1, max_broadcast_bytes // (8 * dim))
+    held = rows if rows and held < rows else held
+    chunks = max(1, -(-n // max(1, held)))
     q = queries.select("image_id", F.col(vector).alias("v"))
-    n = q.count()
-    blocks = max(1, -(-n // rows))
-    packed_queries = (
-        q.groupBy(F.pmod(F.xxhash64("image_id"), F.lit(blocks)).cast("int").alias("qblk"))
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("image_id").alias("id"), "v"))).alias("right"))
-    )
     d = database.select("image_id", F.col(vector).alias("v"))
-    element = d.schema["v"].dataType.elementType.simpleString()
-    packed = d.mapInArrow(_pack_local(rows), f"part array<struct<id:bigint,v:array<{element}>>>")
-    left = packed.select(
-        F.col("part").alias("left"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qblk"),
-    )
-    if n * dim * 8 <= max_broadcast_bytes:
-        pairs = left.join(F.broadcast(packed_queries), "qblk")
-    else:
-        salts = max(8, spark.sparkContext.defaultParallelism)
-        spread = packed_queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        own = F.pmod(F.xxhash64(F.col("left")[0]["id"]), F.lit(salts)).cast("int")
-        pairs = left.withColumn("salt", own).join(spread, ["qblk", "salt"])
-    hits = pairs.select("left", "right").mapInArrow(
-        B.per_row(_best_k(k, scores), _HITS), "query_id long, database_id long, score double"
-    )
-    with arrow_rows(spark, B.BATCH_BLOCKS):
-        return stage(top_k(hits, k), "neighbours").df
-
-
-def _pack_local(rows: int):
-    """Arrow batches of a partition as blocks of *rows* rows, in the order they come."""
-
-    def block(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(parts).combine_chunks()
-        columns = [table.column(c).chunk(0) for c in ("image_id", "v")]
-        packed = pa.StructArray.from_arrays(columns, names=["id", "v"])
-        part = pa.ListArray.from_arrays(pa.array([0, len(packed)], pa.int32()), packed)
-        return pa.RecordBatch.from_arrays([part], names=["part"])
+    parts = []
+    for chunk in range(chunks):
+        own = q if chunks == 1 else q.filter(F.pmod(F.xxhash64("image_id"), F.lit(chunks)) == chunk)
+        table = own.orderBy("image_id").toArrow().combine_chunks()  # about max_broadcast_bytes
+        if not table.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast((table.column("image_id").to_numpy(), table.column("v").combine_chunks()))
+        hits = d.mapInArrow(_running_best(sent, k, scores), "query_id long, database_id long, score double")
+        parts.append(stage(top_k(hits, k), "neighbours").df)
+        sent.unpersist()
+    if not parts:
+        return spark.createDataFrame([], "query_id long, database_id long, score double, rank int")
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _running_best(sent: Broadcast, k: int, scores: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k best database rows of a partition per query, kept while its rows stream by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        n = 0
+        query_ids, query_vectors = sent.value
+        rows = B.rows_per_block(len(query_vectors.values) // max(1, len(query_vectors)))
+        best = np.full((len(query_ids), 0), 0.0)
+        ids = np.zeros((len(query_ids), 0), np.int64)
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            held.append(batch)
-            n += batch.num_rows
-            if n >= rows:
-                yield block(held)
-                held, n = [], 0
-        if held:
-            yield block(held)
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                new_ids = part.column("image_id").to_numpy()
+                for low in range(0, len(query_ids), rows):  # bounds the table of scores
+                    line = scores(query_vectors.slice(low, rows), part.column("v"))
+                    width = min(k, line.shape[1])
+                    floor = -np.partition(-line, width - 1, axis=1)[:, width - 1]
+                    if low == 0:
+                        next_best, next_ids = [], []
+                    for at, (values, least) in enumerate(zip(line, floor), low):
+                        near = np.flatnonzero(values >= least)
+                        value = np.concatenate([best[at], values[near]])
+                        name = np.concatenate([ids[at], new_ids[near]])
+                        order = np.lexsort((name, -value))[:k]
+                        next_best.append(value[order])
+                        next_ids.append(name[order])
+                best, ids = np.stack(next_best), np.stack(next_ids)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(query_ids, ids.shape[1])), pa.array(ids.ravel()), pa.array(best.ravel())], schema=_HITS
+        )
 
     return run
 
 
-def _cosine_scores(q: pa.StructArray, d: pa.StructArray) -> np.ndarray:
-    return B.unit_rows(B.matrix(q, "v")) @ B.unit_rows(B.matrix(d, "v")).T
+def _rows_of(vectors: pa.ListArray, dtype=np.float64) -> np.ndarray:
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    return np.asarray(flat, dtype=dtype).reshape(len(vectors), -1)
 
 
-def _hamming_scores(q: pa.StructArray, d: pa.StructArray) -> np.ndarray:
-    a = B.matrix(q, "v", np.int64).view(np.uint64)
-    b = B.matrix(d, "v", np.int64).view(np.uint64)
+def _cosine_scores(q: pa.ListArray, d: pa.ListArray) -> np.ndarray:
+    return B.unit_rows(_rows_of(q)) @ B.unit_rows(_rows_of(d)).T
+
+
+def _hamming_scores(q: pa.ListArray, d: pa.ListArray) -> np.ndarray:
+    a, b = _rows_of(q, np.int64).view(np.uint64), _rows_of(d, np.int64).view(np.uint64)
     out = np.zeros((len(a), len(b)))
     for word in range(a.shape[1]):
         out -= np.bitwise_count(a[:, word, None] ^ b[None, :, word])
     return out
 
 
-def _best_k(k: int, scores):
-    def run(row: dict) -> dict:
-        d, q = B.fields(row["left"]), B.fields(row["right"])
-        d_ids, q_ids = B.column(d, "id"), B.column(q, "id")
-        table = scores(q, d)
-        width = min(k, len(d_ids))
-        floor = -np.partition(-table, width - 1, axis=1)[:, width - 1]
-        out_q, out_d, out_s = [], [], []
-        for line, low, query in zip(table, floor, q_ids):
-            near = np.flatnonzero(line >= low)
-            near = near[np.lexsort((d_ids[near], -line[near]))[:width]]
-            out_q.append(np.full(len(near), query))
-            out_d.append(d_ids[near])
-            out_s.append(line[near])
-        return {
-            "query_id": np.concatenate(out_q),
-            "database_id": np.concatenate(out_d),
-            "score": np.concatenate(out_s),
-        }
-
-    return run
-
-
 def recall_at(
     neighbours: DataFrame, gold: DataFrame, queries: DataFrame, database: DataFrame, ks: Sequence[int]
 ) -> DataFrame:

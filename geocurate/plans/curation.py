@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from geocurate.operators import aggregate, blocks, coherence, embed, matches, places, profile, retrieval, supergroups
 from geocurate.operators.checks import require_heading, require_vectors
-from geocurate.runtime import stage
+from geocurate.runtime import Stage, dropping_stages, stage
 from geocurate.sources import sinks
 
 
@@ -62,6 +62,14 @@ def curate(images: DataFrame, store: DataFrame, params: CurationParams = BASE) -
     manifest.  Only subsampling after the filter, which can thin out a place, averages again.
     With ``tau`` of -1 or less nothing is filtered and no vector leaves the JVM.
     """
+    with dropping_stages(images.sparkSession) as kept:
+        grouped, vectors = _curated(images, store, params)
+        kept += [grouped, vectors]
+    return Curated(grouped.df, vectors.df)
+
+
+def _curated(images: DataFrame, store: DataFrame, params: CurationParams) -> tuple[Stage, Stage]:
+    """The stored images and place vectors; other stages are left to the caller."""
     if params.heading_deg is not None and "place_id" not in images.columns:
         require_heading(images, "curation")
     placed = stage(places.assign_places(images, params.cell_m, params.heading_deg), "placed").df
@@ -82,15 +90,15 @@ def curate(images: DataFrame, store: DataFrame, params: CurationParams = BASE) -
     else:
         means = aggregate.carried_embeddings(kept)
         kept = kept.drop("place_mean")
-    vectors = stage(means, "place_vectors").df
+    vectors = stage(means, "place_vectors")
     if params.supergroup_size is None:
         grouped = places.uniform_supergroup(kept)
     else:
         grouped = supergroups.assign_supergroups(
-            kept, vectors, params.supergroup_size, params.spatial, params.angular,
+            kept, vectors.df, params.supergroup_size, params.spatial, params.angular,
             params.kmeans_iter, params.seed,
         )
-    return Curated(stage(grouped, "curated").df, vectors)
+    return stage(grouped, "curated"), vectors
 
 
 def build_train_set(

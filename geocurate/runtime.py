@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import re
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,7 +34,20 @@ def build_session(app: str = "geocurate", master: str | None = None, **conf: str
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, so that they find it wherever the session was started."""
+    package = Path(__file__).resolve().parent
+    name = f"{package.name}-{os.getpid()}.zip"
+    if any(name in path for path in spark.sparkContext._python_includes):
+        return
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    made = shutil.make_archive(f"{folder}/{name.removesuffix('.zip')}", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(made)  # Spark copies it to every executor
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -101,6 +117,16 @@ def drop_stages(spark: SparkSession) -> None:
         _delete(spark, path)
 
 
+@contextmanager
+def dropping_stages(spark: SparkSession):
+    """Delete the stages written inside, but for those added to the list that is yielded."""
+    before, kept = set(_created), []
+    yield kept
+    keep = before | {stage.path for stage in kept}
+    for path in [p for p in _created if p not in keep]:
+        _delete(spark, path)
+
+
 def stage(df: DataFrame, label: str) -> Stage:
     """Write *df* as parquet in the shared folder and read it back.
 

@@ -48,7 +48,7 @@ def nearest_neighbours(spark, sf):
     W.ctes(W.IMG_EVAL, KNN_SQL) + "SELECT query_id, database_id, rank, round(score, 6) AS score FROM neighbours",
 )
 def nearest_neighbours_by_shuffle(spark, sf):
-    """The path for query sets that are too large to broadcast."""
+    """Query sets that are too large for one broadcast: several passes over the database."""
     return _shown(retrieval.knn(*sides(spark, sf), 10, max_broadcast_bytes=0, rows=16))
 
 

@@ -79,3 +79,24 @@ def test_saving_a_loaded_set_keeps_its_rows(spark, folder):
     sinks.save_train(frame, folder, "one")
     sinks.save_train(tables.load_train(spark, folder, "one"), folder, "two")
     assert tables.load_train(spark, folder, "two").count() == 4
+
+
+def test_plans_leave_only_their_results(spark):
+    from geocurate import runtime
+
+    before = set(runtime._created)
+    frame, whole = manifest(spark), store(spark, [f"p{i}" for i in range(10)])
+    for tau in (-1.0, 0.3):
+        curation.curate(frame, whole, curation.CurationParams(tau=tau, min_images=1, supergroup_size=None))
+    assert len(set(runtime._created) - before) == 4
+
+
+def test_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from geocurate import runtime
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        runtime.shared_dir(session)
