@@ -13,7 +13,7 @@ ends in new totals.  Probabilities are averaged over the samples that are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -30,7 +30,7 @@ CONTEXT_SHARE = 200
 #: contexts (no more words than this); the others meet their probabilities by a join.
 COMMON_SHARE = 40_000
 #: Sweeps before the first sample that is kept, and samples kept.
-BURN_IN, SAMPLES = 2, 3
+BURN_IN, SAMPLES = 1, 2
 STRENGTH = 1.0
 #: Customers of one dish in one restaurant up to which their tables are drawn in one exact step.
 EXACT = 128
@@ -166,70 +166,136 @@ class Totals:
         return (STRENGTH + self.discount * self.tables) / (STRENGTH + self.customers)
 
 
-def _sweep(rows: DataFrame, totals: Totals, seed: int, keep: bool) -> DataFrame:
-    """One Gibbs sweep over the rows (w, ctx, c, t, t0, ...), and rows of the totals by batch."""
+#: Columns of a word's row.  Lists are packed as bytes, which Spark moves as they are: contexts, customers,
+#: tables, and the sum of tables over the samples kept; then customers and tables in the parent by sample.
+_LISTS = {"ctx": np.dtype("<i4"), "c": np.dtype("<i8"), "t": np.dtype("<i8"), "sum_t": np.dtype("<i8")}
+_BY_SAMPLE = [f"{kind}_{s}" for s in range(SAMPLES) for kind in ("c0", "t0")]
+_SEATS = "w long, c_all long, ctx binary, c binary, t binary, sum_t binary, t0 long, " + "".join(f"{n} long, " for n in _BY_SAMPLE) + "made array<long>"
+_NAMES = [part.split()[0] for part in _SEATS.split(", ")]
+
+
+def _unpacked(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Values of packed lists, one after the other, and the limits of the lists."""
+    limits = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    values = np.frombuffer(data, np.uint8)[limits[0]:limits[-1]].view(kind) if data is not None else np.zeros(0, kind)
+    return values, (limits - limits[0]).astype(np.int64) // kind.itemsize
+
+
+def _packed(values: np.ndarray, limits: np.ndarray, kind: np.dtype) -> pa.Array:
+    data = np.ascontiguousarray(values, kind)
+    offsets = (limits * kind.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(limits) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _told(totals: np.ndarray) -> pa.RecordBatch:
+    """A row without word that carries totals."""
+    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * len(_LISTS), pa.int64(), *[pa.int64()] * len(_BY_SAMPLE)]
+    made = pa.array([totals.astype(np.int64).tolist()], pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds), made], _NAMES)
+
+
+def _seats(cells: DataFrame, places: int) -> DataFrame:
+    """A row for every word from its counts (w, ctx, c), everyone of a context at one table; and rows of totals.
+
+    Totals are, by context: customers, dishes, dishes with one customer, and with two.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((4, places), np.int64)
+
+        def rows(w: np.ndarray, ctx: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            for i, chosen in enumerate((c, np.ones_like(c), c == 1, c == 2)):
+                totals[i] += np.bincount(ctx, weights=chosen, minlength=places).astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            limits = np.append(first, len(w))
+            lists = [_packed(x, limits, k) for x, k in zip((ctx, c, np.ones_like(c), np.zeros_like(c)), _LISTS.values())]
+            zeros = pa.array(np.zeros(len(first), np.int64))
+            return pa.RecordBatch.from_arrays([
+                pa.array(w[first]), pa.array(np.add.reduceat(c, first)), *lists, pa.array(np.ones(len(first), np.int64)),
+                *[zeros] * len(_BY_SAMPLE), pa.nulls(len(first), pa.list_(pa.int64())),
+            ], _NAMES)
+
+        rest = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
+        for batch in batches:
+            parts = [np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate(rest)]
+            if not len(parts[0]):
+                continue
+            cut = int(np.searchsorted(parts[0], parts[0][-1]))  # the last word may go on
+            rest = [x[cut:] for x in parts]
+            if cut:
+                yield rows(*(x[:cut] for x in parts))
+        if len(rest[0]):
+            yield rows(*rest)
+        yield _told(totals.ravel())
+
+    ordered = cells.select("w", "ctx", "c").repartition("w").sortWithinPartitions("w", "ctx")
+    return ordered.mapInArrow(run, _SEATS)
+
+
+def _sweep(rows: DataFrame, totals: Totals, seed: int, sample: int | None) -> DataFrame:
+    """One Gibbs sweep over the rows of words, kept as number *sample* if that is set; and rows of totals."""
     shared = rows.sparkSession.sparkContext.broadcast(totals)
-    columns = ["w", "ctx", "c", "t", "t0", "sum_t", "roots", "tables0", "made"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = shared.value
-        places = len(now.customers)
+        made = np.zeros(len(now.customers) + 1, np.int64)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            w = batch.column(0).to_numpy()
-            offsets = batch.column(1).offsets.to_numpy()
-            begin, end = offsets[0], offsets[-1]
-            ctx, c, t, sum_t = (batch.column(i).values.to_numpy()[x0:x1] for i, (x0, x1) in (
-                (i, (batch.column(i).offsets[0].as_py(), batch.column(i).offsets[-1].as_py())) for i in (1, 2, 3, 5)))
-            offsets = offsets - begin
-            lengths = np.diff(offsets)
-            row = np.repeat(np.arange(len(w)), lengths)
-            t, t0 = t.copy(), batch.column(4).to_numpy().copy()
+            columns = dict(zip(_NAMES, batch.columns))
+            w = columns["w"].to_numpy()
+            (ctx, limits), (c, _), (t, _), (sum_t, _) = (_unpacked(columns[n], k) for n, k in _LISTS.items())
+            row = np.repeat(np.arange(len(w)), np.diff(limits))
+            t, t0 = t.copy(), columns["t0"].to_numpy()
             dish = w.view(np.uint64) + np.uint64(seed + 1) * np.uint64(0x9E3779B97F4A7C15)
             noise = mixed(dish[row] + (ctx + 1).astype(np.uint64) * MIX)
             for half in (0, 1):  # rows of one word see each other's tables
                 mine = np.flatnonzero((ctx + w[row]) % 2 == half)
-                root = np.add.reduceat(t, offsets[:-1])
+                root = np.add.reduceat(t, limits[:-1])
                 c0 = root[row[mine]] - t[mine]
                 rest0 = np.minimum(t0[row[mine]], c0)
                 base = (c0 - now.root_discount * rest0 + now.root_new) / (STRENGTH + now.root_customers - t[mine])
                 weight = (STRENGTH + now.discount * np.maximum(now.tables[ctx[mine]] - t[mine], 0)) * base
                 t[mine] = seat(c[mine], weight, now.discount, noise[mine])
-            c0 = np.add.reduceat(t, offsets[:-1])
+            c0 = np.add.reduceat(t, limits[:-1])
             new0 = (STRENGTH + now.root_discount * np.maximum(now.root_tables - t0, 0)) * now.uniform
             t0 = seat(c0, new0, now.root_discount, mixed(dish))
-            made = np.bincount(ctx, weights=t, minlength=places).astype(np.int64)
+            made[:-1] += np.bincount(ctx, weights=t, minlength=len(made) - 1).astype(np.int64)
+            made[-1] += t0.sum()
+            columns |= {"t": _packed(t, limits, _LISTS["t"]), "t0": pa.array(t0)}
+            if sample is not None:
+                columns["sum_t"] = _packed(sum_t + t, limits, _LISTS["sum_t"])
+                columns |= {f"c0_{sample}": pa.array(c0), f"t0_{sample}": pa.array(t0)}
+            yield pa.RecordBatch.from_arrays([columns[n] for n in _NAMES], _NAMES)
+        yield _told(made)
 
-            def lists(values: np.ndarray) -> pa.Array:
-                return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values))
+    return rows.filter("w IS NOT NULL").mapInArrow(run, _SEATS)
 
-            roots, tables0 = (
-                [[*(old or []), new] if keep else (old or []) for old, new in zip(batch.column(i).to_pylist(), fresh.tolist())]
-                for i, fresh in ((6, c0), (7, t0))
-            )
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), lists(ctx), lists(c), lists(t), pa.array(t0), lists(sum_t + t * keep),
-                pa.array(roots, kind), pa.array(tables0, kind), pa.nulls(len(w), kind),
-            ], columns)
-            empty = pa.array([[]], pa.list_(pa.int32()))
-            nothing = pa.array([[]], kind)
-            yield pa.RecordBatch.from_arrays([
-                pa.nulls(1, pa.int64()), empty, nothing, nothing, pa.array([int(t0.sum())]), nothing, nothing, nothing, pa.array([made.tolist()], kind),
-            ], columns)
 
-    kinds = "w long, ctx array<int>, c array<long>, t array<long>, t0 long, sum_t array<long>, roots array<long>, tables0 array<long>, made array<long>"
-    return rows.filter("w IS NOT NULL").select(*columns).mapInArrow(run, kinds)
+def _sums(state: DataFrame, size: int) -> np.ndarray:
+    row = state.filter("w IS NULL").agg(*(F.sum(F.element_at("made", i + 1)) for i in range(size))).first()
+    return np.array([x or 0 for x in row], float)
 
 
-def _totals(state: DataFrame, like: Totals) -> Totals:
-    sums = state.filter("w IS NULL").agg(
-        F.sum("t0").alias("t0"),
-        F.array(*(F.sum(F.element_at("made", i + 1)) for i in range(len(like.customers)))).alias("made"),
-    ).first()
-    tables = np.array([x or 0 for x in sums["made"]], float)
-    return Totals(like.customers, tables, float(sums["t0"] or 0), like.vocabulary, like.discount, like.root_discount)
+def _finished(rows: DataFrame, totals: Totals) -> DataFrame:
+    """Rows (w, c_all, ctx ARRAY, direct ARRAY, by sample): what a word has in each context beside the parent's share."""
+    shared = rows.sparkSession.sparkContext.broadcast(totals)
+    names = ["w", "c_all", "ctx", "direct", *_BY_SAMPLE]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now = shared.value
+        for batch in batches:
+            columns = dict(zip(_NAMES, batch.columns))
+            (ctx, limits), (c, _), (sum_t, _) = (_unpacked(columns[n], _LISTS[n]) for n in ("ctx", "c", "sum_t"))
+            direct = (c - now.discount * sum_t / SAMPLES) / (STRENGTH + now.customers[ctx])
+            offsets = pa.array(limits, pa.int32())
+            columns["ctx"] = pa.ListArray.from_arrays(offsets, pa.array(ctx))
+            columns["direct"] = pa.ListArray.from_arrays(offsets, pa.array(direct))
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
+
+    kinds = "w long, c_all long, ctx array<int>, direct array<double>, " + ", ".join(f"{n} long" for n in _BY_SAMPLE)
+    return rows.filter("w IS NOT NULL").mapInArrow(run, kinds)
 
 
 def _discount(ones: int, twos: int) -> float:
@@ -239,7 +305,7 @@ def _discount(ones: int, twos: int) -> float:
 
 @dataclass
 class Model:
-    """Rows (w, c_all, ctx, direct, roots, tables0) of the words, and the totals of the samples kept."""
+    """Rows of the words (`_finished`), and the totals of the samples kept."""
 
     words: Stage
     contexts: np.ndarray
@@ -263,7 +329,7 @@ class Model:
         ).otherwise(F.lit(0.0))
         for s, sample in enumerate(self.samples):
             left = F.element_at(F.array(*map(F.lit, sample.back_off().tolist())), ctx + 1)
-            c0, t0 = (F.coalesce(F.get(name, F.lit(s)), zero) for name in ("roots", "tables0"))
+            c0, t0 = (F.coalesce(f"{kind}_{s}", zero) for kind in ("c0", "t0"))
             total = total + left * self.parent(s, c0, t0) / len(self.samples)
         return total
 
@@ -277,41 +343,29 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
     ).first()
     frequent = counts.filter((F.col("c") * CONTEXT_SHARE >= trained) & (F.col("w") != int(END))).select("w").collect()
     contexts = np.sort(np.array([r[0] for r in frequent], np.int64).view(np.uint64))
-    cells = _counted(texts, contexts)
-    rows = stage(
-        cells.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("ctx", "c"))).alias("cells"))  # a cell a context at most
-        .select("w", "cells.ctx", "cells.c")
-        .select(
-            "w", "ctx", "c", F.transform("c", lambda x: F.lit(1).cast("long")).alias("t"), F.lit(1).cast("long").alias("t0"),
-            F.transform("c", lambda x: F.lit(0).cast("long")).alias("sum_t"),
-            F.array().cast("array<long>").alias("roots"), F.array().cast("array<long>").alias("tables0"),
-        ),
-        "seats",
-    )
-    cell = rows.df.select(F.explode(F.arrays_zip("ctx", "c")).alias("x")).select("x.ctx", "x.c")
-    by_context = {r[0]: r for r in cell.groupBy("ctx").agg(
-        F.sum("c"), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).collect()}
-    places = range(len(contexts) + 1)
-    get = lambda i, k: by_context[i][k] if i in by_context else 0
+    places = len(contexts) + 1
+    rows = stage(_seats(_counted(texts, contexts), places), "seats")
+    customers, dishes, single, double = _sums(rows.df, 4 * places).reshape(4, places)
     totals = Totals(
-        np.array([get(i, 1) for i in places], float), np.array([get(i, 2) for i in places], float), float(vocabulary),
-        vocabulary, _discount(sum(get(i, 3) for i in places), sum(get(i, 4) for i in places)), _discount(ones, twos),
+        customers, dishes, float(vocabulary), vocabulary,
+        _discount(int(single.sum()), int(double.sum())), _discount(ones, twos),
     )
+    # a word that was seen once has one table whatever is drawn: it takes no part in the sweeps
+    kept = F.lit(1).cast("long")
+    alone = rows.df.filter("c_all = 1").withColumns({"sum_t": F.lit(SAMPLES.to_bytes(8, "little")), **dict.fromkeys(_BY_SAMPLE, kept)})
+    alone = stage(_finished(alone, totals), "words_seen_once").df
+    single_tables = np.array([x or 0 for x in alone.agg(
+        *(F.count_if(F.element_at("ctx", 1) == i) for i in range(places))).first()], float)
     samples = []
     for sweep in range(BURN_IN + SAMPLES):
-        before, keep = rows, sweep >= BURN_IN
-        rows = stage(_sweep(before.df.withColumn("made", F.lit(None).cast("array<long>")), totals, sweep, keep), "seats")
+        before, sample = rows, sweep - BURN_IN if sweep >= BURN_IN else None
+        rows = stage(_sweep(before.df.filter("c_all > 1"), totals, sweep, sample), "seats")
         before.drop()
-        totals = _totals(rows.df, totals)
-        if keep:
+        made = _sums(rows.df, places + 1)
+        totals = replace(totals, tables=made[:-1] + single_tables, root_tables=float(made[-1] + single_tables.sum()))
+        if sample is not None:
             samples.append(totals)
-    custom = F.array(*(F.lit(float(x + STRENGTH)) for x in totals.customers))
-    direct = F.zip_with(
-        F.arrays_zip("ctx", "c"), "sum_t",
-        lambda x, t: (x["c"] - F.lit(totals.discount / SAMPLES) * t) / F.element_at(custom, x["ctx"] + 1),
-    )
-    total = F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x)
-    words = stage(rows.df.filter("w IS NOT NULL").select("w", total.alias("c_all"), "ctx", direct.alias("direct"), "roots", "tables0"), "words")
+    words = stage(_finished(rows.df, totals).unionByName(alone), "words")
     rows.drop()
     return Model(words, contexts, samples, trained, vocabulary)
 

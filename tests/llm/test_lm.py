@@ -46,7 +46,7 @@ def test_probabilities_sum_to_one(spark):
     model = lm.train(spark.createDataFrame(rows, "text string"))
     words = model.words.df
     unknown = spark.range(1).select(F.lit(None).cast("array<int>").alias("ctx"), *(
-        F.lit(None).cast(k).alias(n) for n, k in (("direct", "array<double>"), ("roots", "array<long>"), ("tables0", "array<long>"))))
+        F.lit(None).cast(k).alias(n) for n, k in (("direct", "array<double>"), *((c, "long") for c in lm._BY_SAMPLE))))
     for ctx in range(len(model.contexts) + 1):
         known = words.agg(F.sum(model.probability(F.lit(ctx)))).first()[0]
         assert known + unknown.select(model.probability(F.lit(ctx))).first()[0] == pytest.approx(1.0, abs=1e-9)
