@@ -42,8 +42,7 @@ VARIANTS = {
 }
 COMBINED = replace(BASE, subsample=(("sf_xl", 0.5), ("msls", 0.5)))
 
-# Evaluation sets and their match radius.
-VAL_SETS = ("pitts30k_val", "sf_xl_small_val", "sf_xl_val", "msls_val", "svox_val")
+# Match radius of evaluation sets.
 MATCH_RADIUS_M = 25
 
 
