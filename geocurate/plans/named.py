@@ -34,6 +34,7 @@ SOURCES = {
     "pitts30k": "pitts30k/images/train",
     "msls": "msls/train",
 }
+CITY_FILES = "Dataframes"
 COMBINED_SOURCES = ("gsvcities", "sf_xl", "pitts30k", "msls")
 
 Loader = Callable[[], embed.Model]
@@ -51,7 +52,7 @@ def read_source(spark: SparkSession, raw: str, source: str) -> DataFrame:
     """Manifest of one training source."""
     folder = f"{raw}/{SOURCES[source]}"
     if source == "gsvcities":
-        return cities.read_cities(spark, folder)
+        return cities.read_cities(spark, f"{folder}/{CITY_FILES}", image_root=folder, base=raw)
     if source == "pitts30k":
         return images.read_pitts(spark, [folder], raw)
     return images.read_named(spark, [folder], source, raw)

@@ -11,6 +11,7 @@ from geocurate.functions import geo
 from geocurate.functions import names as N
 from geocurate.operators.checks import DataCheckError
 from geocurate.operators.ids import dense_ids
+from geocurate.runtime import hadoop_path, qualified
 from geocurate.schemas import CITY_CSV
 
 # Fixed value: distance between the place numbers of two cities.
@@ -44,9 +45,22 @@ def selected_cities(available: Sequence[str], wanted: Sequence[str] | None) -> l
     return chosen
 
 
-def city_ordinals(rows: DataFrame, wanted: Sequence[str] | None) -> DataFrame:
-    """(file_city, ordinal): one row per city file, so the list is small."""
-    available = [r["file_city"] for r in rows.select("file_city").distinct().collect()]
+def listed_cities(spark: SparkSession, folder: str) -> list[str]:
+    """Cities that have a file, with or without lines."""
+    top, fs = hadoop_path(spark, folder)
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(top, "*.csv")
+    return sorted(f.getPath().getName().removesuffix(".csv") for f in fs.globStatus(pattern) or ())
+
+
+def city_ordinals(
+    rows: DataFrame, wanted: Sequence[str] | None, available: Sequence[str] | None = None
+) -> DataFrame:
+    """(file_city, ordinal): one row per city, so the list is small.
+
+    Without a list of the *available* files, cities are those that have rows.
+    """
+    if available is None:
+        available = [r["file_city"] for r in rows.select("file_city").distinct().collect()]
     chosen = selected_cities(available, wanted)
     return rows.sparkSession.createDataFrame(
         list(enumerate(chosen)), "ordinal long, file_city string"
@@ -75,7 +89,17 @@ def city_manifest(rows: DataFrame, ordinals: DataFrame, source: str = "gsvcities
 
 
 def read_cities(
-    spark: SparkSession, folder: str, cities: Sequence[str] | None = None, source: str = "gsvcities"
+    spark: SparkSession, folder: str, cities: Sequence[str] | None = None, source: str = "gsvcities",
+    image_root: str | None = None, base: str | None = None,
 ) -> DataFrame:
+    """Manifest of the city files in *folder*, of all cities or of those named.
+
+    A file without lines keeps its place among the prefixes.  With *image_root* and *base*
+    the paths of images, which lie below the former, are given relative to the latter.
+    """
     rows = read_city_csv(spark, folder)
-    return city_manifest(rows, city_ordinals(rows, cities), source)
+    manifest = city_manifest(rows, city_ordinals(rows, cities, listed_cities(spark, folder)), source)
+    if image_root is None or base is None:
+        return manifest
+    below = qualified(spark, image_root).removeprefix(qualified(spark, base) + "/")
+    return manifest.withColumn("image_path", F.concat(F.lit(f"{below}/"), "image_path"))

@@ -57,3 +57,14 @@ def test_evaluation_sets(spark, folder, raw, name):
     saved = tables.load_eval(spark, f"{folder}/out", name)
     assert sorted(map(len, (r.matches for r in saved.collect()))) == [0, 0, 1]
     assert len(named.VAL_SETS) == 5 and len(named.TEST_SETS) == 7
+
+
+def test_city_files_keep_their_prefix_and_path(spark, folder):
+    head = "city_id,place_id,year,month,northdeg,lat,lon,panoid\n"
+    os.makedirs(f"{folder}/raw/gsvcities/Dataframes")
+    for city, line in (("Aa", ""), ("Bb", "Bb,7,2019,3,45,51.5,-0.0005,pano\n")):
+        with open(f"{folder}/raw/gsvcities/Dataframes/{city}.csv", "w") as file:
+            file.write(head + line)
+    (row,) = named.read_source(spark, f"{folder}/raw", "gsvcities").collect()
+    assert row.place_id == 100_007
+    assert row.image_path == "gsvcities/Images/Bb/Bb_0000007_2019_03_045_51.5_-0.0005_pano.jpg"
