@@ -1,19 +1,21 @@
 """Language model scores by a hierarchical Pitman-Yor process.
 
-Contexts are restaurants: a token's context is the last very common word before it in its
-document.  All contexts share one parent restaurant, whose base is uniform over the
-vocabulary and one unknown word.  Customers are tokens; which of them share a table is drawn by
-Gibbs sampling, and every table of a context is a customer of the parent.
-
-All counts of a word, in every context and in the parent, stand in one row.  Given the
-totals of the restaurants, rows are independent, so a sweep is one pass over the rows that
-ends in new totals.  Probabilities are averaged over the samples that are kept.
+Contexts are restaurants: a token's context is the word before it, or the start of its text,
+and every pair that was seen has its place, however rare.  All contexts share one parent
+restaurant, whose base is uniform over the vocabulary and one unknown word.  Customers are tokens;
+which of them share a table is drawn by Gibbs sampling, and every table of a context is a
+customer of the parent.
+
+Pairs, words (the parent's dishes) and restaurants are tables.  Pairs seen once have one table
+whatever is drawn, so a sweep joins the other pairs with the totals of their restaurant and the
+counts of their word, draws all of them given the state after the sweep before (each
+without its own tables), and ends in new totals.  Probabilities are averaged over the samples that are kept.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -21,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geocurate.llm.common import HEAVY_SHARE, join_lookup
 from geocurate.llm.words import MIX, mixed, word_hashes
 from geocurate.runtime import Stage, stage
 
-#: A word that makes up one token in so many is a context; so there are no more contexts than this.
+#: A word that makes up one token in so many is a heavy context (no more than this): its probabilities
+#: are sent to every task, those of the others are joined.
 CONTEXT_SHARE = 200
-#: A word that makes up one token in so many is sent to every task with its probabilities in all
-#: contexts (no more words than this); the others meet their probabilities by a join.
+#: A word that makes up one token in so many is sent to every task with its probabilities in the heavy
+#: contexts, and so is a pair that does (no more of each than this); the others meet their probabilities by a join.
 COMMON_SHARE = 40_000
 #: Sweeps before the first sample that is kept, and samples kept.
 BURN_IN, SAMPLES = 1, 2
@@ -47,7 +51,10 @@ def tokens(text: str | None) -> np.ndarray:
 
 
 def contexts_of(hashes: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-    """For each token the number of the last context word before it, 0 at the start; *contexts* is sorted."""
+    """For each token the number of the last context word before it, 0 at the start; *contexts* is sorted.
+
+    The model's contexts are the words just before (`before`); this is for callers that skip words.
+    """
     if not len(contexts):
         return np.zeros(len(hashes), np.int64)
     at = np.searchsorted(contexts, hashes).clip(max=len(contexts) - 1)
@@ -57,34 +64,36 @@ def contexts_of(hashes: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     return np.where(before >= 0, own[before], 0)
 
 
-def _counted(docs: DataFrame, contexts: np.ndarray | None) -> DataFrame:
-    """(w, ctx, c): counts, summed for every few hundred thousand tokens before they are shuffled."""
+def before(hashes: np.ndarray) -> np.ndarray:
+    """For each token the word before it; `END`, which comes before nothing, stands for the start."""
+    return np.concatenate([[END], hashes[:-1]])
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """(u, w, c): counts of words w after u, summed for every few million tokens before they are shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
-            pairs = np.concatenate(parts, axis=1)
-            order = np.lexsort(pairs)
-            pairs = pairs[:, order]
-            first = np.flatnonzero(np.concatenate([[True], (pairs[:, 1:] != pairs[:, :-1]).any(axis=0)]))
-            counts = np.diff(np.append(first, pairs.shape[1]))
-            ctx, w = pairs[0, first].astype(np.int32), pairs[1, first].view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(w), pa.array(ctx), pa.array(counts)], ["w", "ctx", "c"])
+            w = np.concatenate(parts)
+            u = np.concatenate([before(x) for x in parts])
+            order = np.lexsort((w, u))
+            u, w = u[order], w[order]
+            first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])]))
+            counts = np.diff(np.append(first, len(w)))
+            return pa.RecordBatch.from_arrays([pa.array(u[first].view(np.int64)), pa.array(w[first].view(np.int64)), pa.array(counts)], ["u", "w", "c"])
 
         parts, size = [], 0
         for batch in batches:
             for text in batch.column(0):
-                w = tokens(text.as_py())
-                ctx = contexts_of(w, contexts) if contexts is not None else np.zeros(len(w), np.int64)
-                parts.append(np.stack([ctx.astype(np.uint64), w]))
-                size += len(w)
+                parts.append(tokens(text.as_py()))
+                size += len(parts[-1])
                 if size >= 4 * _CHUNK:
                     yield flush(parts)
                     parts, size = [], 0
         if parts:
             yield flush(parts)
 
-    rows = docs.select("text").mapInArrow(run, "w long, ctx int, c long")
-    return rows.groupBy("w", "ctx").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(run, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
 
 
 @lru_cache(maxsize=4)
@@ -140,10 +149,11 @@ def seat(c: np.ndarray, new_table: np.ndarray, discount: float, noise: np.ndarra
 
 @dataclass
 class Totals:
-    """Customers and tables of the restaurants: of each context, and of the parent."""
+    """Customers and tables of the start and the heavy contexts, and of the parent."""
 
     customers: np.ndarray
     tables: np.ndarray
+    root_customers: float
     root_tables: float
     vocabulary: int
     discount: float
@@ -157,145 +167,65 @@ class Totals:
     def root_new(self) -> float:
         return (STRENGTH + self.root_discount * self.root_tables) * self.uniform
 
-    @property
-    def root_customers(self) -> float:
-        return float(self.tables.sum())
-
     def back_off(self) -> np.ndarray:
         """What each context leaves to the parent."""
         return (STRENGTH + self.discount * self.tables) / (STRENGTH + self.customers)
 
 
-#: Columns of a word's row.  Lists are packed as bytes, which Spark moves as they are: contexts, customers,
-#: tables, and the sum of tables over the samples kept; then customers and tables in the parent by sample.
-_LISTS = {"ctx": np.dtype("<i4"), "c": np.dtype("<i8"), "t": np.dtype("<i8"), "sum_t": np.dtype("<i8")}
+#: A word's customers and tables in the parent by sample; a restaurant's tables by sample.
 _BY_SAMPLE = [f"{kind}_{s}" for s in range(SAMPLES) for kind in ("c0", "t0")]
-_SEATS = "w long, c_all long, ctx binary, c binary, t binary, sum_t binary, t0 long, " + "".join(f"{n} long, " for n in _BY_SAMPLE) + "made array<long>"
-_NAMES = [part.split()[0] for part in _SEATS.split(", ")]
-
-
-def _unpacked(column: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """Values of packed lists, one after the other, and the limits of the lists."""
-    limits = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    values = np.frombuffer(data, np.uint8)[limits[0]:limits[-1]].view(kind) if data is not None else np.zeros(0, kind)
-    return values, (limits - limits[0]).astype(np.int64) // kind.itemsize
-
+_TABLES = [f"tables_{s}" for s in range(SAMPLES)]
+_PAIR = ["u", "w", "c", "t", "sum_t"]
 
-def _packed(values: np.ndarray, limits: np.ndarray, kind: np.dtype) -> pa.Array:
-    data = np.ascontiguousarray(values, kind)
-    offsets = (limits * kind.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(limits) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
+def _drawn_pairs(rows: DataFrame, now: Totals, seed: int, kept: bool) -> DataFrame:
+    """Pairs with tables drawn anew, given (tables, c0, t0) of their restaurant and word."""
 
-def _told(totals: np.ndarray) -> pa.RecordBatch:
-    """A row without word that carries totals."""
-    kinds = [pa.int64(), pa.int64(), *[pa.binary()] * len(_LISTS), pa.int64(), *[pa.int64()] * len(_BY_SAMPLE)]
-    made = pa.array([totals.astype(np.int64).tolist()], pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds), made], _NAMES)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = {n: batch.column(n).to_numpy() for n in (*_PAIR, "tables", "c0", "t0")}
+            t = x["t"]
+            dish = x["w"].view(np.uint64) + np.uint64(seed + 1) * np.uint64(0x9E3779B97F4A7C15)
+            noise = mixed(mixed(dish) + (x["u"].view(np.uint64) + np.uint64(1)) * MIX)
+            c0 = x["c0"] - t
+            rest0 = np.minimum(x["t0"], c0)
+            base = (c0 - now.root_discount * rest0 + now.root_new) / (STRENGTH + now.root_customers - t)
+            t = seat(x["c"], (STRENGTH + now.discount * np.maximum(x["tables"] - t, 0)) * base, now.discount, noise)
+            made = [x["u"], x["w"], x["c"], t, x["sum_t"] + t if kept else x["sum_t"]]
+            yield pa.RecordBatch.from_arrays([pa.array(m) for m in made], _PAIR)
 
+    return rows.select(*_PAIR, "tables", "c0", "t0").mapInArrow(run, ", ".join(f"{n} long" for n in _PAIR))
 
-def _seats(cells: DataFrame, places: int) -> DataFrame:
-    """A row for every word from its counts (w, ctx, c), everyone of a context at one table; and rows of totals.
 
-    Totals are, by context: customers, dishes, dishes with one customer, and with two.
-    """
+def _drawn_words(words: DataFrame, now: Totals, seed: int) -> DataFrame:
+    """Words with their tables in the parent drawn anew from their customers there."""
+    names = words.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((4, places), np.int64)
-
-        def rows(w: np.ndarray, ctx: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
-            for i, chosen in enumerate((c, np.ones_like(c), c == 1, c == 2)):
-                totals[i] += np.bincount(ctx, weights=chosen, minlength=places).astype(np.int64)
-            first = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            limits = np.append(first, len(w))
-            lists = [_packed(x, limits, k) for x, k in zip((ctx, c, np.ones_like(c), np.zeros_like(c)), _LISTS.values())]
-            zeros = pa.array(np.zeros(len(first), np.int64))
-            return pa.RecordBatch.from_arrays([
-                pa.array(w[first]), pa.array(np.add.reduceat(c, first)), *lists, pa.array(np.ones(len(first), np.int64)),
-                *[zeros] * len(_BY_SAMPLE), pa.nulls(len(first), pa.list_(pa.int64())),
-            ], _NAMES)
-
-        rest = [np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)]
         for batch in batches:
-            parts = [np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate(rest)]
-            if not len(parts[0]):
-                continue
-            cut = int(np.searchsorted(parts[0], parts[0][-1]))  # the last word may go on
-            rest = [x[cut:] for x in parts]
-            if cut:
-                yield rows(*(x[:cut] for x in parts))
-        if len(rest[0]):
-            yield rows(*rest)
-        yield _told(totals.ravel())
+            columns = dict(zip(names, batch.columns))
+            dish = columns["w"].to_numpy().view(np.uint64) + np.uint64(seed + 1) * np.uint64(0x9E3779B97F4A7C15)
+            new0 = (STRENGTH + now.root_discount * np.maximum(now.root_tables - columns["t0"].to_numpy(), 0)) * now.uniform
+            columns["t0"] = pa.array(seat(columns["c0"].to_numpy(), new0, now.root_discount, mixed(dish)))
+            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
-    ordered = cells.select("w", "ctx", "c").repartition("w").sortWithinPartitions("w", "ctx")
-    return ordered.mapInArrow(run, _SEATS)
+    return words.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _sweep(rows: DataFrame, totals: Totals, seed: int, sample: int | None) -> DataFrame:
-    """One Gibbs sweep over the rows of words, kept as number *sample* if that is set; and rows of totals."""
-    shared = rows.sparkSession.sparkContext.broadcast(totals)
+def _with_made(rows: DataFrame, pairs: DataFrame, key: str, name: str) -> DataFrame:
+    """Set column *name* to the tables of the key's pairs: one for each seen once, and those drawn."""
+    made = pairs.groupBy(key).agg(F.sum("t").alias("_made"))
+    return rows.join(made, key, "left").withColumn(name, F.col("alone") + F.coalesce("_made", F.lit(0))).drop("_made")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = shared.value
-        made = np.zeros(len(now.customers) + 1, np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = dict(zip(_NAMES, batch.columns))
-            w = columns["w"].to_numpy()
-            (ctx, limits), (c, _), (t, _), (sum_t, _) = (_unpacked(columns[n], k) for n, k in _LISTS.items())
-            row = np.repeat(np.arange(len(w)), np.diff(limits))
-            t, t0 = t.copy(), columns["t0"].to_numpy()
-            dish = w.view(np.uint64) + np.uint64(seed + 1) * np.uint64(0x9E3779B97F4A7C15)
-            noise = mixed(dish[row] + (ctx + 1).astype(np.uint64) * MIX)
-            for half in (0, 1):  # rows of one word see each other's tables
-                mine = np.flatnonzero((ctx + w[row]) % 2 == half)
-                root = np.add.reduceat(t, limits[:-1])
-                c0 = root[row[mine]] - t[mine]
-                rest0 = np.minimum(t0[row[mine]], c0)
-                base = (c0 - now.root_discount * rest0 + now.root_new) / (STRENGTH + now.root_customers - t[mine])
-                weight = (STRENGTH + now.discount * np.maximum(now.tables[ctx[mine]] - t[mine], 0)) * base
-                t[mine] = seat(c[mine], weight, now.discount, noise[mine])
-            c0 = np.add.reduceat(t, limits[:-1])
-            new0 = (STRENGTH + now.root_discount * np.maximum(now.root_tables - t0, 0)) * now.uniform
-            t0 = seat(c0, new0, now.root_discount, mixed(dish))
-            made[:-1] += np.bincount(ctx, weights=t, minlength=len(made) - 1).astype(np.int64)
-            made[-1] += t0.sum()
-            columns |= {"t": _packed(t, limits, _LISTS["t"]), "t0": pa.array(t0)}
-            if sample is not None:
-                columns["sum_t"] = _packed(sum_t + t, limits, _LISTS["sum_t"])
-                columns |= {f"c0_{sample}": pa.array(c0), f"t0_{sample}": pa.array(t0)}
-            yield pa.RecordBatch.from_arrays([columns[n] for n in _NAMES], _NAMES)
-        yield _told(made)
-
-    return rows.filter("w IS NOT NULL").mapInArrow(run, _SEATS)
-
-
-def _sums(state: DataFrame, size: int) -> np.ndarray:
-    row = state.filter("w IS NULL").agg(*(F.sum(F.element_at("made", i + 1)) for i in range(size))).first()
-    return np.array([x or 0 for x in row], float)
-
-
-def _finished(rows: DataFrame, totals: Totals) -> DataFrame:
-    """Rows (w, c_all, ctx ARRAY, direct ARRAY, by sample): what a word has in each context beside the parent's share."""
-    shared = rows.sparkSession.sparkContext.broadcast(totals)
-    names = ["w", "c_all", "ctx", "direct", *_BY_SAMPLE]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = shared.value
-        for batch in batches:
-            columns = dict(zip(_NAMES, batch.columns))
-            (ctx, limits), (c, _), (sum_t, _) = (_unpacked(columns[n], _LISTS[n]) for n in ("ctx", "c", "sum_t"))
-            direct = (c - now.discount * sum_t / SAMPLES) / (STRENGTH + now.customers[ctx])
-            offsets = pa.array(limits, pa.int32())
-            columns["ctx"] = pa.ListArray.from_arrays(offsets, pa.array(ctx))
-            columns["direct"] = pa.ListArray.from_arrays(offsets, pa.array(direct))
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names)
-
-    kinds = "w long, c_all long, ctx array<int>, direct array<double>, " + ", ".join(f"{n} long" for n in _BY_SAMPLE)
-    return rows.filter("w IS NOT NULL").mapInArrow(run, kinds)
+def _looked_up(rows: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
+    """Left join with a stored table (one row per key, its size in ``dishes``) as in `join_lookup`."""
+    total = lookup.agg(F.sum("dishes")).first()[0] or 0
+    is_heavy = F.col("dishes") * HEAVY_SHARE >= F.lit(total)
+    heavy, light = F.broadcast(lookup.filter(is_heavy)).drop("dishes"), lookup.filter(~is_heavy).drop("dishes")
+    return rows.join(heavy, key).unionByName(
+        rows.join(heavy.select(key), key, "left_anti").join(light.hint("merge"), key, "left")
+    )
 
 
 def _discount(ones: int, twos: int) -> float:
@@ -305,9 +235,11 @@ def _discount(ones: int, twos: int) -> float:
 
 @dataclass
 class Model:
-    """Rows of the words (`_finished`), and the totals of the samples kept."""
+    """Stored tables of the words, the pairs (u, w, c, sum_t) and the restaurants; the heavy contexts, and the totals of the samples kept."""
 
     words: Stage
+    pairs: Stage
+    houses: Stage
     contexts: np.ndarray
     samples: list[Totals]
     trained: int
@@ -322,7 +254,7 @@ class Model:
         return (c0 - F.lit(x.root_discount) * t0 + F.lit(x.root_new)) / F.lit(STRENGTH + x.root_customers)
 
     def probability(self, ctx: Column) -> Column:
-        """Average over the samples, for a joined row of a token and its word (or none)."""
+        """Average over the samples, for a row of a word (or none) and the number of the start (0) or of a heavy context."""
         zero = F.lit(0).cast("long")
         total = F.when(
             F.array_contains("ctx", ctx), F.element_at("direct", F.array_position("ctx", ctx).cast("int"))
@@ -334,44 +266,93 @@ class Model:
         return total
 
 
+    def joined_probability(self) -> Column:
+        """The same for a row of a pair joined with its word, its restaurant and its counts, each of which may be missing."""
+        zero, n, first = F.lit(0).cast("long"), len(self.samples), self.samples[0]
+        customers = F.coalesce("customers", zero)
+        total = F.coalesce((F.col("c") - F.lit(first.discount) * F.col("sum_t") / n) / (F.lit(STRENGTH) + customers), F.lit(0.0))
+        for s, name in enumerate(_TABLES):
+            left = (F.lit(STRENGTH) + F.lit(first.discount) * F.coalesce(name, zero)) / (F.lit(STRENGTH) + customers)
+            c0, t0 = (F.coalesce(f"{kind}_{s}", zero) for kind in ("c0", "t0"))
+            total = total + left * self.parent(s, c0, t0) / n
+        return total
+
+    def pair_scores(self, wanted: DataFrame) -> DataFrame:
+        """Rows (u, w) of a stored table, each once, with score, base and whether the word is known; other columns stay."""
+        words = self.words.df.select("w", "c_all", "dishes", *_BY_SAMPLE)
+        with_w = stage(_looked_up(wanted, words, "w"), "wanted_words").df
+        with_u = stage(_looked_up(with_w, self.houses.df.select("u", "customers", "dishes", *_TABLES), "u"), "wanted_houses").df
+        return with_u.join(self.pairs.df, ["u", "w"], "left").select(
+            *wanted.columns, F.log10(self.joined_probability()).alias("pair_score"),
+            self.base(F.coalesce("c_all", F.lit(0))).alias("pair_base"), F.col("c_all").isNotNull().cast("long").alias("pair_known"),
+        )
+
+
 def train(docs: DataFrame, text_col: str = "text") -> Model:
-    """Learn from all rows of *docs*; what is kept between sweeps is a stored table of the words."""
-    texts = docs.select(F.col(text_col).alias("text"))
-    counts = stage(_counted(texts, None).select("w", "c"), "word_counts").df
-    trained, vocabulary, ones, twos = counts.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)
+    """Learn from all rows of *docs*; what is kept between sweeps are stored tables."""
+    spark = docs.sparkSession
+    counts = stage(_counted(docs.select(F.col(text_col).alias("text"))), "pair_counts").df
+    of_pairs = [
+        F.sum("c").alias("customers"), F.count(F.lit(1)).alias("dishes"),
+        F.count_if(F.col("c") == 1).alias("alone"), F.count_if(F.col("c") > 1).alias("drawn"),
+    ]
+    one = F.lit(1).cast("long")
+    houses = stage(counts.groupBy("u").agg(*of_pairs).withColumn("tables", F.col("dishes")), "houses")
+    words = stage(
+        counts.groupBy("w").agg(*of_pairs).withColumnRenamed("customers", "c_all").withColumns({"c0": F.col("dishes"), "t0": one}), "words"
+    )
+    trained, vocabulary, dishes, word_ones, word_twos = words.df.agg(
+        F.coalesce(F.sum("c_all"), F.lit(0)), F.count(F.lit(1)), F.coalesce(F.sum("dishes"), F.lit(0)),
+        F.count_if(F.col("c_all") == 1), F.count_if(F.col("c_all") == 2),
     ).first()
-    frequent = counts.filter((F.col("c") * CONTEXT_SHARE >= trained) & (F.col("w") != int(END))).select("w").collect()
+    ones, twos = counts.agg(F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    discount, root_discount = _discount(ones, twos), _discount(word_ones, word_twos)
+    frequent = words.df.filter((F.col("c_all") * CONTEXT_SHARE >= trained) & (F.col("w") != int(END))).select("w").collect()
     contexts = np.sort(np.array([r[0] for r in frequent], np.int64).view(np.uint64))
-    places = len(contexts) + 1
-    rows = stage(_seats(_counted(texts, contexts), places), "seats")
-    customers, dishes, single, double = _sums(rows.df, 4 * places).reshape(4, places)
-    totals = Totals(
-        customers, dishes, float(vocabulary), vocabulary,
-        _discount(int(single.sum()), int(double.sum())), _discount(ones, twos),
-    )
-    # a word that was seen once has one table whatever is drawn: it takes no part in the sweeps
-    kept = F.lit(1).cast("long")
-    alone = rows.df.filter("c_all = 1").withColumns({"sum_t": F.lit(SAMPLES.to_bytes(8, "little")), **dict.fromkeys(_BY_SAMPLE, kept)})
-    alone = stage(_finished(alone, totals), "words_seen_once").df
-    single_tables = np.array([x or 0 for x in alone.agg(
-        *(F.count_if(F.element_at("ctx", 1) == i) for i in range(places))).first()], float)
+    numbers = {int(u): i for i, u in enumerate([0, *contexts.view(np.int64)])}
+    nobody = np.zeros(len(numbers))
+
+    totals = Totals(nobody, nobody, float(dishes), float(vocabulary), vocabulary, discount, root_discount)
+    pairs = stage(counts.filter("c > 1").withColumns({"t": one, "sum_t": F.lit(0).cast("long")}), "pairs")
     samples = []
     for sweep in range(BURN_IN + SAMPLES):
-        before, sample = rows, sweep - BURN_IN if sweep >= BURN_IN else None
-        rows = stage(_sweep(before.df.filter("c_all > 1"), totals, sweep, sample), "seats")
-        before.drop()
-        made = _sums(rows.df, places + 1)
-        totals = replace(totals, tables=made[:-1] + single_tables, root_tables=float(made[-1] + single_tables.sum()))
+        sample = sweep - BURN_IN if sweep >= BURN_IN else None
+        old = [pairs, words, houses]
+        joined = stage(join_lookup(pairs.df, houses.df.select("u", "tables", "drawn"), "u", "drawn").select(*_PAIR, "tables"), "pairs_joined")
+        both = join_lookup(joined.df, words.df.select("w", "c0", "t0", "drawn"), "w", "drawn")
+        pairs = stage(_drawn_pairs(both, totals, sweep, sample is not None), "pairs")
+        tables, parent = _with_made(houses.df, pairs.df, "u", "tables"), _drawn_words(_with_made(words.df, pairs.df, "w", "c0"), totals, sweep)
+        if sample is not None:
+            tables = tables.withColumn(f"tables_{sample}", F.col("tables"))
+            parent = parent.withColumns({f"{kind}_{sample}": F.col(kind) for kind in ("c0", "t0")})
+        houses, words = stage(tables, "houses"), stage(parent, "words")
+        for done in (*old, joined):
+            done.drop()
+        sums = words.df.agg(F.sum("c0"), F.sum("t0")).first()
+        totals = Totals(nobody, nobody, float(sums[0] or 0), float(sums[1] or 0), vocabulary, discount, root_discount)
         if sample is not None:
             samples.append(totals)
-    words = stage(_finished(rows.df, totals).unionByName(alone), "words")
-    rows.drop()
-    return Model(words, contexts, samples, trained, vocabulary)
+
+    heavy = houses.df.filter(F.col("u").isin(list(numbers))).collect()
+    customers = np.array([next((r.customers for r in heavy if r.u == u), 0) for u in numbers], float)
+    for name, sample in zip(_TABLES, samples):
+        sample.customers = customers
+        sample.tables = np.array([next((r[name] for r in heavy if r.u == u), 0) for u in numbers], float)
+    seen = stage(counts.filter("c = 1").withColumn("sum_t", F.lit(SAMPLES).cast("long")).unionByName(pairs.df.drop("t")), "pairs_seen")
+    told = spark.createDataFrame([(u, i, c) for (u, i), c in zip(numbers.items(), customers.tolist())], "u long, at int, customers double")
+    direct = (F.col("c") - F.lit(discount) * F.col("sum_t") / SAMPLES) / (F.lit(STRENGTH) + F.col("customers"))
+    lists = seen.df.join(F.broadcast(told), "u").groupBy("w").agg(F.collect_list(F.struct("at", direct.alias("direct"))).alias("_in"))
+    finished = words.df.select("w", "c_all", "dishes", *_BY_SAMPLE).join(lists, "w", "left").withColumns(
+        {"ctx": F.col("_in.at"), "direct": F.col("_in.direct")}
+    ).drop("_in")
+    final = stage(finished, "words")
+    words.drop()
+    pairs.drop()
+    return Model(final, seen, houses, contexts, samples, trained, vocabulary)
 
 
 def _common(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of the common words: sorted hashes, base scores, and scores by context; `COMMON_SHARE` rows at most."""
+    """Of the common words: sorted hashes, base scores, and scores by heavy context; `COMMON_SHARE` rows at most."""
     chosen = model.words.df.filter(F.col("c_all") * COMMON_SHARE >= model.trained)
     places = range(len(model.contexts) + 1)
     told = chosen.select(
@@ -384,52 +365,76 @@ def _common(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return w[order], told.column("base").to_numpy()[order], by_context[order]
 
 
+def _pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mixed(mixed(u) + w * MIX)
+
+
+def _common_pairs(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the common pairs: sorted keys, base scores and scores; `COMMON_SHARE` rows at most."""
+    chosen = model.pairs.df.filter(F.col("c") * COMMON_SHARE >= model.trained).select("u", "w")
+    told = model.pair_scores(stage(chosen, "common_pairs").df).toArrow()
+    keys = _pair_keys(*(told.column(n).to_numpy().view(np.uint64) for n in ("u", "w")))
+    order = np.argsort(keys)
+    return keys[order], told.column("pair_base").to_numpy()[order], told.column("pair_score").to_numpy()[order]
+
+
+def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of *keys*, and whether they are there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.searchsorted(sorted_keys, keys).clip(max=len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of each row of *docs*: logarithms of base 10 of its probability.
 
-    A null or empty text is its end alone.  Repeated rows are scored each.  Rare words are
-    joined with their probabilities by hash, so no table of the whole vocabulary is sent
-    around; the result is summed per row before and after the shuffle.
+    A null or empty text is its end alone.  Repeated rows are scored each.  Common words after
+    heavy contexts and common pairs are scored where the text is read; all others are scored once for each
+    pair of words and joined, so no table of the whole vocabulary is sent around.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((_common(model), model.contexts))
-    names = ["_row", "id", "n_tokens", "n_known", "base", "score", "w", "at"]
+    shared = docs.sparkSession.sparkContext.broadcast((_common(model), _common_pairs(model), model.contexts))
+    names = ["_row", "id", "n_tokens", "n_known", "base", "score", "u", "w"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (common, base, by_context), contexts = shared.value
+        (common, base, by_context), (pairs, pair_base, pair_score), contexts = shared.value
         for batch in batches:
             sizes, known, bases, scores, rare, where = [], [], [], [], [], []
             for text in batch.column(2):
                 w = tokens(text.as_py())
-                ctx = contexts_of(w, contexts)
-                at = np.searchsorted(common, w).clip(max=max(0, len(common) - 1))
-                is_common = common[at] == w if len(common) else np.zeros(len(w), bool)
-                at, there = at[is_common], ctx[is_common]
+                u = before(w)
+                ctx, is_heavy = _found(contexts, u)
+                ctx, is_heavy = np.where(is_heavy, ctx + 1, 0), is_heavy | (u == END)
+                at, here = _found(common, w)
+                here &= is_heavy
+                in_pairs, paired = _found(pairs, _pair_keys(u, w))
+                paired &= ~here
+                left = ~here & ~paired
                 sizes.append(len(w))
-                known.append(len(at))
-                bases.append(base[at].sum() if len(at) else 0.0)
-                scores.append(by_context[at, there].sum() if len(at) else 0.0)
-                rare.append(w[~is_common].view(np.int64))
-                where.append(ctx[~is_common].astype(np.int16))
+                known.append(len(w) - int(left.sum()))
+                bases.append(base[at[here]].sum() + pair_base[in_pairs[paired]].sum())
+                scores.append(by_context[at[here], ctx[here]].sum() + pair_score[in_pairs[paired]].sum())
+                rare.append(w[left].view(np.int64))
+                where.append(u[left].view(np.int64))
             offsets = np.zeros(len(rare) + 1, np.int32)
             np.cumsum([len(x) for x in rare], out=offsets[1:])
+            empty = [np.zeros(0, np.int64)]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(known, pa.int64()),
                 pa.array(bases, pa.float64()), pa.array(scores, pa.float64()),
-                pa.ListArray.from_arrays(offsets, np.concatenate(rare)), pa.ListArray.from_arrays(offsets, np.concatenate(where)),
+                pa.ListArray.from_arrays(offsets, np.concatenate(where + empty)), pa.ListArray.from_arrays(offsets, np.concatenate(rare + empty)),
             ], names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    kinds = "_row long, id long, n_tokens long, n_known long, base double, score double, w array<long>, at array<short>"
+    kinds = "_row long, id long, n_tokens long, n_known long, base double, score double, u array<long>, w array<long>"
     parts = stage(rows.mapInArrow(run, kinds), "scored_parts").df  # row numbers stay as they are from here on
-    rare = parts.select("_row", F.inline(F.arrays_zip("w", "at")))
-    words = model.words.df.filter(F.col("c_all") * COMMON_SHARE < model.trained)
-    joined = rare.join(words.hint("merge"), "w", "left")
-    sums = joined.groupBy("_row").agg(
-        F.sum(F.log10(model.probability(F.col("at").cast("int")))).alias("rare_score"),
-        F.sum(model.base(F.coalesce("c_all", F.lit(0)))).alias("rare_base"),
-        F.count("c_all").alias("rare_known"),
+    rare = parts.select("_row", F.inline(F.arrays_zip("u", "w")))
+    wanted = stage(rare.groupBy("u", "w").agg(F.count(F.lit(1)).alias("n")), "wanted_pairs").df
+    scored = stage(model.pair_scores(wanted), "pair_scores").df
+    sums = join_lookup(rare, scored, ["u", "w"], "n").groupBy("_row").agg(
+        F.sum("pair_score").alias("rare_score"), F.sum("pair_base").alias("rare_base"), F.sum("pair_known").alias("rare_known")
     )
-    return parts.drop("w", "at").join(sums, "_row", "left").select(
+    return parts.drop("u", "w").join(sums, "_row", "left").select(
         F.col("id").alias(id_col), "n_tokens",
         (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"),
