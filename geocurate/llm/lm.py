@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geocurate.llm.common import HEAVY_SHARE, join_lookup
+from geocurate.llm.common import HEAVY_SHARE, join_lookup, release
 from geocurate.llm.words import MIX, mixed, word_hashes
 from geocurate.runtime import Stage, stage
 
@@ -34,7 +34,7 @@ CONTEXT_SHARE = 200
 #: contexts, and so is a pair that does (no more of each than this); the others meet their probabilities by a join.
 COMMON_SHARE = 40_000
 #: Sweeps before the first sample that is kept, and samples kept.
-BURN_IN, SAMPLES = 1, 2
+BURN_IN, SAMPLES = 2, 3
 STRENGTH = 1.0
 #: Customers of one dish in one restaurant up to which their tables are drawn in one exact step.
 EXACT = 128
@@ -114,12 +114,29 @@ def _uniform(noise: np.ndarray, step: int) -> np.ndarray:
     return (mixed(noise + np.array([step + 1], np.uint64) * MIX) >> np.uint64(11)) * 2.0**-53
 
 
+def _binomial(n: np.ndarray, chance: np.ndarray, uniform: np.ndarray) -> np.ndarray:
+    """The binomial quantile of *uniform*, by adding up the odds from 0; for small expected numbers."""
+    out = np.where(chance >= 1, n, 0)
+    going = np.flatnonzero((chance < 1) & (n > 0))
+    odds = np.exp(n[going] * np.log1p(-chance[going]))
+    total, ratio = odds.copy(), chance[going] / (1 - chance[going])
+    k = 0
+    while True:
+        more = (uniform[going] > total) & (k < n[going]) & (odds > 1e-18)
+        going, odds, total, ratio = going[more], odds[more], total[more], ratio[more]
+        if not len(going):
+            return out
+        odds = odds * (n[going] - k) / (k + 1) * ratio
+        total, k = total + odds, k + 1
+        out[going] = k
+
+
 def seat(c: np.ndarray, new_table: np.ndarray, discount: float, noise: np.ndarray) -> np.ndarray:
     """Draw the number of tables of c customers who all eat one dish; *noise* is a random integer of each row.
 
     ``new_table`` is what a new table weighs for that dish.  Up to `EXACT` customers the draw
     is from the exact conditional distribution over all seatings; further ones arrive in groups of
-    a sixteenth, each group seated given those before, with the fraction of the expected number drawn.
+    a 32nd at most, and how many of a group open a table is drawn (`_binomial`) given those before.
     """
     tables, uniform = np.minimum(c, 1), _uniform(noise, 0)
     weights = _table_weights(discount)
@@ -137,10 +154,12 @@ def seat(c: np.ndarray, new_table: np.ndarray, discount: float, noise: np.ndarra
     step = 0
     while len(many):
         step += 1
-        group = np.minimum(np.maximum(seated // 16, 1), c[many] - seated)
         weight = new_table[many]
-        chance = weight / np.maximum(seated - discount * tables[many] + weight, 1e-12)
-        tables[many] += np.floor(group * np.clip(chance, 0, 1) + _uniform(noise[many], step)).astype(np.int64)
+        chance = np.clip(weight / np.maximum(seated - discount * tables[many] + weight, 1e-12), 0, 1)
+        # no group expects more than a few tables, which keeps the draw short and the chance near enough
+        most = np.maximum(np.minimum(seated // 32, 8 / np.maximum(chance, 1e-9)), 1).astype(np.int64)
+        group = np.minimum(most, c[many] - seated)
+        tables[many] += _binomial(group, chance, _uniform(noise[many], step))
         seated = seated + group
         going = seated < c[many]
         many, seated = many[going], seated[going]
@@ -280,18 +299,25 @@ class Model:
     def pair_scores(self, wanted: DataFrame) -> DataFrame:
         """Rows (u, w) of a stored table, each once, with score, base and whether the word is known; other columns stay."""
         words = self.words.df.select("w", "c_all", "dishes", *_BY_SAMPLE)
-        with_w = stage(_looked_up(wanted, words, "w"), "wanted_words").df
-        with_u = stage(_looked_up(with_w, self.houses.df.select("u", "customers", "dishes", *_TABLES), "u"), "wanted_houses").df
-        return with_u.join(self.pairs.df, ["u", "w"], "left").select(
+        with_w = stage(_looked_up(wanted, words, "w"), "wanted_words")
+        with_u = stage(_looked_up(with_w.df, self.houses.df.select("u", "customers", "dishes", *_TABLES), "u"), "wanted_houses")
+        with_w.drop()
+        release(wanted.sparkSession)
+        scored = stage(with_u.df.join(self.pairs.df, ["u", "w"], "left").select(
             *wanted.columns, F.log10(self.joined_probability()).alias("pair_score"),
             self.base(F.coalesce("c_all", F.lit(0))).alias("pair_base"), F.col("c_all").isNotNull().cast("long").alias("pair_known"),
-        )
+        ), "pair_scores")
+        with_u.drop()
+        release(wanted.sparkSession)
+        return scored.df
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Model:
     """Learn from all rows of *docs*; what is kept between sweeps are stored tables."""
     spark = docs.sparkSession
-    counts = stage(_counted(docs.select(F.col(text_col).alias("text"))), "pair_counts").df
+    counted = stage(_counted(docs.select(F.col(text_col).alias("text"))), "pair_counts")
+    counts = counted.df
+    release(spark)  # here and below: finished shuffles would pile up on disk
     of_pairs = [
         F.sum("c").alias("customers"), F.count(F.lit(1)).alias("dishes"),
         F.count_if(F.col("c") == 1).alias("alone"), F.count_if(F.col("c") > 1).alias("drawn"),
@@ -328,6 +354,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         houses, words = stage(tables, "houses"), stage(parent, "words")
         for done in (*old, joined):
             done.drop()
+        release(spark)
         sums = words.df.agg(F.sum("c0"), F.sum("t0")).first()
         totals = Totals(nobody, nobody, float(sums[0] or 0), float(sums[1] or 0), vocabulary, discount, root_discount)
         if sample is not None:
@@ -346,8 +373,9 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         {"ctx": F.col("_in.at"), "direct": F.col("_in.direct")}
     ).drop("_in")
     final = stage(finished, "words")
-    words.drop()
-    pairs.drop()
+    for done in (counted, words, pairs):
+        done.drop()
+    release(spark)
     return Model(final, seen, houses, contexts, samples, trained, vocabulary)
 
 
@@ -429,8 +457,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kinds = "_row long, id long, n_tokens long, n_known long, base double, score double, u array<long>, w array<long>"
     parts = stage(rows.mapInArrow(run, kinds), "scored_parts").df  # row numbers stay as they are from here on
     rare = parts.select("_row", F.inline(F.arrays_zip("u", "w")))
-    wanted = stage(rare.groupBy("u", "w").agg(F.count(F.lit(1)).alias("n")), "wanted_pairs").df
-    scored = stage(model.pair_scores(wanted), "pair_scores").df
+    wanted = stage(rare.groupBy("u", "w").agg(F.count(F.lit(1)).alias("n")), "wanted_pairs")
+    release(docs.sparkSession)
+    scored = model.pair_scores(wanted.df)
+    wanted.drop()
     sums = join_lookup(rare, scored, ["u", "w"], "n").groupBy("_row").agg(
         F.sum("pair_score").alias("rare_score"), F.sum("pair_base").alias("rare_base"), F.sum("pair_known").alias("rare_known")
     )

@@ -32,3 +32,15 @@ def test_light_contexts_sum_to_one(spark):
     wanted = stage(spark.createDataFrame(rows, "u long, w long"), "wanted").df
     sums = model.pair_scores(wanted).groupBy("u").agg(F.sum(F.pow(F.lit(10.0), "pair_score")).alias("p")).collect()
     assert len(sums) == 4 and all(r.p == pytest.approx(1.0, abs=1e-9) for r in sums)
+
+
+def test_large_dishes_are_drawn():
+    """Tables of a large dish vary as seating its customers one by one does after the exact draw, not by rounding alone."""
+    draws, c, weight, d = 4000, 600, 6.0, 0.5
+    noise = np.random.default_rng(2).integers(0, 1 << 62, draws).astype(np.uint64)
+    got = lm.seat(np.full(draws, c), np.full(draws, weight), d, noise)
+    rng, t = np.random.default_rng(3), lm.seat(np.full(draws, lm.EXACT), np.full(draws, weight), d, noise).astype(float)
+    for n in range(lm.EXACT, c):
+        t += rng.random(draws) < weight / (n - d * t + weight)
+    assert got.mean() == pytest.approx(t.mean(), rel=0.02)
+    assert got.std() == pytest.approx(t.std(), rel=0.08)
