@@ -13,10 +13,28 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 
+#: Lengths of the IBANs of countries whose account parts have letters or may have them.
+IBAN_LENGTHS = {
+    "AD": 24, "AZ": 28, "BG": 22, "BH": 22, "BR": 29, "CH": 21, "CY": 28, "DO": 28, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18,
+    "GR": 27, "GT": 28, "IE": 22, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LU": 20, "LV": 21, "MC": 27, "MD": 24,
+    "MT": 31, "MU": 30, "NL": 18, "PK": 24, "PS": 29, "QA": 29, "RO": 24, "SA": 24, "SC": 31, "SM": 27, "TR": 26, "UA": 29, "VG": 24,
+}
+
+
+def _iban_forms() -> str:
+    """One form for each length, which the country gives, so what follows an IBAN can't join it."""
+    forms = []
+    for n in sorted(set(IBAN_LENGTHS.values())):
+        countries = "|".join(c for c, length in IBAN_LENGTHS.items() if length == n)
+        rest = f"(?: ?[A-Z0-9]{{{n % 4}}})" if n % 4 else ""
+        forms.append(f"(?:{countries})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}{rest}")
+    return "|".join(forms)
+
+
 # Forms of the kinds.  The first kind that fits at a place counts.
 FORMS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){2,6}(?: ?[0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:{_iban_forms()}|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{2,6}}(?: ?[0-9]{{1,3}})?)(?![A-Za-z0-9])",
     "date": r"(?<![0-9])(?<![0-9][./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./-][0-9])",
     "ip": r"(?<![0-9])(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9])(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
@@ -109,6 +127,19 @@ def _refilled(form: Column, digits: Column) -> Column:
     )
 
 
+def _respaced(form: Column, chars: Column) -> Column:
+    """*chars* with spaces where *form* has them."""
+    return F.array_join(
+        F.transform(
+            F.split(form, ""),
+            lambda ch, j: F.when(ch == " ", ch).otherwise(
+                F.substring(chars, F.length(F.regexp_replace(F.substring(form, F.lit(1), j + 1), " ", "")), F.lit(1))
+            ),
+        ),
+        "",
+    )
+
+
 def _luhn(digits: Column) -> Column:
     """The check digit for the digits before it."""
     double = F.transform(F.split(F.reverse(digits), ""), lambda ch, j: ch.cast("int") * F.when(j % 2 == 0, 2).otherwise(1))
@@ -120,9 +151,9 @@ def _mod_97(digits: Column) -> Column:
     return F.aggregate(F.split(digits, ""), F.lit(0), lambda s, ch: F.pmod(s * 10 + ch.cast("int"), F.lit(97)))
 
 
-def _letters_as_numbers(country: Column) -> Column:
-    number = lambda i: (F.ascii(F.substring(country, i, 1)) - 55).cast("string")
-    return F.concat(number(1), number(2))
+def _letters_as_numbers(text: Column) -> Column:
+    """*text* with every capital as two digits."""
+    return F.array_join(F.transform(F.split(text, ""), lambda ch: F.when(F.rlike(ch, F.lit("[A-Z]")), (F.ascii(ch) - 55).cast("string")).otherwise(ch)), "")
 
 
 def _email(m: Column, key: str, back: bool) -> Column:
@@ -140,18 +171,18 @@ def _card(m: Column, key: str, back: bool) -> Column:
 
 
 def _iban(m: Column, key: str, back: bool) -> Column:
-    country, d = F.substring(m, 1, 2), _digits(m)
-    check, body = F.substring(d, 1, 2), F.substring(d, F.lit(3), F.length(d))
+    country, d = F.substring(m, 1, 2), F.regexp_replace(m, " ", "")
+    check, body = F.substring(d, 3, 2), F.substring(d, F.lit(5), F.length(d))
     tail = _letters_as_numbers(country)
-    right = _mod_97(F.concat(body, tail, check)) == 1
+    right = _mod_97(F.concat(_letters_as_numbers(body), tail, check)) == 1
     new = F.element_at(
         F.transform(
             F.array(permute_text(body, "iban", key, back)),
-            lambda x: F.concat(F.lpad((98 - _mod_97(F.concat(x, tail, F.lit("00")))).cast("string"), 2, "0"), x),
+            lambda x: F.concat(country, F.lpad((98 - _mod_97(F.concat(_letters_as_numbers(x), tail, F.lit("00")))).cast("string"), 2, "0"), x),
         ),
         1,
     )
-    return F.when(right, _refilled(m, new)).otherwise(m)
+    return F.when(right, _respaced(m, new)).otherwise(m)
 
 
 def _phone(m: Column, key: str, back: bool) -> Column:
