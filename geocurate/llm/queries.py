@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geocurate.llm import bpe, decontaminate, dedup, lm, ngram_join, pii, quality, secrets, toxicity, warc
+from geocurate.llm import bpe, curves, decontaminate, dedup, lm, ngram_join, pii, quality, secrets, toxicity, warc, whiten
 from geocurate.llm.common import table
 from geocurate.runtime import new_path
 
@@ -152,3 +152,22 @@ def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms for personal data, and how many of each kind were set."""
     safe = pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
     return safe.select("doc_id", "text", *(F.col(f"personal.{kind}").alias(f"n_{kind}") for kind in pii.FORMS))
+
+
+@query("op11_curve_neighbours")
+def op11_curve_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found for every hundredth one, from all vectors."""
+    found = curves.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("distance").alias("score"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first four whitened components of every vector, learned from all distinct ones."""
+    white, whitening, error = whiten.whiten(table(spark, sf_dir, "embeddings"), components=4)
+    share = F.array(*[F.lit(float(v / whitening.trace)) for v in whitening.values]).cast("array<double>")
+    each = white.select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select(
+        "vec_id", (F.col("at") + 1).alias("component"), F.lit(whitening.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(share, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"),
+    )
