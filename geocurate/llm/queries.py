@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geocurate.llm import bpe, curves, decontaminate, dedup, lm, ngram_join, pii, quality, secrets, toxicity, warc, whiten
+from geocurate.llm import bpe, curves, decontaminate, dedup, lm, ngram_join, phrases, pii, quality, secrets, toxicity, warc, whiten
 from geocurate.llm.common import table
 from geocurate.runtime import new_path
 
@@ -171,3 +171,49 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         "vec_id", (F.col("at") + 1).alias("component"), F.lit(whitening.n).cast("long").alias("n"), "deviation", "whitened",
         F.get(share, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"),
     )
+
+
+OP13_SQL = r"""
+WITH pieces AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents)
+), words AS (
+    SELECT lang, w1, count(*) AS f FROM (SELECT lang, unnest(w) AS w1 FROM pieces) GROUP BY lang, w1
+), totals AS (
+    SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM words GROUP BY lang
+), pairs AS (
+    SELECT lang, w1, w2, count(*) AS f FROM (
+        SELECT lang, unnest(w[:-2]) AS w1, unnest(w[2:]) AS w2 FROM pieces WHERE len(w) > 1) GROUP BY lang, w1, w2 HAVING count(*) >= 10
+), triples AS (
+    SELECT lang, w1, w2, w3, count(*) AS f FROM (
+        SELECT lang, unnest(w[:-3]) AS w1, unnest(w[2:-2]) AS w2, unnest(w[3:]) AS w3 FROM pieces WHERE len(w) > 2)
+    GROUP BY lang, w1, w2, w3 HAVING count(*) >= 10
+), longer AS (
+    SELECT lang, w1, w2, max(f) AS f FROM (
+        SELECT lang, w1, w2, f FROM triples UNION ALL SELECT lang, w2, w3, f FROM triples) GROUP BY lang, w1, w2
+), scored AS (
+    SELECT p.lang, p.w1 || ' ' || p.w2 AS phrase, p.f AS a, x.f AS l, y.f AS r,
+        CAST(1000000::HUGEINT * p.f * p.f // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+    FROM pairs p JOIN words x ON p.lang = x.lang AND p.w1 = x.w1 JOIN words y ON p.lang = y.lang AND p.w2 = y.w1
+        LEFT JOIN longer g ON p.lang = g.lang AND p.w1 = g.w1 AND p.w2 = g.w2
+    WHERE g.f IS NULL OR 100 * g.f < 50 * p.f
+    UNION ALL
+    SELECT lang, phrase, a, CASE WHEN s2 < s1 THEN l2 ELSE l1 END, CASE WHEN s2 < s1 THEN r2 ELSE r1 END, CAST(least(s1, s2) AS BIGINT) FROM (
+        SELECT *, 1000000::HUGEINT * a * a // (l1::HUGEINT * r1) AS s1, 1000000::HUGEINT * a * a // (l2::HUGEINT * r2) AS s2 FROM (
+            SELECT t.lang, t.w1 || ' ' || t.w2 || ' ' || t.w3 AS phrase, t.f AS a, x.f AS l1, q.f AS r1, p.f AS l2, z.f AS r2
+            FROM triples t JOIN words x ON t.lang = x.lang AND t.w1 = x.w1 JOIN words z ON t.lang = z.lang AND t.w3 = z.w1
+                JOIN pairs p ON t.lang = p.lang AND t.w1 = p.w1 AND t.w2 = p.w2
+                JOIN pairs q ON t.lang = q.lang AND t.w2 = q.w1 AND t.w3 = q.w2))
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM scored
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", OP13_SQL)
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 collocations of two or three words of every language."""
+    return phrases.mine(table(spark, sf_dir, "documents"))
