@@ -9,15 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geocurate.functions import vectors as V
 from geocurate.operators import places
-from geocurate.runtime import arrow_rows, new_path, stage
+from geocurate.runtime import arrow_rows, stage
 
 _EPS = 1e-12  # floor of the norm when similarities are taken
 
@@ -48,15 +47,13 @@ def _by_size(
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rows of places that fit a task, and rows of larger places (None if there are none).
 
-    Where there are larger places, *df* is written once and both parts read it, so that a
-    join below it runs once.
+    Nothing is written but the large places' numbers: a join below *df* is read by each part for its own rows.
     """
     limit = task_rows(width or _width(df, vector), max_task_values)
     sizes = places.place_sizes(df if manifest is None else manifest)
     large = stage(sizes.filter(F.col("num_images") > limit).select("place_id"), "large_places").df
     if large.isEmpty():
         return df, None
-    df = stage(df, "joined").df
     return df.join(large, "place_id", "left_anti"), df.join(large, "place_id", "left_semi")
 
 
@@ -120,24 +117,25 @@ def coherence_filter(
     embeddings need no second pass over the vectors.
 
     Places that fit a task are filtered there, streamed from one shuffle on
-    ``place_id``.  Larger places never meet in one task: see :func:`_rounds`.
+    ``place_id``.  Larger places never meet in one task: see :mod:`elimination`.
 
     Where *df* is a join with a store of vectors, *manifest* is its narrow side, from which
     the places are counted, and *width* the length of a vector; then the join runs once.
     """
+    from geocurate.operators import elimination  # it builds on this module
+
+    width = width or _width(df, vector)
     small, large = _by_size(df, vector, max_task_values, manifest, width)
     kept = _stream(small, tau, min_images, vector, keep_vector, place_mean)
     if large is None:
         return kept
-    candidates = min(round_candidates, task_rows(width or _width(large, vector), max_task_values))
-    dropped = _rounds(large, tau, vector, candidates)
-    rest = large.join(dropped, ["place_id", "image_id"], "left_anti")
-    rest = places.min_images(rest, min_images)
+    blocks = elimination.BlockTable.write(large, vector, width)
+    drops = elimination.dropped(blocks, tau, min(round_candidates, task_rows(width, max_task_values)))
+    rest = large if keep_vector or manifest is None else manifest.join(blocks.df.select("place_id"), "place_id", "left_semi")
+    rest = places.min_images(rest.join(drops, ["place_id", "image_id"], "left_anti"), min_images)
     if place_mean:
-        means = rest.groupBy("place_id").agg(
-            F.min("image_id").alias("image_id"), V.mean_vector(F.col(vector)).alias("place_mean")
-        )
-        rest = rest.join(means, ["place_id", "image_id"], "left").select(*rest.columns, "place_mean")
+        means = elimination.block_means(blocks, drops, [tau])
+        rest = rest.join(means, ["place_id", "image_id"], "left").withColumn("place_mean", F.get("place_means", F.lit(0))).drop("place_means")
     return kept.unionByName(rest if keep_vector else rest.drop(vector))
 
 
@@ -223,13 +221,18 @@ def _keep_mask(
     return keep, means
 
 
+def worst_of(gain: np.ndarray, n: int) -> int:
+    """The first image with the lowest gain; gains that differ by rounding alone are equal."""
+    return int(np.argmax(gain <= gain.min() + 1e-13 * n))
+
+
 def _greedy(u: np.ndarray, tau: float) -> np.ndarray:
     """Alive mask of one place after dropping worst images one by one."""
     n = len(u)
     alive = np.ones(n, dtype=bool)
     gain = u @ u.sum(axis=0) - np.einsum("ij,ij->i", u, u)
     while n > 1:
-        worst = int(np.argmin(gain))
+        worst = worst_of(gain, n)
         if gain[worst] / (n - 1) >= tau:
             break
         alive[worst] = False
@@ -239,141 +242,6 @@ def _greedy(u: np.ndarray, tau: float) -> np.ndarray:
     return alive
 
 
-# -- places larger than a task ------------------------------------------------
-
-
-def _rounds(df: DataFrame, tau: float, vector: str, candidates: int) -> DataFrame:
-    """Dropped (place_id, image_id) of places that are larger than a task.
-
-    Each round scores all images of the unfinished places in parallel (rows salted
-    by image, the place sum replicated to the salts), and hands the *candidates*
-    lowest images of a place, with the next score as a barrier, to one task.  There
-    drops are replayed one by one with exact updates.  After drops that sum to the
-    vector D no outside image can score below ``barrier - |D|``, so a drop counts
-    only while its own score is below that bound; otherwise the next round scores
-    afresh.  The first drop of a round is always certain, hence every round gains,
-    and the outcome is that of the one-by-one procedure.
-    """
-    spark = df.sparkSession
-    salts = max(8, spark.sparkContext.defaultParallelism)
-    units = stage(
-        df.select(
-            "place_id",
-            "image_id",
-            F.pmod(F.xxhash64("image_id"), F.lit(salts)).alias("_salt"),
-            V.l2_normalize(F.col(vector), _EPS).alias("_u"),
-        ),
-        "units",
-    ).df
-    state = stage(
-        units.groupBy("place_id").agg(
-            F.count("*").alias("_n"), V.sum_vector(F.col("_u")).alias("_s")
-        ),
-        "place_state",
-    )
-    dropped_path = new_path(spark, "dropped")
-    dropped_schema = "place_id long, image_id long"
-    spark.createDataFrame([], dropped_schema).write.parquet(dropped_path)
-
-    while not state.df.isEmpty():
-        dropped = spark.read.schema(dropped_schema).parquet(dropped_path)
-        spread = state.df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        spread = spread.withColumn("_salt", F.col("_salt").cast("long"))
-        scored = (
-            units.join(dropped, ["place_id", "image_id"], "left_anti")
-            .join(spread, ["place_id", "_salt"])
-            .select(
-                "place_id", "image_id", "_salt", "_n",
-                (V.dot(F.col("_u"), F.col("_s")) - V.dot(F.col("_u"), F.col("_u"))).alias("_gain"),
-            )
-        )
-        lowest = _lowest(scored, candidates + 1)
-        outcome = stage(
-            lowest.join(units.drop("_salt"), ["place_id", "image_id"])
-            .groupBy("place_id")
-            .applyInPandas(
-                _replay(tau, candidates), "place_id long, image_id long, finished boolean"
-            ),
-            "outcome",
-        )
-        gone = outcome.df.filter(F.col("image_id").isNotNull()).select("place_id", "image_id")
-        gone.write.mode("append").parquet(dropped_path)
-        lost = (
-            units.join(gone, ["place_id", "image_id"])
-            .groupBy("place_id")
-            .agg(F.count("*").alias("_k"), V.sum_vector(F.col("_u")).alias("_d"))
-        )
-        open_places = outcome.df.filter(~F.col("finished")).select("place_id").distinct()
-        following = stage(
-            state.df.join(open_places, "place_id", "left_semi")
-            .join(lost, "place_id")
-            .select(
-                "place_id",
-                (F.col("_n") - F.col("_k")).alias("_n"),
-                V.add_scaled(F.col("_s"), F.col("_d"), -1.0).alias("_s"),
-            ),
-            "place_state",
-        )
-        state.drop()
-        outcome.drop()
-        state = following
-    return spark.read.schema(dropped_schema).parquet(dropped_path)
-
-
-def _lowest(scored: DataFrame, k: int) -> DataFrame:
-    """The k lowest rows of each place: first inside each salt, then across salts."""
-    order = [F.col("_gain"), F.col("image_id")]
-    inner = Window.partitionBy("place_id", "_salt").orderBy(*order)
-    outer = Window.partitionBy("place_id").orderBy(*order)
-    return (
-        scored.withColumn("_r", F.row_number().over(inner))
-        .filter(F.col("_r") <= k)
-        .withColumn("_r", F.row_number().over(outer))
-        .filter(F.col("_r") <= k)
-        .drop("_salt")
-    )
-
-
-def _replay(tau: float, candidates: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_r")
-        place, n = int(rows["place_id"].iloc[0]), int(rows["_n"].iloc[0])
-        more = len(rows) > candidates
-        barrier = float(rows["_gain"].iloc[-1]) if more else np.inf
-        # of equal gains the smallest id falls first, as in places that fit a task
-        inside = (rows.iloc[:candidates] if more else rows).sort_values("image_id")
-        ids = inside["image_id"].to_numpy()
-        u = np.stack(inside["_u"].to_numpy())
-        gain = inside["_gain"].to_numpy(dtype=np.float64).copy()
-        gone: list[int] = []
-        total = np.zeros(u.shape[1])
-        finished = False
-        while True:
-            if n <= 1:
-                finished = True
-                break
-            if len(gone) == len(ids):
-                break
-            worst = int(np.argmin(gain))
-            if gone and gain[worst] >= barrier - np.linalg.norm(total) - 1e-9:
-                break
-            if gain[worst] / (n - 1) >= tau:
-                finished = True
-                break
-            gone.append(worst)
-            total += u[worst]
-            gain -= u @ u[worst]
-            gain[gone] = np.inf
-            n -= 1
-        out = pd.DataFrame({"place_id": place, "image_id": pd.array(ids[gone], dtype="Int64")})
-        status = pd.DataFrame({"place_id": [place], "image_id": pd.array([None], dtype="Int64")})
-        out = pd.concat([out, status], ignore_index=True)
-        out["finished"] = finished
-        return out
-
-    return run
-
-
 def staged_filter(df: DataFrame, rows_per_batch: int = 512, **options) -> DataFrame:
     """:func:`coherence_filter` written once, with Arrow batches fit for wide vectors."""
     with arrow_rows(df.sparkSession, rows_per_batch):

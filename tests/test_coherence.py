@@ -23,7 +23,7 @@ def one_by_one(vectors, tau):
         sim = u[alive] @ u[alive].T
         np.fill_diagonal(sim, 0.0)
         mean = sim.sum(axis=1) / (len(alive) - 1)
-        worst = int(mean.argmin())
+        worst = int((mean <= mean.min() + 1e-12).argmax())  # of equal scores the smallest id
         if mean[worst] >= tau:
             break
         alive.pop(worst)
