@@ -45,6 +45,17 @@ def images_per_supergroup_stats(df: DataFrame) -> DataFrame:
     return distribution(supergroup_sizes(df), "num_images")
 
 
+def analysis(df: DataFrame) -> DataFrame:
+    """Spread of images per place, places and images per supergroup: a row per measure, with the standard deviation."""
+    parts = {"images_per_place": images_per_place_stats(df)}
+    if "supergroup_id" in df.columns:
+        sizes = stage(supergroup_sizes(df), "supergroup_sizes").df
+        parts["places_per_supergroup"] = distribution(sizes, "num_places")
+        parts["images_per_supergroup"] = distribution(sizes, "num_images")
+    lines = [table.select(F.lit(name).alias("measure"), "*") for name, table in parts.items()]
+    return reduce(DataFrame.unionByName, lines)
+
+
 def source_stats(df: DataFrame) -> DataFrame:
     """Per source: images, places, shares in percent and images-per-place spread."""
     per_place = images_per_place(df, ["source", "place_id"])
@@ -78,9 +89,13 @@ def supergroup_stats(df: DataFrame) -> DataFrame:
 
 
 def schema_table(df: DataFrame) -> DataFrame:
-    """Columns and types of a table."""
-    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "position int, column string, type string")
+    """Columns and types of a table, with its number of rows and of nulls in each column."""
+    fields = list(enumerate(df.schema.fields))
+    line = lambda i, f: F.struct(
+        F.lit(i).alias("position"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
+        F.count(F.lit(1)).alias("num_rows"), F.count_if(F.col(f"`{f.name}`").isNull()).alias("num_nulls"),
+    )
+    return df.agg(F.array(*[line(i, f) for i, f in fields]).alias("lines")).select(F.inline("lines"))
 
 
 def _stats(prefix: list[str]) -> Column:
@@ -96,10 +111,11 @@ def _by_key(a: Column, b: Column) -> Column:
     return F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)
 
 
-def _schema_struct(df: DataFrame) -> Column:
+def _schema_struct(df: DataFrame, num_rows: Column) -> Column:
     return F.struct(
         F.array(*[F.lit(c) for c in df.columns]).alias("columns"),
         F.array(*[F.lit(f.dataType.simpleString()) for f in df.schema.fields]).alias("types"),
+        num_rows.alias("num_rows"),
     )
 
 
@@ -126,7 +142,7 @@ def train_summary(df: DataFrame) -> DataFrame:
     """
     stats = ["mean", "min", "max", "median"]
     out = train_totals(df).select(
-        _schema_struct(df).alias("schema"), "num_images", "num_places", "num_supergroups",
+        _schema_struct(df, F.col("num_images")).alias("schema"), "num_images", "num_places", "num_supergroups",
         _stats(stats).alias("images_per_place"),
     )
     if "source" in df.columns:
@@ -269,6 +285,24 @@ def supergroup_quality(centroids: DataFrame, place_vectors: DataFrame) -> DataFr
     return out
 
 
+def supergroup_histograms(
+    centroids: DataFrame, place_vectors: DataFrame, quality: DataFrame, bins: int = 60, group_bins: int = 20
+) -> DataFrame:
+    """(kind, supergroup_id, bin, count): distances and cosines of the places of each supergroup, and over all
+    supergroups (null id) their spread, mean cosine and closest pair, from *quality*."""
+    blocks = P.place_blocks(centroids.join(place_vectors.select("place_id", "embedding"), "place_id"), vectors=True)
+    parts = []
+    for kind in ("distance", "cosine"):
+        found = P.pair_histogram(blocks, P.pair_moments(blocks, kind=kind), kind=kind, bins=bins)
+        parts.append(found.select(F.lit(kind).alias("kind"), "supergroup_id", "bin", "count"))
+    for kind in ("spread", "mean_cosine", "closest_pair"):
+        found = P.value_histogram(quality, kind, group_bins)
+        parts.append(found.select(F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("supergroup_id"), "bin", "count"))
+    out = stage(reduce(DataFrame.unionByName, parts), "supergroup_histograms").df
+    blocks.drop()
+    return out
+
+
 def supergroup_sources(centroids: DataFrame) -> DataFrame:
     """Places per source inside each supergroup."""
     return centroids.groupBy("supergroup_id", "source").agg(F.count("*").alias("num_places"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from geocurate.operators import aggregate, blocks, coherence, embed, matches, places, profile, retrieval, supergroups
+from geocurate.operators import (
+    aggregate, blocks, coherence, elimination, embed, matches, places, profile, retrieval, supergroups,
+)
 from geocurate.operators.checks import require_heading, require_vectors
-from geocurate.runtime import Stage, dropping_stages, stage
+from geocurate.runtime import Stage, arrow_rows, dropping_stages, stage
 from geocurate.sources import sinks
 
 
@@ -62,39 +66,76 @@ def curate(images: DataFrame, store: DataFrame, params: CurationParams = BASE) -
     With ``tau`` of -1 or less nothing is filtered and no vector leaves the JVM.
     """
     with dropping_stages(images.sparkSession) as kept:
-        grouped, vectors = _curated(images, store, params)
+        placed = _placed(images, params)
+        filtered = params.tau > -1
+        if filtered:
+            rows = coherence.staged_filter(
+                embed.attach(placed, store), tau=params.tau, min_images=params.min_images,
+                place_mean=not params.subsample, manifest=placed, width=blocks.vector_size(store, "embedding"),
+            )
+        else:  # no mean cosine is below -1
+            rows = places.min_images(placed, params.min_images)
+        grouped, vectors = _grouped(rows, store, params, filtered and not params.subsample)
         kept += [grouped, vectors]
     return Curated(grouped.df, vectors.df)
 
 
-def _curated(images: DataFrame, store: DataFrame, params: CurationParams) -> tuple[Stage, Stage]:
-    """The stored images and place vectors; other stages are left to the caller."""
+def curate_variants(images: DataFrame, store: DataFrame, variants: Mapping[str, CurationParams]) -> dict[str, Curated]:
+    """:func:`curate` for several variants, each with the result it has alone, reading the vectors once.
+
+    Variants on the same grid share one order of drops (:mod:`elimination`), recorded up to their largest
+    threshold together with the place means at every threshold; a variant is a filter on that table.  Only
+    those that subsample read the vectors again, for the places that it thins out.
+    """
+    grids: dict[tuple, dict[str, CurationParams]] = {}
+    for name, params in variants.items():
+        grids.setdefault((params.cell_m, params.heading_deg), {})[name] = params
+    out = {}
+    with dropping_stages(images.sparkSession) as kept:
+        for some in grids.values():
+            placed = _placed(images, next(iter(some.values())))
+            taus = sorted({max(p.tau, -1.0) for p in some.values()})
+            with arrow_rows(images.sparkSession, 512):
+                order = stage(
+                    elimination.elimination(
+                        embed.attach(placed, store), taus, place_means=True, manifest=placed,
+                        width=blocks.vector_size(store, "embedding"),
+                    ),
+                    "elimination",
+                ).df
+            for name, params in some.items():
+                at = taus.index(max(params.tau, -1.0))
+                rows = places.min_images(elimination.survivors(order, params.tau), params.min_images)
+                rows = rows.withColumn("place_mean", F.get("place_means", F.lit(at))).drop("place_means", "step", "reach")
+                grouped, vectors = _grouped(rows if not params.subsample else rows.drop("place_mean"), store, params, not params.subsample)
+                kept += [grouped, vectors]
+                out[name] = Curated(grouped.df, vectors.df)
+    return {name: out[name] for name in variants}
+
+
+def _placed(images: DataFrame, params: CurationParams) -> DataFrame:
     if params.heading_deg is not None and "place_id" not in images.columns:
         require_heading(images, "curation")
-    placed = stage(places.assign_places(images, params.cell_m, params.heading_deg), "placed").df
-    filtered = params.tau > -1
-    if filtered:
-        kept = coherence.staged_filter(
-            embed.attach(placed, store), tau=params.tau, min_images=params.min_images,
-            place_mean=not params.subsample, manifest=placed, width=blocks.vector_size(store, "embedding"),
-        )
-    else:  # no mean cosine is below -1
-        kept = places.min_images(placed, params.min_images)
-    kept = places.refactorize(kept)
+    return stage(places.assign_places(images, params.cell_m, params.heading_deg), "placed").df
+
+
+def _grouped(rows: DataFrame, store: DataFrame, params: CurationParams, carried: bool) -> tuple[Stage, Stage]:
+    """Stored images with their supergroups, and place vectors, from the images that are kept.
+
+    *carried*: the first image of each place has its ``place_mean``.  Other stages are left to the caller.
+    """
+    rows = places.refactorize(rows)
     for source, fraction in params.subsample:
-        kept = places.subsample_source_places(kept, source, fraction, params.seed)
-    kept = stage(kept, "kept").df
-    if params.subsample or not filtered:
-        means = aggregate.place_embeddings(embed.attach(kept, store))
-    else:
-        means = aggregate.carried_embeddings(kept)
-        kept = kept.drop("place_mean")
+        rows = places.subsample_source_places(rows, source, fraction, params.seed)
+    rows = stage(rows, "kept").df
+    means = aggregate.carried_embeddings(rows) if carried else aggregate.place_embeddings(embed.attach(rows, store))
+    rows = rows.drop("place_mean")
     vectors = stage(means, "place_vectors")
     if params.supergroup_size is None:
-        grouped = places.uniform_supergroup(kept)
+        grouped = places.uniform_supergroup(rows)
     else:
         grouped = supergroups.assign_supergroups(
-            kept, vectors.df, params.supergroup_size, params.spatial, params.angular,
+            rows, vectors.df, params.supergroup_size, params.spatial, params.angular,
             params.kmeans_iter, params.seed,
         )
     return stage(grouped, "curated"), vectors
@@ -103,18 +144,26 @@ def _curated(images: DataFrame, store: DataFrame, params: CurationParams) -> tup
 def build_train_set(
     images: DataFrame, store: DataFrame, root: str, name: str, params: CurationParams = BASE
 ) -> Curated:
-    """Curate, save, and write the summary and the profile of supergroups."""
+    """Curate, save, and write the summary, the analysis and the profile of supergroups."""
     result = curate(images, store, params)
+    save_train_set(result, root, name, params)
+    return result
+
+
+def save_train_set(result: Curated, root: str, name: str, params: CurationParams) -> None:
+    """The set with its summary, its analysis, and the statistics and histograms of its supergroups."""
     sinks.save_train(result.images, root, name)
-    sinks.save_summary(profile.train_summary(result.images), root, "train", name)
-    sinks.save_summary(profile.supergroup_stats(result.images), root, "train", name, "supergroups")
-    sinks.save_summary(profile.source_stats(result.images), root, "train", name, "sources")
+    save = lambda table, kind="summary": sinks.save_summary(table, root, "train", name, kind)
+    save(profile.train_summary(result.images))
+    save(profile.supergroup_stats(result.images), "supergroups")
+    save(profile.source_stats(result.images), "sources")
+    save(profile.analysis(result.images), "analysis")
     if params.supergroup_size is not None:
         centroids = stage(profile.place_centroids(result.images), "centroids").df
         quality = profile.supergroup_quality(centroids, result.place_vectors)
-        sinks.save_summary(quality, root, "train", name, "supergroup_quality")
-        sinks.save_summary(profile.supergroup_geo_stats(centroids), root, "train", name, "supergroup_geo")
-    return result
+        save(quality, "supergroup_quality")
+        save(profile.supergroup_geo_stats(centroids), "supergroup_geo")
+        save(profile.supergroup_histograms(centroids, result.place_vectors, quality), "supergroup_histograms")
 
 
 def build_eval_set(

@@ -58,19 +58,23 @@ def read_source(spark: SparkSession, raw: str, source: str) -> DataFrame:
     return images.read_named(spark, [folder], source, raw)
 
 
+def _embedded(
+    spark: SparkSession, raw: str, store: str, sources: list[str], load_model: Loader, batch_size: int
+) -> tuple[DataFrame, DataFrame]:
+    """Manifest of the sources, and their vectors once what the store lacks is embedded."""
+    parts = [read_source(spark, raw, source) for source in sources]
+    manifest = parts[0] if len(parts) == 1 else places.combine(parts)
+    for source in sources:
+        embed.embed_missing(manifest, store, source, load_model, batch_size)
+    return manifest, tables.load_embeddings(spark, store, *(sources if len(sources) == 1 else ()))
+
+
 def build_train(
     spark: SparkSession, raw: str, root: str, store: str, name: str, sources: Iterable[str],
     load_model: Loader, params: curation.CurationParams = curation.BASE, batch_size: int = 128,
 ) -> curation.Curated:
     """The whole plan: read the sources, embed what the store lacks, curate, save and profile."""
-    sources = list(sources)
-    parts = [read_source(spark, raw, source) for source in sources]
-    manifest = parts[0] if len(parts) == 1 else places.combine(parts)
-    for source in sources:
-        embed.embed_missing(manifest, store, source, load_model, batch_size)
-    vectors = tables.load_embeddings(spark, store)
-    if len(sources) == 1:
-        vectors = tables.load_embeddings(spark, store, sources[0])
+    manifest, vectors = _embedded(spark, raw, store, list(sources), load_model, batch_size)
     return curation.build_train_set(manifest, vectors, root, name, params)
 
 
@@ -84,10 +88,12 @@ def build_combined(spark: SparkSession, raw: str, root: str, store: str, load_mo
 
 def build_variants(
     spark: SparkSession, raw: str, root: str, store: str, load_model: Loader,
-    names: Iterable[str] = tuple(curation.VARIANTS),
+    names: Iterable[str] = tuple(curation.VARIANTS), batch_size: int = 128,
 ) -> dict[str, curation.Curated]:
-    """Variants of the single-source set; images are embedded once, by the first."""
-    return {
-        name: build_train(spark, raw, root, store, f"sf_xl_{name}", ["sf_xl"], load_model, curation.VARIANTS[name])
-        for name in names
-    }
+    """Variants of the single-source set: read, embedded and put in order once for all of them."""
+    manifest, vectors = _embedded(spark, raw, store, ["sf_xl"], load_model, batch_size)
+    params = {name: curation.VARIANTS[name] for name in names}
+    made = curation.curate_variants(manifest, vectors, params)
+    for name, result in made.items():
+        curation.save_train_set(result, root, f"sf_xl_{name}", params[name])
+    return made

@@ -88,9 +88,18 @@ def train_summary(spark, sf):
     )
 
 
+SHOT_COLUMNS = {
+    "image_id": "bigint", "image_path": "string", "utm_east": "double", "utm_north": "double", "heading": "double", "source": "string",
+}
+
+
 @query(
     "table_schema",
-    "SELECT * FROM (VALUES (0, 'image_id', 'bigint'), (1, 'image_path', 'string'), (2, 'utm_east', 'double'), (3, 'utm_north', 'double'), (4, 'heading', 'double'), (5, 'source', 'string')) AS t(position, \"column\", type)",
+    W.ctes(W.SHOTS)
+    + " UNION ALL ".join(
+        f"""SELECT {i} AS position, '{c}' AS "column", '{t}' AS type, count(*) AS num_rows, count(*) FILTER ({c} IS NULL) AS num_nulls FROM shots"""
+        for i, (c, t) in enumerate(SHOT_COLUMNS.items())
+    ),
 )
 def table_schema(spark, sf):
     return profile.schema_table(W.shots(spark, sf))

@@ -195,4 +195,4 @@ def grouped(view: str) -> str:
 
 
 def ctes(*parts: str) -> str:
-    return "WITH " + ",".join(parts) + "\n"
+    return "WITH RECURSIVE " + ",".join(parts) + "\n"
