@@ -9,14 +9,16 @@ rows, never the pairs themselves.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geocurate.runtime import stage
+from geocurate.runtime import arrow_rows, new_path, stage
 
 BLOCK_VALUES = 2_000_000
 BLOCK_ROWS = 2048
@@ -62,6 +64,28 @@ def pack(
     )
 
 
+@dataclass
+class BlockTable:
+    """Blocks written as a table bucketed by their keys: a join on the keys leaves them where they are."""
+
+    df: DataFrame
+    name: str
+
+    @classmethod
+    def write(cls, packed: DataFrame, keys: Sequence[str], label: str) -> BlockTable:
+        spark = packed.sparkSession
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        name, path = f"{label}_{uuid.uuid4().hex}", new_path(spark, label)
+        with arrow_rows(spark, BATCH_BLOCKS):
+            writer = packed.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+            writer.option("path", path).saveAsTable(name)
+        return cls(spark.table(name), name)
+
+    def drop(self) -> None:
+        """Forget the table; its files stay in the shared folder until that is cleared."""
+        self.df.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def pair_up(
     blocks: DataFrame, group: Sequence[str], ordered: bool = False, carry: Sequence[str] = ()
 ) -> DataFrame:

@@ -129,7 +129,7 @@ def coherence_filter(
     kept = _stream(small, tau, min_images, vector, keep_vector, place_mean)
     if large is None:
         return kept
-    blocks = elimination.BlockTable.write(large, vector, width)
+    blocks = elimination.place_blocks(large, vector, width)
     drops = elimination.dropped(blocks, tau, min(round_candidates, task_rows(width, max_task_values)))
     rest = large if keep_vector or manifest is None else manifest.join(blocks.df.select("place_id"), "place_id", "left_semi")
     rest = places.min_images(rest.join(drops, ["place_id", "image_id"], "left_anti"), min_images)

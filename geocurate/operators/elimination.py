@@ -12,9 +12,7 @@ what the other images can score proves them right.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +24,7 @@ from geocurate.functions import vectors as V
 from geocurate.operators import blocks as B
 from geocurate.operators import coherence as C
 from geocurate.operators import places
-from geocurate.runtime import arrow_rows, new_path, stage
+from geocurate.runtime import new_path, stage
 
 _DROPS = "place_id long, image_id long, step long, reach double"
 
@@ -60,7 +58,7 @@ def elimination(
         return _streamed(df, taus, vector, place_means)
     small = _streamed(df.join(large, "place_id", "left_anti"), taus, vector, place_means)
     rows = df.join(large, "place_id", "left_semi")
-    blocks = BlockTable.write(rows, vector, width)
+    blocks = place_blocks(rows, vector, width)
     drops = dropped(blocks, max(taus), min(round_candidates, limit))
     rest = (rows if manifest is None else manifest.join(large, "place_id", "left_semi")).drop(vector)
     rest = rest.join(drops, ["place_id", "image_id"], "left")
@@ -130,28 +128,11 @@ def _streamed(df: DataFrame, taus: Sequence[float], vector: str, place_means: bo
 # -- places larger than a task --------------------------------------------------------
 
 
-@dataclass
-class BlockTable:
+def place_blocks(df: DataFrame, vector: str, width: int) -> B.BlockTable:
     """Vectors of large places: rows (place_id, blk, nblk, rows array<struct<id, v>>), bucketed by place and block."""
-
-    df: DataFrame
-    name: str
-    width: int
-
-    @classmethod
-    def write(cls, df: DataFrame, vector: str, width: int) -> BlockTable:
-        spark, keys = df.sparkSession, ("place_id", "blk")
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        packed = B.pack(df.select("place_id", "image_id", F.col(vector).alias("v")), ["place_id"], "image_id", ["v"], B.rows_per_block(width))
-        name, path = f"place_blocks_{uuid.uuid4().hex}", new_path(spark, "place_blocks")
-        with arrow_rows(spark, B.BATCH_BLOCKS):
-            writer = packed.repartition(buckets, *keys).write.format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
-            writer.option("path", path).saveAsTable(name)
-        return cls(spark.table(name), name, width)
-
-    def drop(self) -> None:
-        """Forget the table; its files stay in the shared folder until that is cleared."""
-        self.df.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+    vectors = df.select("place_id", "image_id", F.col(vector).alias("v"))
+    packed = B.pack(vectors, ["place_id"], "image_id", ["v"], B.rows_per_block(width))
+    return B.BlockTable.write(packed, ["place_id", "blk"], "place_blocks")
 
 
 def _unit(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +141,7 @@ def _unit(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return B.column(rows, "id"), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), C._EPS)
 
 
-def dropped(blocks: BlockTable, up_to: float, candidates: int) -> DataFrame:
+def dropped(blocks: B.BlockTable, up_to: float, candidates: int) -> DataFrame:
     """(place_id, image_id, step, reach) of all drops while the reach stays below *up_to*.
 
     The state of a round is one small row per block: the place's vector sum and size, and the ids gone from the
@@ -211,7 +192,7 @@ def dropped(blocks: BlockTable, up_to: float, candidates: int) -> DataFrame:
     return spark.read.schema(_DROPS).parquet(path)
 
 
-def candidates_of(blocks: BlockTable, state: DataFrame, candidates: int) -> DataFrame:
+def candidates_of(blocks: B.BlockTable, state: DataFrame, candidates: int) -> DataFrame:
     """The lowest images of each open block with their unit vectors, and the next score as the block's barrier."""
     names = {"image_id": pa.int64(), "gain": pa.float64(), "u": pa.list_(pa.float64()), "barrier": pa.float64()}
     carried = {"_n": pa.int64(), "_reach": pa.float64(), "_steps": pa.int64()}
@@ -277,7 +258,7 @@ def _replay(up_to: float):
     return run
 
 
-def block_means(blocks: BlockTable, drops: DataFrame, taus: Sequence[float]) -> DataFrame:
+def block_means(blocks: B.BlockTable, drops: DataFrame, taus: Sequence[float]) -> DataFrame:
     """(place_id, image_id, place_means): on the first survivor at each threshold the mean of the raw vectors."""
     nblk = blocks.df.select("place_id", "nblk").distinct()
     gone = (

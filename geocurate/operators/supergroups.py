@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geocurate.functions import geo
 from geocurate.functions import vectors as V
 from geocurate.operators import blocks as B
-from geocurate.operators import checks, places
+from geocurate.operators import bounded_kmeans, checks, places
 from geocurate.operators.ids import rank_in_group, sample_hash
 from geocurate.runtime import Stage, arrow_rows, stage
 
@@ -89,12 +89,12 @@ def spherical_kmeans(
     Lloyd steps with renormalised centroids; the nearest centroid has the largest
     inner product, ties going to the smaller cluster.  The first centroids are the k
     members with the smallest hash.  An empty cluster keeps its centroid.  The loop
-    ends early once no centroid moves.
+    ends early once no point changes its cluster.
 
-    Points are packed once into blocks.  A step reads each block with the centroid
-    blocks of its group and returns partial sums per cluster, so no vector is
-    shuffled while the centroids can be broadcast.  Beyond that size the centroid
-    blocks are replicated to salts and joined by shuffle.
+    Points are packed once into blocks.  While the centroids can be broadcast and those of a group fit a
+    block, a step returns partial sums per cluster and block, and a digest of the members by which unchanged
+    labels are seen.  Beyond that size :mod:`bounded_kmeans` leaves the blocks where they are and
+    compares only the points whose bounds don't settle their cluster.
     """
     spark = points.sparkSession
     unit = stage(
@@ -103,10 +103,10 @@ def spherical_kmeans(
     share = stage(share.select(group_col, "k"), "share").df
     dim = B.vector_size(unit.df, "v")
     rows = rows or B.rows_per_block(dim)
-    packed = stage(B.pack(unit.df, [group_col], id_col, ["v"], rows), "point_blocks")
     bounds = share.agg(F.max("k").alias("top"), F.sum("k").alias("total")).first()
-    broadcast = bounds["total"] * dim * 8 <= max_broadcast_bytes
-    one_block = bounds["top"] <= rows
+    broadcast = (bounds["total"] or 0) * dim * 8 <= max_broadcast_bytes
+    one_block = (bounds["top"] or 0) <= rows
+    packed = B.pack(unit.df, [group_col], id_col, ["v"], rows)
 
     ranked = rank_in_group(
         unit.df.select(id_col, group_col).withColumn("_h", sample_hash(seed, id_col)),
@@ -120,52 +120,46 @@ def spherical_kmeans(
         .select(group_col, "cluster", "v"),
         "centroids",
     )
+    if not (broadcast and one_block):
+        labels = bounded_kmeans.cluster(packed, centroids, group_col, max_iter, rows, broadcast)
+        unit.drop()
+        return labels.withColumnRenamed("id", id_col)
+    packed = stage(packed, "point_blocks")
     unit.drop()
 
     def paired(current: DataFrame) -> DataFrame:
-        centre = B.pack(current, [group_col], "cluster", ["v"], rows, one_block).select(
-            group_col, F.col("blk").alias("cblk"), F.col("rows").alias("right")
-        )
+        centre = B.pack(current.select(group_col, "cluster", "v"), [group_col], "cluster", ["v"], rows, True)
         left = packed.df.select(group_col, "blk", F.col("rows").alias("left"))
-        if broadcast:
-            return left.join(F.broadcast(centre), group_col)
-        salts = max(8, spark.sparkContext.defaultParallelism)
-        spread = centre.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        return left.withColumn("salt", F.pmod("blk", F.lit(salts))).join(spread, [group_col, "salt"])
-
-    def labelled(current: DataFrame) -> DataFrame:
-        nearest = paired(current).select(group_col, "blk", "left", "right").mapInArrow(
-            B.per_row(_nearest(group_col), _nearest_schema(group_col)), _nearest_ddl(group_col)
-        )
-        best = nearest if one_block else _best_of(nearest, group_col)
-        return best.select("id", group_col, "cluster")
+        return left.join(F.broadcast(centre.select(group_col, F.col("rows").alias("right"))), group_col)
 
+    centroids = Stage(centroids.df.withColumns({"n": F.lit(0).cast("long"), "digest": F.lit(0).cast("long")}), centroids.path)
     for _ in range(max_iter):
-        if one_block:
-            sums = paired(centroids.df).select(group_col, "left", "right").mapInArrow(
-                B.per_row(_partial_sums(group_col), _sums_schema(group_col)), _sums_ddl(group_col)
-            )
-        else:
-            flat = packed.df.select(F.explode("rows").alias("r")).select("r.id", "r.v")
-            sums = labelled(centroids.df).join(flat, "id").select(
-                group_col, "cluster", F.col("v").alias("total")
-            )
-        moved = sums.groupBy(group_col, "cluster").agg(V.sum_vector(F.col("total")).alias("_sum"))
+        sums = paired(centroids.df).select(group_col, "left", "right").mapInArrow(
+            B.per_row(_partial_sums(group_col), _sums_schema(group_col)), _sums_ddl(group_col)
+        )
+        moved = sums.groupBy(group_col, "cluster").agg(
+            V.sum_vector(F.col("total")).alias("_sum"), F.sum("n").alias("_n"), F.bit_xor("digest").alias("_digest")
+        )
+        members = {"n": F.coalesce("_n", F.lit(0)), "digest": F.coalesce("_digest", F.lit(0))}
         following = centroids.df.join(moved, [group_col, "cluster"], "left").select(
             group_col,
             "cluster",
             F.coalesce(V.l2_normalize(F.col("_sum")), F.col("v")).alias("v"),
-            F.coalesce(1.0 - V.dot(V.l2_normalize(F.col("_sum")), F.col("v")), F.lit(0.0)).alias("shift"),
+            *[c.alias(name) for name, c in members.items()],
+            ((F.col("n") != members["n"]) | (F.col("digest") != members["digest"])).alias("changed"),
         )
         with arrow_rows(spark, B.BATCH_BLOCKS):
             step = stage(following, "centroids")
-        shift = step.df.agg(F.max("shift")).first()[0]
+        changed = step.df.filter("changed").limit(1).count()
         centroids.drop()
-        centroids = Stage(step.df.select(group_col, "cluster", "v"), step.path)
-        if shift is None or shift < 1e-15:
+        centroids = step
+        if not changed:
             break
+    nearest = paired(centroids.df).select(group_col, "blk", "left", "right").mapInArrow(
+        B.per_row(_nearest(group_col), _nearest_schema(group_col)), _nearest_ddl(group_col)
+    )
     with arrow_rows(spark, B.BATCH_BLOCKS):
-        labels = stage(labelled(centroids.df), "cluster_labels")
+        labels = stage(nearest.select("id", group_col, "cluster"), "cluster_labels")
     packed.drop()
     centroids.drop()
     return labels.df.withColumnRenamed("id", id_col)
@@ -173,7 +167,10 @@ def spherical_kmeans(
 
 def _sums_schema(group_col: str) -> pa.Schema:
     return pa.schema(
-        [(group_col, pa.int64()), ("cluster", pa.int64()), ("total", pa.list_(pa.float64()))]
+        [
+            (group_col, pa.int64()), ("cluster", pa.int64()), ("total", pa.list_(pa.float64())),
+            ("n", pa.int64()), ("digest", pa.int64()),
+        ]
     )
 
 
@@ -184,7 +181,7 @@ def _nearest_schema(group_col: str) -> pa.Schema:
 
 
 def _sums_ddl(group_col: str) -> str:
-    return f"{group_col} long, cluster long, total array<double>"
+    return f"{group_col} long, cluster long, total array<double>, n long, digest long"
 
 
 def _nearest_ddl(group_col: str) -> str:
@@ -198,18 +195,30 @@ def _scores(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return B.column(left, "id"), x, B.column(right, "id"), score
 
 
+def _mixed(ids: np.ndarray) -> np.ndarray:
+    """Hashes whose exclusive or tells sets of ids apart."""
+    x = ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
 def _partial_sums(group_col: str):
     def run(row: dict) -> dict:
-        _, x, clusters, score = _scores(row)
+        ids, x, clusters, score = _scores(row)
         label = np.argmax(score, axis=1)
         member = np.zeros((len(clusters), len(x)))
         member[label, np.arange(len(x))] = 1.0
         used = np.unique(label)
         total = (member @ x)[used]
+        hashes = _mixed(ids)
+        digest = [int(np.bitwise_xor.reduce(hashes[label == c])) for c in used]
         return {
             group_col: np.full(len(used), row[group_col].as_py()),
             "cluster": clusters[used],
             "total": list(total),
+            "n": np.bincount(label)[used],
+            "digest": digest,
         }
 
     return run
@@ -227,10 +236,3 @@ def _nearest(group_col: str):
         }
 
     return run
-
-
-def _best_of(nearest: DataFrame, group_col: str) -> DataFrame:
-    """Best centroid of each point when a group has several centroid blocks."""
-    return nearest.groupBy(group_col, "id").agg(
-        F.max_by("cluster", F.struct(F.col("score"), -F.col("cluster"))).alias("cluster")
-    )

@@ -75,7 +75,8 @@ def curate(images: DataFrame, store: DataFrame, params: CurationParams = BASE) -
             )
         else:  # no mean cosine is below -1
             rows = places.min_images(placed, params.min_images)
-        grouped, vectors = _grouped(rows, store, params, filtered and not params.subsample)
+        rows, vectors = _kept(rows, store, params, filtered and not params.subsample)
+        grouped = _grouped(rows, vectors.df, params)
         kept += [grouped, vectors]
     return Curated(grouped.df, vectors.df)
 
@@ -84,8 +85,8 @@ def curate_variants(images: DataFrame, store: DataFrame, variants: Mapping[str,
     """:func:`curate` for several variants, each with the result it has alone, reading the vectors once.
 
     Variants on the same grid share one order of drops (:mod:`elimination`), recorded up to their largest
-    threshold together with the place means at every threshold; a variant is a filter on that table.  Only
-    those that subsample read the vectors again, for the places that it thins out.
+    threshold together with the place means at every threshold; a variant is a filter on that table, and variants that
+    differ in their supergroups alone share its result.  Only those that subsample read the vectors again.
     """
     grids: dict[tuple, dict[str, CurationParams]] = {}
     for name, params in variants.items():
@@ -103,11 +104,16 @@ def curate_variants(images: DataFrame, store: DataFrame, variants: Mapping[str,
                     ),
                     "elimination",
                 ).df
+            shared: dict[CurationParams, tuple[DataFrame, Stage]] = {}
             for name, params in some.items():
-                at = taus.index(max(params.tau, -1.0))
-                rows = places.min_images(elimination.survivors(order, params.tau), params.min_images)
-                rows = rows.withColumn("place_mean", F.get("place_means", F.lit(at))).drop("place_means", "step", "reach")
-                grouped, vectors = _grouped(rows if not params.subsample else rows.drop("place_mean"), store, params, not params.subsample)
+                same = replace(params, supergroup_size=None, spatial=0, angular=0, kmeans_iter=0)
+                if same not in shared:
+                    at = taus.index(max(params.tau, -1.0))
+                    rows = places.min_images(elimination.survivors(order, params.tau), params.min_images)
+                    rows = rows.withColumn("place_mean", F.get("place_means", F.lit(at))).drop("place_means", "step", "reach")
+                    shared[same] = _kept(rows.drop("place_mean") if params.subsample else rows, store, params, not params.subsample)
+                rows, vectors = shared[same]
+                grouped = _grouped(rows, vectors.df, params)
                 kept += [grouped, vectors]
                 out[name] = Curated(grouped.df, vectors.df)
     return {name: out[name] for name in variants}
@@ -119,8 +125,8 @@ def _placed(images: DataFrame, params: CurationParams) -> DataFrame:
     return stage(places.assign_places(images, params.cell_m, params.heading_deg), "placed").df
 
 
-def _grouped(rows: DataFrame, store: DataFrame, params: CurationParams, carried: bool) -> tuple[Stage, Stage]:
-    """Stored images with their supergroups, and place vectors, from the images that are kept.
+def _kept(rows: DataFrame, store: DataFrame, params: CurationParams, carried: bool) -> tuple[DataFrame, Stage]:
+    """Stored images with places numbered anew, and place vectors, from the images that are kept.
 
     *carried*: the first image of each place has its ``place_mean``.  Other stages are left to the caller.
     """
@@ -129,16 +135,18 @@ def _grouped(rows: DataFrame, store: DataFrame, params: CurationParams, carried:
         rows = places.subsample_source_places(rows, source, fraction, params.seed)
     rows = stage(rows, "kept").df
     means = aggregate.carried_embeddings(rows) if carried else aggregate.place_embeddings(embed.attach(rows, store))
-    rows = rows.drop("place_mean")
-    vectors = stage(means, "place_vectors")
+    return rows.drop("place_mean"), stage(means, "place_vectors")
+
+
+def _grouped(rows: DataFrame, vectors: DataFrame, params: CurationParams) -> Stage:
     if params.supergroup_size is None:
         grouped = places.uniform_supergroup(rows)
     else:
         grouped = supergroups.assign_supergroups(
-            rows, vectors.df, params.supergroup_size, params.spatial, params.angular,
+            rows, vectors, params.supergroup_size, params.spatial, params.angular,
             params.kmeans_iter, params.seed,
         )
-    return stage(grouped, "curated"), vectors
+    return stage(grouped, "curated")
 
 
 def build_train_set(

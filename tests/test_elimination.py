@@ -83,7 +83,7 @@ def test_ties_fall_by_id_and_tables_may_be_empty(spark):
 def test_no_round_moves_the_vectors_of_large_places(spark):
     """The blocks are read where they lie: nothing between their scan and the scoring shuffles them."""
     df = spark.createDataFrame(random_places(1, [60, 30]), KIND)
-    blocks = elimination.BlockTable.write(df, "embedding", 6)
+    blocks = elimination.place_blocks(df, "embedding", 6)
     state = blocks.df.select("place_id", "blk", "nblk").withColumn("_s", F.array_repeat(F.lit(1.0), 6)).withColumn("_n", F.lit(9).cast("long"))
     state = state.withColumn("_reach", F.lit(0.0)).withColumn("_steps", F.lit(0).cast("long")).withColumn("_gone", F.array().cast("array<long>"))
     for broadcast in ("10MB", "-1"):
