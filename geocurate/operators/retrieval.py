@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from geocurate.functions import vectors as V
 from geocurate.operators import blocks as B
+from geocurate.operators import pivots
 from geocurate.runtime import stage
 
 #: Queries are broadcast in parts of at most this many bytes.
@@ -31,12 +32,14 @@ def knn(
 ) -> DataFrame:
     """The k database images of largest cosine per query: rank 1.. by score, then id.
 
-    The database never moves.  Queries are broadcast, as many as *max_broadcast_bytes*
-    hold; more queries take several passes.  A task streams its part of the database past
-    the queries, holds the k best of each, and emits them once at its end; a window
-    limited to k merges the parts.  With *rows* a pass takes at least so many queries.
+    Queries that a broadcast of *max_broadcast_bytes* holds are sent to the database: a task
+    streams its part past them, holds the k best of each, and emits them once at its end; a
+    window limited to k merges the parts.  More queries are searched by blocks around
+    pivots (:mod:`pivots`, at most *rows* in a block), which reads the database once whatever their number.
     """
-    return _search(queries, database, k, vector, _cosine_scores, max_broadcast_bytes, rows)
+    if queries.count() * 8 * max(1, B.vector_size(queries, vector)) > max_broadcast_bytes:
+        return pivots.search(pivots.build(database, vector, rows=rows), queries, k, vector)[0]
+    return _search(queries, database, k, vector, _cosine_scores, max_broadcast_bytes, None)
 
 
 def hamming_shortlist(

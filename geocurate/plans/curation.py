@@ -188,10 +188,11 @@ def build_eval_set(
 def evaluate(matched: DataFrame, vectors: DataFrame, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
     """Recall@k of a stored evaluation set for vectors keyed by image_id.
 
-    Every image of the set needs exactly one vector, so no query leaves the denominator.
+    Every image of the set needs exactly one vector, so no query leaves the denominator.  The vectors are
+    joined once; the sides, their sizes and the width are read from what that join wrote.
     """
     require_vectors(matched, vectors, ["image_id"], "evaluation")
-    keyed = matched.select("image_id", "is_query").join(vectors.select("image_id", "embedding"), "image_id")
+    keyed = stage(matched.select("image_id", "is_query").join(vectors.select("image_id", "embedding"), "image_id"), "evaluated").df
     queries = keyed.filter("is_query").select("image_id", "embedding")
     database = keyed.filter("not is_query").select("image_id", "embedding")
     neighbours = retrieval.knn(queries, database, max(ks))

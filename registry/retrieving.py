@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geocurate.operators import matches, retrieval
+from geocurate.operators import matches, pivots, retrieval
 from geocurate.plans import curation
 from geocurate.runtime import stage
 from geocurate.sources import sinks, tables
@@ -52,6 +52,17 @@ def nearest_neighbours_by_shuffle(spark, sf):
     return _shown(retrieval.knn(*sides(spark, sf), 10, max_broadcast_bytes=0, rows=16))
 
 
+@query(
+    "pruned_neighbours",
+    W.ctes(W.IMG_EVAL, KNN_SQL) + "SELECT query_id, database_id, rank, round(score, 6) AS score FROM neighbours",
+)
+def pruned_neighbours(spark, sf):
+    """The same from an index of blocks around pivots."""
+    queries, database = sides(spark, sf)
+    found, _ = pivots.search(pivots.build(stage(database, "database").df, rows=64), queries, 10)
+    return _shown(found)
+
+
 def _shown(found):
     return found.select("query_id", "database_id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
 
