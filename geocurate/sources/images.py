@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,50 +11,21 @@ from geocurate.functions import geo
 from geocurate.functions import names as N
 from geocurate.operators import checks
 from geocurate.operators.ids import codes, dense_ids
-from geocurate.runtime import hadoop_path, path_exists, qualified, stage
+from geocurate.runtime import qualified, stage
+from geocurate.sources import listing
 
 
 def scan_images(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     """(root, path) of every image file below the roots; file contents are not read.
 
-    ``path`` is absolute and ``root`` the position of its root in the given list.  Spark's
-    reader passes over names that start with ``_`` or ``.``; those are listed on their own.
+    ``path`` is absolute and ``root`` the position of its root in the given list.
     """
-    parts = []
-    for number, root in enumerate(roots):
-        if not path_exists(spark, root):
-            raise FileNotFoundError(f"image root does not exist: {root}")
-        files = (
-            spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-            .load(root).select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
-        )
-        parts.append(files.select(F.lit(number).alias("root"), "path"))
-        if hidden := hidden_files(spark, root):
-            listed = spark.createDataFrame([(h,) for h in hidden], "path string")
-            parts.append(listed.select(F.lit(number).alias("root"), "path"))
-    listed = reduce(DataFrame.unionByName, parts)
-    return listed.filter(N.has_image_extension(F.col("path")))
-
-
-def hidden_files(spark: SparkSession, root: str) -> list[str]:
-    """Files below *root* that have, or lie in a folder with, a name that starts with ``_`` or ``.``.
-
-    One listing per level of the tree; only what is found crosses to the driver.
-    """
-    top, fs = hadoop_path(spark, root)
-    to_path = spark._jvm.org.apache.hadoop.fs.Path
-    plain = re.sub(r"([*?\[\]{}\\])", r"\\\1", top.toString().rstrip("/"))
-    found, level = set(), plain
-    while len(fs.globStatus(to_path(f"{level}/*"))):
-        for entry in fs.globStatus(to_path(f"{level}/[_.]*")):
-            if entry.isFile():
-                found.add(entry.getPath().toString())
-            else:
-                below = fs.listFiles(entry.getPath(), True)
-                while below.hasNext():
-                    found.add(below.next().getPath().toString())
-        level += "/*"
-    return sorted(re.sub("^file:/+", "/", path) for path in found)
+    return list_images(spark, roots).select("root", "path")
+
+
+def list_images(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """:func:`scan_images` with the length of each file and when it was changed."""
+    return listing.list_files(spark, roots).filter(N.has_image_extension(F.col("path")))
 
 
 def in_walk_order(paths: DataFrame, id_col: str = "image_id") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from geocurate.operators import report as R
 from geocurate.operators.ids import rank_in_group
-from geocurate.runtime import path_exists
+from geocurate.runtime import path_exists, stage
 
 
 def local_place_ids(df: DataFrame) -> DataFrame:
@@ -129,3 +129,36 @@ def keyed_manifest(
 ) -> DataFrame:
     """Manifest of a file listing, rebuilt only when the listing or a parameter changes."""
     return keyed_stage(listing, "manifest", {"source": source, **params}, folder, build)
+
+
+def updated_manifest(
+    listing: DataFrame, folder: str, parse: Callable[[DataFrame], DataFrame], keys: Sequence[str] = ("root", "path"),
+) -> tuple[DataFrame, dict[str, int]]:
+    """Parsed rows of a file listing (*keys*, length, modified), kept up to date in *folder*.
+
+    Rows are stored with the length and time of their file.  Files that are there unchanged keep their row, only new and
+    changed ones go through *parse* (which adds columns to them), and rows of files that are gone are
+    left out.  An unchanged listing reads the stored version back and writes nothing.  Also returns how
+    many files were kept, parsed and removed.  Rows have no numbers: number the result
+    (`images.in_walk_order`), as every change shifts them.  One writer at a time.
+    """
+    spark = listing.sparkSession
+    known, version = [*keys, "length", "modified"], 0
+    while path_exists(spark, f"{folder}/v{version + 1}/_SUCCESS"):
+        version += 1
+    if not version:
+        parsed = listing.transform(parse)
+        parsed.write.mode("overwrite").parquet(f"{folder}/v1")
+        rows = spark.read.parquet(f"{folder}/v1")
+        return rows, {"kept": 0, "parsed": rows.count(), "removed": 0}
+    before = spark.read.parquet(f"{folder}/v{version}")
+    kept = before.join(listing.select(*known), known, "left_semi")
+    fresh = stage(listing.join(before.select(*known), known, "left_anti"), "changed_files")
+    counts = {"kept": kept.count(), "parsed": fresh.df.count()}
+    counts["removed"] = before.join(listing.select(*keys), list(keys), "left_anti").count()
+    if counts["parsed"] or counts["removed"]:
+        version += 1
+        kept.unionByName(fresh.df.transform(parse)).write.mode("overwrite").parquet(f"{folder}/v{version}")
+        before = spark.read.parquet(f"{folder}/v{version}")
+    fresh.drop()
+    return before, counts

@@ -34,7 +34,7 @@ def _write_tree(spark, sf) -> str:
     folder = F.when(i % 3 == 1, "_sub").when(i % 3 == 2, ".sub").otherwise("sub")
     deeper = F.when(i % 2 == 0, F.concat(folder, (i % 3).cast("string"), F.lit("/"))).otherwise("")
     extension = F.when(i % 17 == 0, ".txt").when(i % 5 == 0, ".JPG").otherwise(".png")
-    hidden = F.when(i % 7 == 0, "_").when(i % 11 == 0, ".").otherwise("")
+    hidden = F.when(i % 7 == 0, "_").when(i % 11 == 0, ".").when(i % 13 == 0, "_x=").otherwise("")
     name = F.concat(F.lit(root + "/"), "source", F.lit("/"), deeper, hidden, F.lpad(i.cast("string"), 6, "0"), extension)
     W.img(spark, sf).select(name.alias("path")).foreachPartition(_touch)
     return root
@@ -45,7 +45,7 @@ def _write_tree(spark, sf) -> str:
     W.ctes(
         W.IMG,
         """files AS (SELECT source, image_id % 2 = 0 AS deep, CASE WHEN image_id % 2 = 0 THEN CASE image_id % 3 WHEN 1 THEN '_' WHEN 2 THEN '.' ELSE '' END || 'sub' || CAST(image_id % 3 AS VARCHAR) ELSE '' END AS sub,
-        CASE WHEN image_id % 7 = 0 THEN '_' WHEN image_id % 11 = 0 THEN '.' ELSE '' END || lpad(CAST(image_id AS VARCHAR), 6, '0') || CASE WHEN image_id % 5 = 0 THEN '.JPG' ELSE '.png' END AS name
+        CASE WHEN image_id % 7 = 0 THEN '_' WHEN image_id % 11 = 0 THEN '.' WHEN image_id % 13 = 0 THEN '_x=' ELSE '' END || lpad(CAST(image_id AS VARCHAR), 6, '0') || CASE WHEN image_id % 5 = 0 THEN '.JPG' ELSE '.png' END AS name
         FROM img WHERE image_id % 17 <> 0)""",
     )
     + """SELECT row_number() OVER (ORDER BY source, deep, sub, name) - 1 AS image_id,
@@ -313,6 +313,31 @@ def keyed_manifest(spark, sf):
     )
 
 
+@query(
+    "updated_manifest",
+    W.ctes(W.SHOTS, f"files AS (SELECT *, source || '/' || {NAME_SQL} AS path FROM shots)")
+    + """SELECT path, utm_east, CASE WHEN image_id % 10 IN (1, 2) THEN 2 ELSE 1 END AS parsed_in FROM files WHERE image_id % 10 <> 0""",
+)
+def updated_manifest(spark, sf):
+    """A listing that is read again, then one with files removed, changed and added."""
+    i = F.col("image_id")
+    now = W.shots(spark, sf).select(
+        F.lit(0).alias("root"), F.concat("source", F.lit("/"), lenient_name()).alias("path"), i.alias("length"),
+        F.timestamp_seconds(F.when(i % 10 == 1, 200).otherwise(100)).alias("modified"), i,
+    )
+    before = now.filter(i % 10 != 2).withColumn("modified", F.timestamp_seconds(F.lit(100))).drop("image_id")
+    folder = fresh(spark, "manifest")
+
+    def parse(turn: int):
+        return lambda files: files.select("*", N.lenient_position(N.file_name(F.col("path")))["utm_east"].alias("utm_east"), F.lit(turn).alias("parsed_in"))
+
+    sinks.updated_manifest(before, folder, parse(1))
+    again, counts = sinks.updated_manifest(before, folder, parse(9))
+    if counts["parsed"] or counts["removed"] or counts["kept"] != again.count():
+        raise AssertionError(f"an unchanged listing was not found again: {counts}")
+    return sinks.updated_manifest(now.filter(i % 10 != 0).drop("image_id"), folder, parse(2))[0].select("path", "utm_east", "parsed_in")
+
+
 @query(
     "table_fingerprint",
     W.ctes(W.SHOTS) + "SELECT count(*) AS rows, true AS same FROM shots",

@@ -3,11 +3,12 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from geocurate.operators import embed, ids, places
 from geocurate.operators.checks import DataCheckError
 from geocurate.plans import curation
-from geocurate.sources import images, sinks, tables
+from geocurate.sources import images, listing, sinks, tables
 
 PARAMS = curation.CurationParams(tau=-1.0, min_images=1, supergroup_size=None)
 
@@ -62,14 +63,51 @@ def test_evaluation_needs_all_vectors(spark):
 
 
 def test_scan_finds_every_name(spark, folder):
-    names = ["a.jpg", "_b.jpg", ".c.png", "_d/e.jpg", ".f/g/h.JPG", "x/_y/.z.webp", "x/y.txt", "k=1/_i.jpg"]
+    names = ["a.jpg", "_b.jpg", ".c.png", "_d/e.jpg", ".f/g/h.JPG", "x/_y/.z.webp", "x/y.txt", "k=1/_i.jpg", "_x=1.png", "_metadata.jpg", "x/a b#c%20.jpg"]
     for name in names:
         path = os.path.join(folder, name)
         os.makedirs(os.path.dirname(path), exist_ok=True)
         with open(path, "wb") as file:
             file.write(b"0")
     found = [r.path.removeprefix(folder + "/") for r in images.scan_images(spark, [folder]).collect()]
-    assert sorted(found) == sorted(n for n in names if not n.endswith(".txt"))
+    want = sorted(n for n in names if not n.endswith(".txt"))
+    assert sorted(found) == want
+    by_spark = listing._listed_by_spark(spark, [(0, folder)]).filter("path NOT LIKE '%.txt'").collect()
+    assert sorted(r.path.removeprefix(folder + "/") for r in by_spark) == want and {r.length for r in by_spark} == {1}
+    roots = [f"{folder}/x", f"{folder}/x", f"{folder}/_d"]
+    assert sorted((r.root, r.path.rsplit("/", 1)[1]) for r in images.scan_images(spark, roots).collect()) == [
+        (0, ".z.webp"), (0, "a b#c%20.jpg"), (1, ".z.webp"), (1, "a b#c%20.jpg"), (2, "e.jpg")
+    ]
+    os.makedirs(f"{folder}/empty/er")
+    assert images.scan_images(spark, [f"{folder}/empty"]).count() == 0
+
+
+def test_manifest_follows_its_files(spark, folder):
+    def put(name, content=b"0"):
+        os.makedirs(os.path.dirname(f"{folder}/raw/{name}"), exist_ok=True)
+        with open(f"{folder}/raw/{name}", "wb") as file:
+            file.write(content)
+
+    parsed = []
+
+    def parse(files):
+        parsed.append(files.count())
+        return files.withColumn("name", F.element_at(F.split("path", "/"), -1))
+
+    def update():
+        rows, counts = sinks.updated_manifest(images.list_images(spark, [f"{folder}/raw"]), f"{folder}/manifest", parse)
+        numbered = images.in_walk_order(rows.select("root", "path", "name"))
+        return [r.name for r in numbered.orderBy("image_id").collect()], counts
+
+    for name in ("a/1.jpg", "a/_2.jpg", "b/3.jpg"):
+        put(name)
+    assert update() == (["1.jpg", "_2.jpg", "3.jpg"], {"kept": 0, "parsed": 3, "removed": 0})
+    assert update() == (["1.jpg", "_2.jpg", "3.jpg"], {"kept": 3, "parsed": 0, "removed": 0})
+    put("a/15.jpg")
+    put("b/3.jpg", b"longer")
+    os.remove(f"{folder}/raw/a/1.jpg")
+    assert update() == (["15.jpg", "_2.jpg", "3.jpg"], {"kept": 1, "parsed": 2, "removed": 1})
+    assert parsed == [3, 2]
 
 
 def test_saving_a_loaded_set_keeps_its_rows(spark, folder):
