@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geocurate.operators import matches, pivots, retrieval
+from geocurate.operators import matches, pivots, retrieval, substrings
 from geocurate.plans import curation
 from geocurate.runtime import stage
 from geocurate.sources import sinks, tables
@@ -119,8 +119,7 @@ def mean_first_recall(spark, sf):
     return retrieval.mean_r1(reduce(DataFrame.unionByName, parts)).select(F.round("mean_r1", 9).alias("mean_r1"))
 
 
-@query(
-    "sign_code_shortlist",
+SHORTLIST_SQL = (
     W.ctes(
         W.IMG_EVAL,
         """coded AS (SELECT *, list_transform(embedding, lambda x: x >= 0) AS code FROM img_eval),
@@ -128,8 +127,11 @@ def mean_first_recall(spark, sf):
           CAST(list_sum(list_transform(range(1, 65), lambda k: CASE WHEN q.code[k] <> d.code[k] THEN 1 ELSE 0 END)) AS BIGINT) AS differing
           FROM coded q, coded d WHERE q.is_query AND NOT d.is_query)""",
     )
-    + """SELECT query_id, database_id, differing FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY differing, database_id) AS r FROM far) WHERE r <= 30""",
+    + """SELECT query_id, database_id, differing FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY differing, database_id) AS r FROM far) WHERE r <= 30"""
 )
+
+
+@query("sign_code_shortlist", SHORTLIST_SQL)
 def sign_code_shortlist(spark, sf):
     from geocurate.functions import vectors as V
 
@@ -138,6 +140,16 @@ def sign_code_shortlist(spark, sf):
     return near.select("query_id", "database_id", (-F.col("score")).cast("long").alias("differing"))
 
 
+@query("sign_code_shortlist_by_parts", SHORTLIST_SQL)
+def sign_code_shortlist_by_parts(spark, sf):
+    """The same from tables of 8-bit parts, looked up with ever more bits turned."""
+    from geocurate.functions import vectors as V
+
+    queries, database = (stage(s.select("image_id", V.sign_code(F.col("embedding"), 64).alias("code")), "codes").df for s in sides(spark, sf))
+    near, _ = substrings.shortlist(substrings.build(database, 64, bits=8), queries, 30)
+    return near.select("query_id", "database_id", F.col("differing").cast("long").alias("differing"))
+
+
 @query(
     "two_stage_retrieval",
     W.ctes(
