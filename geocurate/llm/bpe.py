@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Entries of a worker's tables of pieces and of pairs; a full table is emptied, which costs time only.
-MEMO = 1 << 18
+MEMO = 1 << 17
 #: Characters of text whose ids are held at once.
 SLICE_CHARS = 1_000_000
 
@@ -42,12 +42,22 @@ class _Pieces(dict):
         return ids
 
 
+def _ranks(raw: bytes) -> dict[bytes, int]:
+    lines = (line.split() for line in raw.splitlines() if line.strip())
+    return {base64.b64decode(token): int(rank) for token, rank in lines}
+
+
+@lru_cache(maxsize=2)
+def _tokens(raw: bytes) -> dict[int, bytes]:
+    """All that decoding needs of a vocabulary."""
+    return {rank: token for token, rank in _ranks(raw).items()}
+
+
 class Coder:
     """A vocabulary's tables, built once in each Python worker."""
 
     def __init__(self, raw: bytes, pattern: str):
-        lines = (line.split() for line in raw.splitlines() if line.strip())
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
+        self.ranks = _ranks(raw)
         if missing := [b for b in range(256) if bytes([b]) not in self.ranks]:
             raise ValueError(f"bytes without a token: {missing}")
         self.tokens = {rank: token for token, rank in self.ranks.items()}
@@ -193,9 +203,14 @@ def _put(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), values], [*kept, name])
 
 
-def encode(df: DataFrame, vocabulary: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(
+    df: DataFrame, vocabulary: bytes, pattern: str, text_col: str = "text", ids_col: str = "ids", checked: bool = False
+) -> DataFrame:
     """Add *ids_col*, the token ids of each whole text; each match of *pattern* is encoded by itself.
 
+    With *checked* every row is decoded at once, in the worker that encoded it, and ids that don't give the
+    text's bytes back fail the query.
+
     A null or empty text has no ids.  Special tokens have no meaning here.  All other columns
     are kept as they are, but for one that already has the name *ids_col*, which is
     replaced.  Rows are independent: no shuffle, any text length, any number of copies.
@@ -208,7 +223,12 @@ def encode(df: DataFrame, vocabulary: bytes, pattern: str, text_col: str = "text
             lengths = batch.column(text_col).cast(pa.large_string())
             sizes = np.diff(np.frombuffer(lengths.buffers()[1], np.int64)[lengths.offset:][:len(lengths) + 1])
             for part in _slices(batch, sizes, SLICE_CHARS):
-                rows = [coder.encode(t or "") for t in part.column(text_col).to_pylist()]
+                rows = []
+                for value in part.column(text_col):
+                    text = value.as_py() or ""
+                    rows.append(coder.encode(text))
+                    if checked and b"".join(map(coder.tokens.__getitem__, rows[-1].tolist())) != text.encode("utf-8", "surrogatepass"):
+                        raise ValueError("ids don't decode to their text")
                 offsets = np.zeros(len(rows) + 1, np.int32)
                 np.cumsum([len(r) for r in rows], out=offsets[1:])
                 values = np.concatenate(rows) if rows else np.zeros(0, np.int32)
@@ -217,12 +237,12 @@ def encode(df: DataFrame, vocabulary: bytes, pattern: str, text_col: str = "text
     return df.mapInArrow(run, _with(df.schema, ids_col, T.ArrayType(T.IntegerType())))
 
 
-def decode(df: DataFrame, vocabulary: bytes, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
+def decode(df: DataFrame, vocabulary: bytes, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """Add *bytes_col*, the bytes that the ids stand for; null ids count as none.  An unknown id fails."""
     raw = df.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = _coder(raw.value, pattern).tokens.__getitem__
+        token = _tokens(raw.value).__getitem__
         for batch in batches:
             lists = batch.column(ids_col)
             sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)

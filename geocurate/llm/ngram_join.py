@@ -184,7 +184,8 @@ def _verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
         last_text, last = None, set()
         for batch in batches:
             keep = []
-            for one, other in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for one, other in zip(batch.column(2), batch.column(3)):
+                one, other = one.as_py(), other.as_py()  # one pair at a time: texts may be long
                 if one != last_text:
                     last_text, last = one, shingles_of(one)
                 second = shingles_of(other)

@@ -91,7 +91,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
     )
-    decoded = bpe.decode(told, vocabulary, public_tokenizers.PATTERN)
+    decoded = bpe.decode(told, vocabulary)
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -45,7 +45,7 @@ def test_long_pieces(coder, library):
 def test_nulls_and_clashing_columns(spark, vocabulary):
     rows = [(1, None, "x"), (2, "", "y"), (3, "straße the end", None), (3, "straße the end", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
-    both = bpe.decode(bpe.encode(df, vocabulary, P.PATTERN), vocabulary, P.PATTERN).collect()
+    both = bpe.decode(bpe.encode(df, vocabulary, P.PATTERN), vocabulary).collect()
     assert [bytes(r.decoded).decode() for r in both] == [t or "" for _, t, _ in rows]
     assert both[0].ids == [] and both[2].ids == both[3].ids
     assert bpe.encode(df.limit(0), vocabulary, P.PATTERN).count() == 0
