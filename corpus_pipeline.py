@@ -43,12 +43,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text; a text that they don't decode to fails the stage."""
     vocabulary = bpe.read_vocabulary(public_tokenizers.path(VOCABULARY))
-    coded = bpe.decode(bpe.encode(docs, vocabulary, public_tokenizers.PATTERN), vocabulary, public_tokenizers.PATTERN)
-    same = F.col("decoded") == F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    lost = F.raise_error(F.lit("ids don't decode to their text")).cast("array<int>")
-    return coded.select(
-        "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), F.when(same, F.col("ids")).otherwise(lost).alias("ids")
-    )
+    coded = bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, checked=True)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [
