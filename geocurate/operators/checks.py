@@ -32,6 +32,13 @@ def require_heading(df: DataFrame, label: str) -> DataFrame:
     return df
 
 
+def require_position(df: DataFrame, label: str) -> DataFrame:
+    row = df.agg(F.count_if(is_missing("utm_east") | is_missing("utm_north")).alias("missing"), F.count("*").alias("total")).first()
+    if row["missing"]:
+        raise DataCheckError(f"{label}: {row['missing']} of {row['total']} images have no position")
+    return df
+
+
 def missing_keys(df: DataFrame, reference: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Distinct keys of *df* that *reference* does not hold."""
     return df.select(*keys).distinct().join(reference.select(*keys), list(keys), "left_anti")

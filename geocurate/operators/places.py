@@ -190,10 +190,11 @@ def subsample_source_places(
 def subsample_tiles(
     df: DataFrame, fraction: float = 1.0, tile_m: float = 100.0, seed: int = 42
 ) -> DataFrame:
-    """Keep the images of a fraction of the occupied coarse tiles."""
+    """Keep the images of a fraction of the occupied coarse tiles.  An image without a position is an error: it has no tile."""
     if fraction >= 1.0:
         return df
     checks.require_fraction(fraction)
+    checks.require_position(df, "tile subsample")
     tiled = df.withColumn("_tx", geo.cell(F.col("utm_east"), tile_m)).withColumn(
         "_ty", geo.cell(F.col("utm_north"), tile_m)
     )

@@ -37,15 +37,22 @@ def load_embeddings(
 ) -> DataFrame:
     """Image vectors, whole, of one source (partition pruning), or of given ids.
 
-    *ids* is a frame with ``image_path``; a path without a vector is an error.
+    *ids* is a frame with ``image_path``, and ``source`` where paths repeat between sources; an image without a
+    vector is an error, and so is a path without a source that several sources hold.
     """
     table = spark.read.schema(IMAGE_EMBEDDINGS).parquet(store)
     if source is not None:
         table = table.filter(F.col("source") == source)
     if ids is None:
         return table
-    checks.require_keys(ids, table, ["image_path"], "image paths")
-    return table.join(ids.select("image_path").distinct(), "image_path")
+    keys = ["source", "image_path"] if "source" in ids.columns else ["image_path"]
+    checks.require_keys(ids, table, keys, "image paths")
+    wanted = table.join(ids.select(*keys).distinct(), keys, "left_semi")
+    if source is None and len(keys) == 1:
+        several = wanted.groupBy("image_path").agg(F.count_distinct("source").alias("n")).filter("n > 1").count()
+        if several:
+            raise checks.DataCheckError(f"{several} image paths belong to several sources; name the source")
+    return wanted
 
 
 def load_place_embeddings(spark: SparkSession, store: str, ids: DataFrame | None = None) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geocurate.operators import embed, ids, matches, places
+from geocurate.operators import checks, embed, ids, matches, places
 from registry import query
 from registry import views as W
 from registry.readers import MATCHES_SQL, grouped
@@ -302,3 +305,28 @@ def user_step(spark, sf):
         .transform(places.place_sizes)
         .transform(lambda sizes: sizes.filter("num_images > 1"))
     )
+
+
+FRACTIONS = (0.0, 0.25, 1.0, 1.5)
+
+
+@query(
+    "fraction_check",
+    W.ctes(W.SHOTS, W.placed("shots"), "own AS (SELECT count(DISTINCT place_id) AS n FROM shots_placed WHERE source = 'sf_xl')")
+    + " UNION ALL ".join(
+        f"SELECT {f}e0 AS fraction, " + (f"CAST(greatest(1, floor(n * {f}e0)) AS BIGINT)" if 0 < f <= 1 else "CAST(NULL AS BIGINT)") + " AS num_places FROM own"
+        for f in FRACTIONS
+    ),
+)
+def fraction_check(spark, sf):
+    """Places of a source that each fraction keeps; null where the fraction is refused."""
+    placed = places.assign_places(W.shots(spark, sf), W.CELL_M, W.HEADING_DEG)
+    lines = []
+    for fraction in FRACTIONS:
+        try:
+            kept = places.subsample_source_places(placed, "sf_xl", fraction).filter("source = 'sf_xl'")
+            counted = kept.agg(F.count_distinct("place_id").alias("num_places"))
+        except checks.DataCheckError:
+            counted = placed.limit(1).select(F.lit(None).cast("long").alias("num_places"))
+        lines.append(counted.select(F.lit(fraction).alias("fraction"), "num_places"))
+    return reduce(DataFrame.unionByName, lines)

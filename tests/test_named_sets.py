@@ -68,3 +68,23 @@ def test_city_files_keep_their_prefix_and_path(spark, folder):
     (row,) = named.read_source(spark, f"{folder}/raw", "gsvcities").collect()
     assert row.place_id == 100_007
     assert row.image_path == "gsvcities/Images/Bb/Bb_0000007_2019_03_045_51.5_-0.0005_pano.jpg"
+
+
+def test_combined_plan_reads_four_sources_and_halves_two(spark, folder, raw, load_model, monkeypatch):
+    """24 images of the single source, and three more sources of two or three places each."""
+    monkeypatch.setattr(curation, "COMBINED", curation.replace(curation.COMBINED, tau=-1.0, min_images=1, kmeans_iter=5))
+    os.makedirs(f"{folder}/raw/gsvcities/Dataframes")
+    with open(f"{folder}/raw/gsvcities/Dataframes/Rome.csv", "w") as file:
+        file.write("city_id,place_id,year,month,northdeg,lat,lon,panoid\n")
+        file.writelines(f"Rome,{i // 2},2019,3,45,41.9{i},12.5,pano{i}\n" for i in range(4))
+    touch(f"{folder}/raw/msls/train/x", *[name_of(9000 + 400 * (i // 2), 100, 10, f"m{i}") for i in range(8)])
+    view = "@{}@7000@10@S@3@4@pano{}@{}@@@@@@pitch1_yaw1@.jpg"
+    touch(f"{folder}/raw/pitts30k/images/train", *[view.format(5000 + 100 * (i // 3), i, i) for i in range(6)])
+    named.build_combined(spark, raw, f"{folder}/out", f"{folder}/store", load_model)
+    saved = tables.load_train(spark, f"{folder}/out", "gsvcities_sf_xl_pitts30k_msls_train").toPandas()
+    keys = ["supergroup_id", "place_id"]
+    count = {s: (len(g), len(g[keys].drop_duplicates())) for s, g in saved.groupby("source")}
+    assert count == {"gsvcities": (4, 2), "sf_xl": (12, 2), "pitts30k": (6, 2), "msls": (4, 2)}
+    assert sorted(saved.image_id) == list(range(26))
+    for kind in ("summary", "supergroups", "sources", "analysis", "supergroup_quality", "supergroup_geo", "supergroup_histograms"):
+        assert spark.read.json(f"{folder}/out/train/gsvcities_sf_xl_pitts30k_msls_train/{kind}").count() > 0

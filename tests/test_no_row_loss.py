@@ -138,3 +138,20 @@ def test_cluster_needs_a_shared_folder(monkeypatch):
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=context)
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         runtime.shared_dir(session)
+
+
+def test_tiles_need_positions(spark):
+    lost = manifest(spark).withColumn("utm_east", F.when(F.col("image_id") != 3, F.col("utm_east")))
+    with pytest.raises(DataCheckError, match="1 of 10 images have no position"):
+        places.subsample_tiles(lost, 0.5)
+
+
+def test_equal_paths_of_two_sources(spark, folder):
+    store = spark.createDataFrame([("p", [1.0], "a"), ("p", [2.0], "b"), ("q", [3.0], "a")], "image_path string, embedding array<float>, source string")
+    sinks.save_image_embeddings(store, f"{folder}/store")
+    named = spark.createDataFrame([("p", "b"), ("q", "a"), ("q", "a")], "image_path string, source string")
+    got = tables.load_embeddings(spark, f"{folder}/store", ids=named).collect()
+    assert sorted((r.image_path, r.embedding) for r in got) == [("p", [2.0]), ("q", [3.0])]
+    with pytest.raises(DataCheckError, match="1 image paths belong to several sources"):
+        tables.load_embeddings(spark, f"{folder}/store", ids=named.select("image_path"))
+    assert tables.load_embeddings(spark, f"{folder}/store", "a", named.select("image_path")).count() == 2
