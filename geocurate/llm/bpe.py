@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Entries of a worker's tables of pieces and of pairs; a full table is emptied, which costs time only.
-MEMO = 1 << 17
+MEMO = 1 << 18
 #: Characters of text whose ids are held at once.
 SLICE_CHARS = 1_000_000
 
