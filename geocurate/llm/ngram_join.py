@@ -35,7 +35,7 @@ WORDS = 5
 #: Coordinates of a document's point.  Unrelated sets of n shingles are told apart up to n = 26 * GROUPS.
 GROUPS = 128
 #: Documents with a shingle from which on it goes last in the order.
-FREQUENT = 100
+FREQUENT = 8
 #: Bits of the filter that says which shingles are frequent: 2 MB, whatever the corpus.  A shingle that
 #: is taken for a frequent one by mistake is only moved in the order.
 FILTER_BITS = 1 << 24
