@@ -8,6 +8,8 @@ in all documents, different ones have different ones, and the key leads back.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,23 @@ def _iban_forms() -> str:
     return "|".join(forms)
 
 
+#: Lengths of the groups that cards are printed in.
+CARD_GROUPS = ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3))
+
+
+def _card_forms() -> str:
+    """One group, or groups as printed, so numbers beside a card don't join it; else groups among which no card begins.
+
+    What a form takes depends only on what pseudonyms keep: lengths of groups, and the first digits of printed groups.
+    Those begin with 3 to 9 or 22 to 27, not like years and expiry dates.
+    """
+    printed = "|".join("[ -]".join(f"[0-9]{{{n}}}" for n in groups) for groups in CARD_GROUPS)
+    single, printed = r"[0-9]{13,19}(?![0-9])", f"(?:{printed})(?![0-9])"
+    begins = f"(?!{single}|{printed})"
+    other = f"{begins}[0-9](?:[0-9]|[ -]{begins}[0-9]){{12,18}}(?![0-9])"
+    return f"(?<![0-9])(?:{single}|(?=[3-9]|2[2-7]){printed}|{other})"
+
+
 # Forms of the kinds.  The first kind that fits at a place counts.
 FORMS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
@@ -38,8 +57,10 @@ FORMS = {
     "date": r"(?<![0-9])(?<![0-9][./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9]|[./-][0-9])",
     "ip": r"(?<![0-9])(?<![0-9]\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9])(?<![0-9]-)[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "phone": r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
+    r"|\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
+    r"|(?<![0-9])(?<![0-9][.-])[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.)[0-9]{4}(?![0-9]|[.-][0-9])",
+    "card": _card_forms(),
 }
 #: Forms of dates, and the days that are permuted: 270 * 270 from the first on.
 DATE_FORMS = (("^[0-9]{4}-", "yyyy-MM-dd"), (r"^[0-9]{2}\.", "dd.MM.yyyy"), ("^[0-9]{2}/", "MM/dd/yyyy"))
@@ -161,13 +182,43 @@ def _email(m: Column, key: str, back: bool) -> Column:
     return F.concat(permute_text(name, "email", key, back), F.substring(m, F.length(name) + 1, F.length(m)))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """*then* of *value*, which is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _card_digits(d: Column, key: str, back: bool) -> Column:
+    """Keeps the first digit, which names the kind of issuer (with 2 the second too), and sets the check digit anew.
+
+    Of 19 digits, the 16th keeps its distance from the check digit of the 15 before it, so a
+    card of 16 digits is told from one of 19 in the pseudonym as in the value.
+    """
+    keep = F.when(F.substring(d, 1, 1) == "2", 2).otherwise(1)
+    size = F.length(d)
+    head, free = F.substring(d, F.lit(1), keep), F.substring(d, keep + 1, size - keep - 1)
+    plain = _let(F.concat(head, permute_text(free, "card", key, back)), lambda x: F.concat(x, _luhn(x)))
+    off = F.pmod(F.substring(d, 16, 1).cast("int") - _luhn(F.substring(d, 1, 15)).cast("int"), F.lit(10))
+    drawn = permute_text(F.concat(F.substring(d, keep + 1, 15 - keep), F.substring(d, 17, 2)), "card", key, back)
+
+    def long(x: Column) -> Column:
+        first = F.substring(x, 1, 15)
+        digit = F.pmod(_luhn(first).cast("int") + off, F.lit(10)).cast("string")
+        return _let(F.concat(first, digit, F.substring(x, 16, 2)), lambda y: F.concat(y, _luhn(y)))
+
+    return F.when(size == 19, _let(F.concat(head, drawn), long)).otherwise(plain)
+
+
 def _card(m: Column, key: str, back: bool) -> Column:
-    """Keeps the first digit, which names the kind of issuer."""
-    d = _digits(m)
-    body = F.substring(d, F.lit(1), F.length(d) - 1)
-    inner = F.concat(F.substring(d, 1, 1), permute_text(F.substring(d, F.lit(2), F.length(d) - 2), "card", key, back))
-    new = F.element_at(F.transform(F.array(inner), lambda x: F.concat(x, _luhn(x))), 1)
-    return F.when(_luhn(body) == F.substring(d, F.length(d), F.lit(1)), _refilled(m, new)).otherwise(m)
+    """Four groups of four and one of three are a card of 16 digits beside a number if those are valid, else one of 19."""
+    valid = lambda d: _luhn(F.substring(d, F.lit(1), F.length(d) - 1)) == F.substring(d, F.length(d), F.lit(1))
+
+    def renewed(d: Column) -> Column:
+        beside = F.rlike(m, F.lit("^[0-9]{4}(?:[ -][0-9]{4}){3}[ -][0-9]{3}$")) & valid(F.substring(d, 1, 16))
+        number = F.when(beside, F.substring(d, 1, 16)).otherwise(d)
+        new = _let(number, lambda n: F.when(valid(n), _card_digits(n, key, back)).otherwise(n))
+        return F.concat(new, F.when(beside, F.substring(d, 17, 3)).otherwise(F.lit("")))
+
+    return _let(_digits(m), lambda d: _refilled(m, renewed(d)))
 
 
 def _iban(m: Column, key: str, back: bool) -> Column:
@@ -186,7 +237,7 @@ def _iban(m: Column, key: str, back: bool) -> Column:
 
 
 def _phone(m: Column, key: str, back: bool) -> Column:
-    """Keeps the country's code."""
+    """Keeps the country's code, if there is one."""
     code = F.regexp_extract(m, r"^\+[0-9]{1,3}(?=[^0-9])", 0)
     rest = F.substring(m, F.length(code) + 1, F.length(m))
     return F.concat(code, _refilled(rest, permute_text(_digits(rest), "phone", key, back)))
@@ -235,9 +286,9 @@ ANY = "|".join(FORMS.values())
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", back: bool = False) -> DataFrame:
     """Replace *text_col* by the text with pseudonyms and add ``personal``: counts by kind of what was replaced.
 
-    Kinds are e-mail names, IBANs, dates, IPv4 addresses, social security numbers, phone numbers with a
-    country code, and card numbers; what has the form but isn't valid (check digits,
-    calendar, ranges) stays.  Dates from 1900 to August 2099 are permuted.  With ``back``, pseudonyms
+    Kinds are e-mail names, IBANs, dates, IPv4 addresses, social security numbers, phone numbers (with a
+    country code, or of ten digits in groups of three, three and four), and card numbers, also beside other
+    numbers; what has the form but isn't valid (check digits, calendar, ranges) stays.  Dates from 1900 to August 2099 are permuted.  With ``back``, pseudonyms
     made with the same key become the values again.
 
     A null text stays null, an empty one empty, both with no counts.  Repeated rows get
