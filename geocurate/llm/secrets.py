@@ -20,24 +20,23 @@ HEX_LEAST = 24
 
 KINDS = ("assign", "access", "hex", "entropy")
 
-#: Characters in a row that may be a secret.  Everything the windows look at is in such a run.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
 WINDOW = 20
-#: Character classes, first that fits counts: name, pattern, alphabet, least bits a character.
-#: A run of letters only is a word, one of digits only a number.
+#: Character classes: name, maximal runs that windows slide over, what a run must hold, alphabet, least bits
+#: a character.  A run of letters only is a word, one of digits only a number.
 CLASSES = (
-    ("hexadecimal", r"^(?=.*[A-Fa-f])[0-9A-Fa-f]+$", "0123456789abcdefABCDEF", 3.0),
-    ("capital", r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.6),
+    ("hexadecimal", r"[0-9A-Fa-f]{20,}+", r"[A-Fa-f]", "0123456789abcdefABCDEF", 3.0),
+    ("capital", r"[A-Z0-9]{20,}+", r"^(?=.*[0-9])(?=.*[A-Z])", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 3.6),
+    ("small", r"[a-z0-9]{20,}+", r"^(?=.*[0-9])(?=.*[a-z])", "abcdefghijklmnopqrstuvwxyz0123456789", 3.6),
     (
-        "base64", r"^(?=.*[0-9])(?=.*[A-Za-z])",
+        "base64", r"[A-Za-z0-9+/_=-]{20,}+", r"^(?=.*[0-9])(?=.*[A-Za-z])",
         "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.9,
     ),
 )
-#: What marks a candidate as a sample value or an ordinary identifier.
-ALLOWED = (
-    r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|0123456789|123456789|abcdefghij"
-    r"|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-)
+#: What marks a span as a sample value, and the form of an ordinary identifier, which is a whole run.
+ALLOWED = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|0123456789|123456789|abcdefghij"
+IDENTIFIER = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: Of these, words that may stand alone in a path or name, where they say nothing about what follows.
+NAMES = ("example", "sample", "dummy", "placeholder", "changeme", "your")
 
 #: Prefix sums are taken block by block, so their cost stays linear in the number of matches.
 BLOCK = 128
@@ -84,7 +83,7 @@ def _matches(df: DataFrame, name: str, pattern: str) -> DataFrame:
 
 
 def _region(run: Column, alphabet: str, least_bits: float) -> Column:
-    """Struct (first, last) of the characters of *run* that windows of high entropy cover, 1-based; null if none.
+    """Struct (first, last) of the characters of *run* from the first window of high entropy to the last, 1-based; nulls if none.
 
     The window's counts by character change by one in and one out, and with them the sum
     of c * log2(c), from which the entropy follows.
@@ -131,10 +130,12 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``secrets``: an array of structs (kind, start, end) of every secret in the whole text.
 
     Kinds are ``assign``, ``access`` and ``hex`` by their patterns (leftmost, without
-    overlaps within a kind, too short ones dropped), and ``entropy`` for the part of a long
-    run of key characters in which windows of `WINDOW` characters reach the entropy of
-    their character class, unless the run is on the allow list.  The allow list doesn't
-    touch the other kinds.  Positions count code points, the end is exclusive.  Spans are
+    overlaps within a kind, too short ones dropped), and ``entropy`` for the part of a
+    maximal run of a character class in which windows of `WINDOW` characters reach the entropy of
+    that class, unless what was found is on the allow list.  Every class has runs of its own, so a name
+    before a secret doesn't change its class; spans of several classes that overlap are united.  Words of
+    the allow list that stand alone in a path or name are masked first and don't suppress what is beside them.
+    The allow list doesn't touch the other kinds.  Positions count code points, the end is exclusive.  Spans are
     ordered by start, then kind in the order above, then end.
 
     A null or empty text has none.  Repeated rows get equal spans.  A column of *docs* named
@@ -145,39 +146,62 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = _matches(df, "_access", ACCESS)
     # runs are maximal, so asking for the least length in the pattern drops just the short ones
     df = _matches(df, "_hex", HEX[:-1] + f"{{{HEX_LEAST},}}+")
-    df = _matches(df, "_runs", CANDIDATE)
+    for name, runs, *_ in CLASSES:
+        df = _matches(df, f"_{name}", runs)
+    df = df.withColumn("_regions", F.concat(*(_found(F.col(f"_{name}"), *rule) for name, _, *rule in CLASSES)))
+    df = df.withColumn("_regions", _united(F.sort_array("_regions")))
     value = lambda m: F.regexp_extract(m, ASSIGN, 2)
-    regions = F.transform(
-        F.filter("_runs", lambda m: ~F.rlike(m["what"], F.lit(ALLOWED))),
-        lambda m: F.struct(m["start"].alias("start"), _by_class(m["what"]).alias("region")),
-    )
-    df = df.withColumn("_regions", F.filter(regions, lambda r: r["region"]["first"].isNotNull()))
 
-    def spans(kind: int, found: Column, start=lambda m: m["start"], end=lambda m: m["end"]) -> Column:
-        return F.transform(found, lambda m: F.struct(start(m).alias("start"), F.lit(kind).alias("kind"), end(m).alias("end")))
+    def spans(kind: int, found: Column) -> Column:
+        return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end")))
 
     every = F.sort_array(F.concat(
         spans(0, F.filter("_assign", lambda m: F.length(value(m["what"])) >= ASSIGN_LEAST)),
         spans(1, F.filter("_access", lambda m: m["end"] - m["start"] >= ACCESS_LEAST)),
         spans(2, F.col("_hex")),
-        spans(
-            3, F.col("_regions"),
-            lambda r: r["start"] + r["region"]["first"] - 1, lambda r: r["start"] + r["region"]["last"],
-        ),
+        spans(3, F.col("_regions")),
     ))
     kinds = F.array(*map(F.lit, KINDS))
     named = F.transform(
         every,
         lambda m: F.struct(F.element_at(kinds, m["kind"] + 1).alias("kind"), m["start"].alias("start"), m["end"].alias("end")),
     )
-    return df.withColumn("secrets", named).drop("_text", "_assign", "_access", "_hex", "_runs", "_regions")
+    return df.withColumn("secrets", named).drop("_text", "_assign", "_access", "_hex", "_regions", *(f"_{name}" for name, *_ in CLASSES))
+
+
+def _masked(run: Column) -> Column:
+    """*run* with words of the allow list that stand alone replaced by as many equals signs."""
+    for word in NAMES:
+        run = F.regexp_replace(run, f"(?i)(?<![A-Za-z0-9+]){word}(?![A-Za-z0-9+])", "=" * len(word))
+    return run
+
+
+def _found(runs: Column, holds: str, alphabet: str, bits: float) -> Column:
+    """Array of structs (start, end) of what windows of high entropy find in the runs of a class."""
+    likely = F.filter(runs, lambda m: F.rlike(m["what"], F.lit(holds)) & ~F.rlike(m["what"], F.lit(IDENTIFIER)))
+    masked = F.transform(likely, lambda m: F.struct(m["start"].alias("start"), _masked(m["what"]).alias("what")))
+    regions = F.transform(masked, lambda m: F.struct(m["start"].alias("start"), m["what"].alias("what"), _region(m["what"], alphabet, bits).alias("at")))
+
+    def fine(r: Column) -> Column:
+        part = F.substring(r["what"], r["at"]["first"], r["at"]["last"] - r["at"]["first"] + 1)
+        return r["at"]["first"].isNotNull() & ~F.rlike(part, F.lit(ALLOWED))
+
+    return F.transform(
+        F.filter(regions, fine),
+        lambda r: F.struct((r["start"] + r["at"]["first"] - 1).alias("start"), (r["start"] + r["at"]["last"]).alias("end")),
+    )
+
+
+def _united(spans: Column) -> Column:
+    """Overlapping ones of sorted spans as one."""
 
+    def step(done: Column, span: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end"))
+        joins = (F.size(done) > 0) & (span["start"] < last["end"])
+        return F.when(joins, F.array_append(F.slice(done, 1, F.size(done) - 1), longer)).otherwise(F.array_append(done, span))
 
-def _by_class(run: Column) -> Column:
-    chosen = F.lit(None).cast("struct<first:int,last:int>")
-    for _, pattern, alphabet, bits in reversed(CLASSES):
-        chosen = F.when(F.rlike(run, F.lit(pattern)), _region(run, alphabet, bits)).otherwise(chosen)
-    return chosen
+    return F.aggregate(spans, F.array().cast("array<struct<start:int,end:int>>"), step)
 
 
 def span_text(spans: Column) -> Column:
