@@ -25,8 +25,8 @@ Q = 8
 EDIT_SHARE = 0.08
 #: Length of the parts of an item that is longer than a part and a fifth, and how far they are apart.
 PART, STRIDE = 100, 50
-#: Shorter items hold too little to tell a leak from a common phrase.
-LEAST = 40
+#: Shorter items may be common phrases: what holds one is reported, but dropped only where the match is at least this share of the text.
+SHORT, SHORT_SHARE = 40, 0.5
 #: Characters of benchmark that one pass over the documents compares with; more take several passes.
 PASS_CHARS = 4_000_000
 #: Characters of documents that are looked at together; longer documents are cut, with an overlap.
@@ -57,14 +57,17 @@ def _grams(codes: np.ndarray) -> np.ndarray:
 
 
 def segments(length: int) -> list[tuple[int, int]]:
-    if length < LEAST:
-        return []
     if length <= PART + PART // 5:
         return [(0, length)]
     starts = list(range(0, length - PART, STRIDE)) + [length - PART]
     return [(s, s + PART) for s in starts]
 
 
+def budgets(length: np.ndarray) -> np.ndarray:
+    """Edits allowed in segments: their share, but no more than leave one shared q-gram by the lemma."""
+    return np.maximum(0, np.minimum((length * EDIT_SHARE).astype(np.int64), length // Q - 1))
+
+
 @dataclass
 class Index:
     """The q-grams of the segments of benchmark items, as sorted arrays."""
@@ -88,7 +91,7 @@ class Index:
                 items.append(item)
                 codes.append(whole[start:end])
         length = np.array([len(c) for c in codes], np.int64)
-        budget = (length * EDIT_SHARE).astype(np.int64)
+        budget = budgets(length)
         grams = [_grams(c) for c in codes]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         segment = np.repeat(np.arange(len(codes)), [len(g) for g in grams]) if grams else np.zeros(0, np.int64)
@@ -202,24 +205,70 @@ def _blocks(texts: list[str]) -> Iterator[list[tuple[int, int, np.ndarray]]]:
         yield block
 
 
-def find(index: Index, texts: list[str]) -> dict[tuple[int, int], tuple[int, int, int]]:
+@dataclass
+class Benchmark:
+    """Indexes of long and of short items, so that short ones don't weaken the filter, and items too short for a q-gram."""
+
+    indexes: list[Index]
+    whole: dict[bytes, list[int]]
+    chars: dict[int, int]
+
+    @classmethod
+    def of(cls, rows: Iterable[tuple[int, str | None]]) -> Benchmark:
+        rows = [(item, text, len(normal(text or ""))) for item, text in rows]
+        short = [(i, t) for i, t, n in rows if Q <= n < SHORT]
+        whole: dict[bytes, list[int]] = {}
+        for item, text, n in rows:
+            bare = _bare(normal(text or ""))
+            if n < Q and len(bare):
+                whole.setdefault(bare.tobytes(), []).append(item)
+        chars: dict[int, int] = {}
+        for item, _, n in rows:  # of rows with one id the longest counts
+            chars[item] = max(n, chars.get(item, 0))
+        return cls([Index.of([(i, t) for i, t, n in rows if n >= SHORT]), Index.of(short)], whole, chars)
+
+
+def _bare(codes: np.ndarray) -> np.ndarray:
+    """*codes* without white space at both ends."""
+    at = np.flatnonzero(codes != 32)
+    return codes[at[0]:at[-1] + 1] if len(at) else codes[:0]
+
+
+def find(benchmark: Benchmark, texts: list[str]) -> dict[tuple[int, int], tuple[int, int, int]]:
     """(row, item) -> (start, end, edits): the span of an item's matches and the fewest edits of one."""
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
+
+    def add(row: int, item: int, span: tuple[int, int, int]) -> None:
+        old = found.get((row, item), span)
+        found[row, item] = (min(old[0], span[0]), max(old[1], span[1]), min(old[2], span[2]))
+
     gap = np.zeros(Q, np.uint32)
     for block in _blocks(texts):
         starts = np.cumsum([0] + [len(p) + Q for _, _, p in block])
         run = np.concatenate([x for _, _, p in block for x in (p, gap)])
-        for segment, start, end, edits in index.search(run):
-            which = int(np.searchsorted(starts, (start + end) // 2, "right")) - 1
-            row, offset, piece = block[which]
-            span = (offset + max(0, start - int(starts[which])), offset + min(len(piece), end - int(starts[which])), edits)
-            key = (row, int(index.items[segment]))
-            old = found.get(key, span)
-            found[key] = (min(old[0], span[0]), max(old[1], span[1]), min(old[2], span[2]))
+        for index in benchmark.indexes:
+            for segment, start, end, edits in index.search(run):
+                which = int(np.searchsorted(starts, (start + end) // 2, "right")) - 1
+                row, offset, piece = block[which]
+                first, last = max(0, start - int(starts[which])), min(len(piece), end - int(starts[which]))
+                add(row, int(index.items[segment]), (offset + first, offset + last, edits))
+    if benchmark.whole:
+        for row, text in enumerate(texts):
+            codes = normal(text)
+            for item in benchmark.whole.get(_bare(codes).tobytes(), ()) if len(codes) else ():
+                add(row, item, (0, len(codes), 0))
     return found
 
 
-def _indexes(benchmark: DataFrame, item_col: str, item_text_col: str, pass_chars: int) -> Iterator[Broadcast[Index]]:
+def drops(benchmark: Benchmark, texts: list[str]) -> set[int]:
+    """Rows that hold a long item or a part of one, or a short item as a good part of the text."""
+    return {
+        row for (row, item), (start, end, _) in find(benchmark, texts).items()
+        if benchmark.chars[item] >= SHORT or end - start >= SHORT_SHARE * len(texts[row])
+    }
+
+
+def _indexes(benchmark: DataFrame, item_col: str, item_text_col: str, pass_chars: int) -> Iterator[Broadcast[Benchmark]]:
     """Indexes over the benchmark, part by part, so that what is sent at once is bounded."""
     context = benchmark.sparkSession.sparkContext
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
@@ -227,25 +276,26 @@ def _indexes(benchmark: DataFrame, item_col: str, item_text_col: str, pass_chars
     passes = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // pass_chars))
     for turn in range(passes):
         part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == turn)
-        yield context.broadcast(Index.of(sorted((int(i), t) for i, t in part.collect())))
+        yield context.broadcast(Benchmark.of(sorted((int(i), t) for i, t in part.collect())))
 
 
 def leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", pass_chars: int = PASS_CHARS,
 ) -> DataFrame:
-    """Rows (id, item, start, end, edits) of every document that holds a benchmark item or a part of one.
+    """Rows (id, item, start, end, edits, item_chars) of every document that holds a benchmark item or a part of one.
 
     Positions are code points of the whole text, the end exclusive; they span all matching
-    parts.  Case and kinds of white space don't count as edits.  Null texts and items match
-    nothing, nor do items shorter than `LEAST` characters.  Rows with a null id are
+    parts.  Case and kinds of white space don't count as edits.  Items of any length count; those shorter
+    than `Q` characters only as the whole text, but for white space around it.  ``item_chars`` is the item's length,
+    by which common phrases can be told.  Null or blank texts and items match nothing.  Rows with a null id are
     reported under it; repeated rows are reported each.  Other columns are not read.
 
     No shuffle.  The benchmark goes to every task, `PASS_CHARS` characters of it in a pass
     over the documents, so what is broadcast is bounded whatever its size.
     """
     kind = docs.schema[id_col].dataType
-    schema = f"{id_col} {kind.simpleString()}, item_id bigint, start bigint, end bigint, edits bigint"
+    schema = f"{id_col} {kind.simpleString()}, item_id bigint, start bigint, end bigint, edits bigint, item_chars bigint"
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     out = None
     for index in _indexes(benchmark, item_col, item_text_col, pass_chars):
@@ -257,7 +307,8 @@ def leaks(
                 keys = sorted(found)
                 columns = [ids.take(pa.array([r for r, _ in keys], pa.int64())), pa.array([i for _, i in keys], pa.int64())]
                 columns += [pa.array([found[k][n] for k in keys], pa.int64()) for n in range(3)]
-                yield pa.RecordBatch.from_arrays(columns, [id_col, "item_id", "start", "end", "edits"])
+                columns.append(pa.array([index.value.chars[i] for _, i in keys], pa.int64()))
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "item_id", "start", "end", "edits", "item_chars"])
 
         one = rows.mapInArrow(run, schema)
         out = one if out is None else out.unionByName(one)
@@ -268,14 +319,17 @@ def drop_leaky(
     docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
     item_text_col: str = "text", pass_chars: int = PASS_CHARS,
 ) -> DataFrame:
-    """The rows of *docs* in which `leaks` finds nothing, with their columns, without a join."""
+    """The rows of *docs* that don't leak, with their columns, without a join.
+
+    A row leaks if `leaks` finds an item of at least `SHORT` characters or a part of one, or a shorter item whose match is
+    at least `SHORT_SHARE` of the text.
+    """
     for index in _indexes(benchmark, item_col, item_text_col, pass_chars):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = find(index.value, ["" if t is None else t for t in batch.column(text_col).to_pylist()])
                 clean = np.ones(batch.num_rows, bool)
-                clean[[row for row, _ in found]] = False
+                clean[list(drops(index.value, ["" if t is None else t for t in batch.column(text_col).to_pylist()]))] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)

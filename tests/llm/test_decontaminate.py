@@ -40,6 +40,10 @@ def brute(items, texts):
         whole = D.normal(text)
         for item, words in items:
             codes = D.normal(words)
+            if len(codes) < 8:  # too short for a q-gram: only as the whole text
+                if len(codes) and text.strip().lower() == words.strip().lower():
+                    found[r, item] = 0
+                continue
             edits = [
                 e for a, b in D.segments(len(codes))
                 if (e := least_edits(codes[a:b], whole)) <= int((b - a) * D.EDIT_SHARE)
@@ -58,7 +62,7 @@ def test_matches_brute_force():
             passage = edited(rng, words, int(share * len(words)))
             texts.append(prose(rng, 20) + " " + passage.upper() + "\n" + prose(rng, 20))
         texts += [words, words[: len(words) // 2], words[10:], words.replace(" ", "\n")]
-    found = D.find(D.Index.of(items), texts)
+    found = D.find(D.Benchmark.of(items), texts)
     assert {k: v[2] for k, v in found.items()} == brute(items, texts)
 
 
@@ -66,7 +70,7 @@ def test_long_text_is_cut_without_loss(monkeypatch):
     rng = random.Random(6)
     item = prose(rng, 20)[:115]
     text = prose(rng, 3000)
-    index = D.Index.of([(1, item)])
+    index = D.Benchmark.of([(1, item)])
     monkeypatch.setattr(D, "BLOCK_CHARS", 700)
     for at in range(600, 820, 7):
         assert D.find(index, [text[:at] + item + text[at:]]) == {(0, 1): (at, at + len(item), 0)}
@@ -84,3 +88,36 @@ def test_leaks_in_passes(spark):
     for size in (D.PASS_CHARS, 150):
         assert sorted((r.doc_id, r.item_id) for r in D.leaks(docs, bench, pass_chars=size).collect()) == want
     assert D.leaks(docs.limit(0), bench).count() == D.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_short_items_are_found():
+    rng = random.Random(8)
+    items = [(n, prose(rng, 40)[:n - 2] + "qz") for n in range(8, 41)] + [(1, "42"), (2, " "), (3, "Yes!"), (4, "")]
+    texts, want = ["", " ", prose(rng, 200)], set()
+    for n, item in items[:33]:
+        for passage, edits in ((item, 0), (item.upper().replace(" ", "\n"), 0), (edited(rng, item, 1), 1)):
+            for text in (passage, prose(rng, 20) + " " + passage + " " + prose(rng, 20)):
+                texts.append(text)
+                if edits <= (n * 8 // 100 if n >= 16 else 0):
+                    want.add((len(texts) - 1, n))
+    texts += ["42", "so 42 it is", " yes!\n", "yes!!"]
+    want |= {(len(texts) - 4, 1), (len(texts) - 2, 3)}
+    index = D.Benchmark.of(items)
+    found = D.find(index, texts)
+    assert want <= set(found)
+    for (row, item), (start, end, edits) in found.items():
+        codes, whole = D.normal(dict(items)[item]), D.normal(texts[row])
+        assert item < 8 or least_edits(codes, whole) == edits <= (item * 8 // 100 if item >= 16 else 0)
+    short = {row for row, item in found if item < 40 and 2 * (found[row, item][1] - found[row, item][0]) >= len(texts[row])}
+    assert D.drops(index, texts) == short | {row for row, item in found if item == 40}
+
+
+def test_common_phrases_drop_nothing(spark):
+    bench = spark.createDataFrame([(1, "thank you very much"), (2, "Paris"), (3, "w" * 20 + " " + "v" * 30)], "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(0, "well, thank you very much for all that you have done here"), (1, "Thank you very much!"), (2, "paris"), (3, "in Paris"),
+         (4, "x " * 90 + "w" * 20 + " " + "v" * 30), (5, None), (6, "")], "doc_id long, text string",
+    )
+    told = {(r.doc_id, r.item_id, r.item_chars) for r in D.leaks(docs, bench).collect()}
+    assert told == {(0, 1, 19), (1, 1, 19), (2, 2, 5), (4, 3, 51)}
+    assert sorted(r.doc_id for r in D.drop_leaky(docs, bench).collect()) == [0, 3, 5, 6]
