@@ -6,6 +6,20 @@ from geocurate.operators import blocks, mining
 from tests.test_batches import brute_force, samples
 
 
+@pytest.fixture
+def written(monkeypatch):
+    labels, stage = [], mining.stage
+    monkeypatch.setattr(mining, "stage", lambda df, label: labels.append(label) or stage(df, label))
+    return labels
+
+
+def test_hard_pairs_are_not_written(spark, written):
+    rows, df = samples(spark)
+    mined = mining.mine_pairs(df, 0.1)
+    got = {(r["anchor_id"], r["other_id"], r["positive"]) for r in mined.collect()}
+    assert got == brute_force(rows, 0.1)[0] and written == ["extremes"]
+
+
 def no_pairs_of_blocks(*args, **options):
     raise AssertionError("every block was copied to every other")
 
