@@ -53,3 +53,20 @@ def test_single_samples_and_samples_drawn_twice(spark):
     assert sorted(got) == [(0, 1), (1, 2), (1, 3)]
     assert got[(0, 1)].near == float("-inf") and got[(0, 1)].low_positive == float("inf")
     assert got[(1, 2)].near_id == 3 and got[(1, 2)].high_negative == pytest.approx(0.6)
+
+
+def test_losses_without_pairs(spark, monkeypatch, written):
+    rows, df = samples(spark)
+    monkeypatch.setattr(mining, "mine_pairs", no_pairs_of_blocks)
+    for held in (None, 17):
+        got = {r["batch_id"]: r["loss"] for r in mining.mined_loss(df, 0.2, held=held).collect()}
+        assert got == pytest.approx(brute_force(rows, 0.2)[2])
+    assert set(written) == {"extremes"}
+
+
+def test_losses_of_batches_without_pairs_are_zero(spark):
+    df = spark.createDataFrame(
+        [(0, 1, 5, [1.0, 0.0]), (0, 2, 5, [0.0, 1.0]), (1, 3, 5, [1.0, 0.0])],
+        "batch_id long, sample_id long, label long, embedding array<double>",
+    )
+    assert sorted(mining.mined_loss(df).collect()) == [(0, 0.0), (1, 0.0)]
