@@ -130,7 +130,9 @@ def coherence_filter(
     if large is None:
         return kept
     blocks = elimination.place_blocks(large, vector, width)
-    drops = elimination.dropped(blocks, tau, min(round_candidates, task_rows(width, max_task_values)))
+    drops = elimination.dropped(
+        blocks, tau, min(round_candidates, task_rows(width, max_task_values)), elimination.round_limit(width)
+    )
     rest = large if keep_vector or manifest is None else manifest.join(blocks.df.select("place_id"), "place_id", "left_semi")
     rest = places.min_images(rest.join(drops, ["place_id", "image_id"], "left_anti"), min_images)
     if place_mean:

@@ -26,6 +26,9 @@ from geocurate.operators import coherence as C
 from geocurate.operators import places
 from geocurate.runtime import new_path, stage
 
+#: Most candidates of a round.
+MAX_CANDIDATES = 16_384
+
 _DROPS = "place_id long, image_id long, step long, reach double"
 
 
@@ -141,7 +144,12 @@ def _unit(row: dict) -> tuple[np.ndarray, np.ndarray]:
     return B.column(rows, "id"), x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), C._EPS)
 
 
-def dropped(blocks: B.BlockTable, up_to: float, candidates: int) -> DataFrame:
+def round_limit(width: int) -> int:
+    """Most candidates of a round: a task replays them with their vectors."""
+    return min(MAX_CANDIDATES, C.task_rows(width))
+
+
+def dropped(blocks: B.BlockTable, up_to: float, candidates: int, most: int = 0) -> DataFrame:
     """(place_id, image_id, step, reach) of all drops while the reach stays below *up_to*.
 
     The state of a round is one small row per block: the place's vector sum and size, and the ids gone from the
@@ -189,6 +197,7 @@ def dropped(blocks: B.BlockTable, up_to: float, candidates: int) -> DataFrame:
         state.drop()
         outcome.drop()
         state = following
+        candidates = max(candidates, min(2 * candidates, most))
     return spark.read.schema(_DROPS).parquet(path)
 
 

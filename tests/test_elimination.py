@@ -93,3 +93,20 @@ def test_no_round_moves_the_vectors_of_large_places(spark):
         moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "rows" in line]
         assert "place_blocks" in plan and not moved
     blocks.drop()
+
+
+@pytest.mark.parametrize("means", [False])
+def test_rounds_grow_with_the_logarithm_of_the_drops(spark, means, monkeypatch):
+    rounds, candidates_of = [], elimination.candidates_of
+    monkeypatch.setattr(elimination, "candidates_of", lambda *a: rounds.append(a[2]) or candidates_of(*a))
+    rows = random_places(5, [220], lean=0.3)
+    df = spark.createDataFrame(rows, KIND)
+    if means:
+        order = elimination.elimination(df, [0.4], place_means=True, max_task_values=19 * 6, round_candidates=3)
+        left = {r.image_id for r in order.filter("step IS NULL").collect()}
+    else:
+        left = {r.image_id for r in coherence.coherence_filter(df, tau=0.4, min_images=1, max_task_values=19 * 6, round_candidates=3).collect()}
+    gone = definition(rows, 0.4)
+    assert left == {r[0] for r in rows} - set(gone)
+    assert len(gone) > 100 and len(rounds) <= 16
+    assert rounds[:3] == [3, 6, 12]
