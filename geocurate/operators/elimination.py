@@ -62,7 +62,7 @@ def elimination(
     small = _streamed(df.join(large, "place_id", "left_anti"), taus, vector, place_means)
     rows = df.join(large, "place_id", "left_semi")
     blocks = place_blocks(rows, vector, width)
-    drops = dropped(blocks, max(taus), min(round_candidates, limit))
+    drops = dropped(blocks, max(taus), min(round_candidates, limit), round_limit(width))
     rest = (rows if manifest is None else manifest.join(large, "place_id", "left_semi")).drop(vector)
     rest = rest.join(drops, ["place_id", "image_id"], "left")
     if place_means:

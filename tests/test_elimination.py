@@ -95,7 +95,7 @@ def test_no_round_moves_the_vectors_of_large_places(spark):
     blocks.drop()
 
 
-@pytest.mark.parametrize("means", [False])
+@pytest.mark.parametrize("means", [False, True])
 def test_rounds_grow_with_the_logarithm_of_the_drops(spark, means, monkeypatch):
     rounds, candidates_of = [], elimination.candidates_of
     monkeypatch.setattr(elimination, "candidates_of", lambda *a: rounds.append(a[2]) or candidates_of(*a))
