@@ -1,14 +1,13 @@
 """Exact nearest neighbours from blocks around pivots.
 
 Database rows are dealt to the pivot of largest cosine, and by their angle to it into shells; the
-blocks of a shell, each with a centre and the angle that covers its rows, are stored once, bucketed
-by block.  Query rows are blocked the same way.  By the triangle inequality of angles two blocks hold
-no pair closer than the angle between their centres less both covering angles.  A first pass
-compares each query block with the blocks nearest to it; what is the k-th best there is a bound, and
-the second pass compares only with blocks that can hold something as good.
-
-The database stays where it is, however many queries there are; query blocks go to the
-blocks that they are compared with.
+blocks of a shell are stored once.  Query rows are blocked the same way.  By the triangle inequality of
+angles two blocks hold no pair closer than the angle between their centres less both covering angles.
+
+A task holds a part of the database's blocks, up to a fixed number of rows, while query blocks stream past.  It
+compares each with the blocks nearest to it; the k-th best there is a bound, and what else it compares
+are the blocks that can hold something as good.  Neither pairs of blocks nor blocks for each pair are
+ever rows of a table: a query goes once to each part, and a part once to each split of the queries.
 """
 
 from __future__ import annotations
@@ -16,7 +15,6 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +22,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geocurate.operators import blocks as B
+from geocurate.operators import tiles
 from geocurate.operators.ids import sample_hash
 from geocurate.runtime import arrow_rows, stage
 
-#: Pivots, and summaries of query blocks, are sent to the tasks up to this size.
+#: Pivots are sent to the tasks up to this size.
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 #: Most shells around a pivot; a shell that is larger than a block has several.
 SHELLS = 64
@@ -35,6 +34,10 @@ SHELLS = 64
 PROBES = 2
 #: Angles closer than this count as equal: the arc cosine of a rounded product is no better.
 MARGIN = 1e-7
+#: Query rows that are compared at once.
+ASKED_ROWS = 256
+#: Rows of the database that a task holds, of any number, and rows of a split of the queries.
+PART_ROWS = 16_384
 
 _BLOCK = ("pivot", "shell", "blk")
 
@@ -73,15 +76,27 @@ def build(database: DataFrame, vector: str = "embedding", id_col: str = "image_i
     return Index(_blocked(database, pivots, vector, id_col, rows, "pivot_blocks"), pivots, rows)
 
 
+def _covering(u: np.ndarray) -> tuple[np.ndarray, float]:
+    """Centre of the unit vectors of a block, and the angle that covers them."""
+    total = u.sum(axis=0)
+    centre = total / np.linalg.norm(total) if np.linalg.norm(total) > 1e-6 else u[0]
+    # a zero vector, or a zero centre, is at no angle: such a block is never left out
+    whole = u.any(axis=1).all() and centre.any()
+    return centre, float(_angle(u @ centre).max()) if whole else math.pi
+
+
 def _blocked(df: DataFrame, pivots: np.ndarray, vector: str, id_col: str, rows: int, label: str) -> Blocks:
     sent = df.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array(batch.column("v").flatten(), np.float64).reshape(batch.num_rows, -1)
-            score = B.unit_rows(x) @ sent.value.T if len(x) else np.zeros((0, 1))
-            pivot = score.argmax(axis=1)
-            far = _angle(score[np.arange(len(x)), pivot])
+            pivot, far = np.zeros(len(x), np.int64), np.zeros(len(x))
+            step = max(1, 8 * tiles.TILE_CELLS // max(1, len(sent.value)))
+            for low in range(0, len(x), step):
+                score = B.unit_rows(x[low:low + step]) @ sent.value.T
+                best = score.argmax(axis=1)
+                pivot[low:low + step], far[low:low + step] = best, _angle(score[np.arange(len(score)), best])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pivot, pa.int32()), pa.array(far)], ["id", "v", "pivot", "far"])
 
     near = df.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(
@@ -103,11 +118,7 @@ def _blocked(df: DataFrame, pivots: np.ndarray, vector: str, id_col: str, rows:
 
     def summarise(row: dict) -> dict:
         u = B.unit_rows(B.matrix(B.fields(row["rows"]), "v"))
-        total = u.sum(axis=0)
-        centre = total / np.linalg.norm(total) if np.linalg.norm(total) > 1e-6 else u[0]
-        # a zero vector, or a zero centre, is at no angle: such a block is never left out
-        whole = u.any(axis=1).all() and centre.any()
-        cover = float(_angle(u @ centre).max()) if whole else math.pi
+        centre, cover = _covering(u)
         return {"number": [row["number"].as_py()], "centre": [centre], "cover": [cover], "n": [len(u)]}
 
     summary = stage(
@@ -125,21 +136,16 @@ def search(index: Index, queries: DataFrame, k: int, vector: str = "embedding",
     """
     spark = queries.sparkSession
     asked = _blocked(queries, index.pivots, vector, id_col, index.rows, "query_blocks")
-    first = stage(_nearest_blocks(asked.summary, index.blocks.summary, k), "first_pairs").df
-    with arrow_rows(spark, B.BATCH_BLOCKS):
-        found = stage(_compared(first, asked, index.blocks, None, k), "first_hits").df
-    ranked = _ranked(found, k)
-    bounds = stage(ranked.filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor")), "floors").df
-    worst = asked.table.df.select("number", F.explode("rows.id").alias("query_id")).join(bounds, "query_id", "left").groupBy("number").agg(
-        F.when(F.count_if(F.col("floor").isNull()) > 0, F.lit(math.pi)).otherwise(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.min("floor"))))).alias("most")
-    )
-    limits = asked.summary.join(worst, "number")
-    rest = stage(_within(limits, index.blocks.summary).join(first, ["asked", "number"], "left_anti"), "second_pairs").df
-    with arrow_rows(spark, B.BATCH_BLOCKS):
-        more = stage(_compared(rest, asked, index.blocks, bounds, k), "second_hits").df
-    out = stage(_ranked(found.unionByName(more), k), "neighbours").df
-    total = asked.summary.count() * index.blocks.summary.count()
-    report = first.unionByName(rest).agg(F.lit(total).cast("long").alias("pairs"), F.count(F.lit(1)).alias("compared"))
+    width = index.pivots.shape[1] if index.pivots.ndim == 2 else 1
+    held = max(1, min(PART_ROWS, tiles.HELD_VALUES // max(1, width)))
+    total = {name: side.summary.agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+             for name, side in (("asked", asked), ("blocks", index.blocks))}
+    parts, splits = (max(1, -(-total[name]["rows"] // held)) for name in ("blocks", "asked"))
+    with arrow_rows(spark, max(B.BATCH_BLOCKS, B.BATCH_BLOCKS * B.rows_per_block(width) // index.rows)):
+        found = stage(_compared(asked, index.blocks, parts, splits, k), "hits").df
+    out = stage(_ranked(found.filter("compared IS NULL").drop("compared"), k), "neighbours").df
+    pairs = total["asked"]["blocks"] * total["blocks"]["blocks"]
+    report = found.agg(F.lit(pairs).cast("long").alias("pairs"), F.coalesce(F.sum("compared"), F.lit(0)).alias("compared"))
     report = stage(report, "pruning").df
     asked.drop()
     return out, report
@@ -150,92 +156,105 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _parts(summary: DataFrame) -> Iterator[tuple]:
-    """The summaries of query blocks, as many at once as a broadcast may hold."""
-    n, width = summary.count(), max(1, B.vector_size(summary, "centre"))
-    parts = max(1, -(-n * 8 * width // MAX_BROADCAST_BYTES))
-    for part in range(parts):
-        own = summary if parts == 1 else summary.filter(F.pmod(F.xxhash64("number"), F.lit(parts)) == part)
-        table = own.toArrow().combine_chunks()
-        if table.num_rows:
-            centre = np.array(table.column("centre").combine_chunks().flatten()).reshape(table.num_rows, -1)
-            yield table, centre
-
-
-def _nearest_blocks(asked: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """(asked, number): for each query block the nearest blocks, `PROBES` or as many as hold k rows."""
-    out = []
-    for table, centre in _parts(asked):
-        sent = asked.sparkSession.sparkContext.broadcast((table.column("number").to_numpy(), centre))
-        most = PROBES + k  # no block is empty
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, centres = sent.value
-            for batch in batches:
-                if batch.num_rows:
-                    c = np.array(batch.column("centre").flatten()).reshape(batch.num_rows, -1)
-                    far = _angle(centres @ c.T)
-                    order = np.argsort(far, axis=1, kind="stable")[:, :most]
-                    at = order.ravel()
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.repeat(names, order.shape[1])), batch.column("number").take(pa.array(at)),
-                            pa.array(np.take_along_axis(far, order, axis=1).ravel()), batch.column("n").take(pa.array(at)),
-                        ],
-                        ["asked", "number", "far", "n"],
-                    )
-
-        out.append(blocks.mapInArrow(run, "asked long, number long, far double, n long"))
-    if not out:
-        return asked.sparkSession.createDataFrame([], "asked long, number long")
-    order = Window.partitionBy("asked").orderBy("far", "number")
-    near = reduce(DataFrame.unionByName, out).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= PROBES + k)
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return near.withColumn("before", before).filter((F.col("r") <= PROBES) | (F.col("before") < k)).select("asked", "number")
-
-
-def _within(limits: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(asked, number): the blocks that can hold something within the limit of a query block."""
-    out = []
-    for table, centre in _parts(limits):
-        reach = table.column("most").to_numpy() + table.column("cover").to_numpy()
-        sent = limits.sparkSession.sparkContext.broadcast((table.column("number").to_numpy(), centre, reach))
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, centres, reach = sent.value
-            for batch in batches:
-                if batch.num_rows:
-                    c = np.array(batch.column("centre").flatten()).reshape(batch.num_rows, -1)
-                    q, b = np.nonzero(_angle(centres @ c.T) - batch.column("cover").to_numpy()[None] <= reach[:, None] + MARGIN)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[q]), batch.column("number").take(pa.array(b))], ["asked", "number"])
-
-        out.append(blocks.mapInArrow(run, "asked long, number long"))
-    return reduce(DataFrame.unionByName, out) if out else limits.sparkSession.createDataFrame([], "asked long, number long")
-
-
-def _compared(pairs: DataFrame, asked: Blocks, blocks: Blocks, bounds: DataFrame | None, k: int) -> DataFrame:
-    """(query_id, database_id, score): of each pair of blocks every query's k best rows, none below the query's bound."""
-    rows = asked.table.df.select(F.col("number").alias("asked"), F.col("rows").alias("queries"))
-    if bounds is None:
-        rows = rows.withColumn("floors", F.transform("queries", lambda q: F.lit(-2.0)))
+class _Side:
+    """Blocks of a record batch, or of several: ids and unit vectors of their rows, block after block."""
+
+    def __init__(self, pieces: list[pa.RecordBatch]):
+        lists = pa.concat_arrays([p.column("rows") for p in pieces])
+        rows = lists.flatten()
+        self.ids, self.u = B.column(rows, "id"), B.unit_rows(B.matrix(rows, "v"))
+        self.ends = np.cumsum(lists.value_lengths().to_numpy())
+        self.starts = np.concatenate([[0], self.ends[:-1]])
+        covers = [_covering(self.u[a:b]) for a, b in zip(self.starts, self.ends)]
+        self.centre, self.cover = np.stack([c for c, _ in covers]), np.array([c for _, c in covers])
+
+    def rows_of(self, chosen: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.repeat(chosen, self.ends - self.starts))
+
+
+def _best(asked: np.ndarray, database: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Query row, database row and score of the k best of each query, with all that tie with the last; and the last's score."""
+    score = asked @ database.T
+    if score.shape[1] > k:
+        floor = -np.partition(-score, k - 1, axis=1)[:, k - 1]
     else:
-        each = rows.select("asked", F.posexplode("queries.id").alias("at", "query_id")).join(bounds, "query_id", "left")
-        lists = each.groupBy("asked").agg(
-            F.array_sort(F.collect_list(F.struct("at", F.coalesce("floor", F.lit(-2.0)).alias("floor")))).alias("f")
-        )
-        rows = rows.join(lists.select("asked", F.col("f.floor").alias("floors")), "asked")
-    schema = pa.schema([("query_id", pa.int64()), ("database_id", pa.int64()), ("score", pa.float64())])
-
-    def run(row: dict) -> dict | None:
-        left, right = B.fields(row["queries"]), B.fields(row["rows"])
-        score = B.unit_rows(B.matrix(left, "v")) @ B.unit_rows(B.matrix(right, "v")).T
-        floor = row["floors"].values.to_numpy()
-        if score.shape[1] > k:
-            floor = np.maximum(floor, -np.partition(-score, k - 1, axis=1)[:, k - 1])
-        q, d = np.nonzero(score >= floor[:, None] - 1e-12)
-        if not len(q):
-            return None
-        return {"query_id": B.column(left, "id")[q], "database_id": B.column(right, "id")[d], "score": score[q, d]}
-
-    met = pairs.join(rows, "asked").join(blocks.table.df.select("number", "rows").hint("merge"), "number")
-    return met.select("queries", "floors", "rows").mapInArrow(B.per_row(run, schema), "query_id long, database_id long, score double")
+        floor = np.full(len(score), -2.0) if score.shape[1] < k else score.min(axis=1)
+    q, d = np.nonzero(score >= floor[:, None] - 1e-12)
+    return q, d, score[q, d], floor
+
+
+def _meet(asked: _Side, low: int, high: int, part: _Side, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Hits of the query blocks *low* to *high* in a part: query ids, database ids, scores, blocks compared."""
+    far = _angle(asked.centre[low:high] @ part.centre.T)
+    most = min(far.shape[1], PROBES + k)  # no block is empty
+    sizes = part.ends - part.starts
+    masks, cells = [], 0
+    for at in range(low, high):
+        line = far[at - low]
+        first = np.argpartition(line, most - 1)[:most]
+        first = first[np.argsort(line[first], kind="stable")]
+        first = first[:max(PROBES, int(np.searchsorted(np.cumsum(sizes[first]), k)) + 1)]
+        probed = np.zeros(len(line), bool)
+        probed[first] = True
+        own = asked.u[asked.starts[at]:asked.ends[at]]
+        limits = [_best(own[a:a + ASKED_ROWS], part.u[part.rows_of(probed)], k)[3].min() for a in range(0, len(own), ASKED_ROWS)]
+        limit = min(limits)
+        reach = math.pi if limit < -1.5 else float(_angle(np.array(limit)))
+        mask = probed | (line - part.cover - asked.cover[at] <= reach + MARGIN)
+        masks.append(mask)
+        cells += len(own) * int(sizes[mask].sum())
+    rows = slice(asked.starts[low], asked.ends[high - 1])
+    if 2 * cells >= (rows.stop - rows.start) * len(part.u):  # little can be left out: one product for all
+        work = [(rows, None, (high - low) * far.shape[1])]
+    else:
+        work = [(slice(asked.starts[at], asked.ends[at]), part.rows_of(mask), int(mask.sum())) for at, mask in zip(range(low, high), masks)]
+    for own, chosen, compared in work:
+        database, names = (part.u, part.ids) if chosen is None else (part.u[chosen], part.ids[chosen])
+        for a in range(own.start, own.stop, ASKED_ROWS):
+            b = min(a + ASKED_ROWS, own.stop)
+            q, d, score, _ = _best(asked.u[a:b], database, k)
+            order = np.lexsort((names[d], -score, q))  # of copies that tie, only those with the smallest ids
+            q, d, score = q[order], d[order], score[order]
+            kept = np.arange(len(q)) - np.searchsorted(q, q) < k
+            yield asked.ids[a:b][q[kept]], names[d[kept]], score[kept], compared if a == own.start else 0
+
+
+def _compared(asked: Blocks, blocks: Blocks, parts: int, splits: int, k: int) -> DataFrame:
+    """(query_id, database_id, score, compared): every query's k best rows of each part; and rows with only the number of pairs compared."""
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda n: F.pmod("number", F.lit(n)).cast("int")
+    left = blocks.table.df.select(own(parts).alias("part"), each(splits).alias("split"), F.lit(0).alias("side"), "number", "rows")
+    right = asked.table.df.select(each(parts).alias("part"), own(splits).alias("split"), F.lit(1).alias("side"), "number", "rows")
+    spark = asked.table.df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    both = left.unionByName(right).repartition(tasks, "part", "split").sortWithinPartitions("part", "split", "side", "number")
+    schema = pa.schema([("query_id", pa.int64()), ("database_id", pa.int64()), ("score", pa.float64()), ("compared", pa.int64())])
+
+    def table(q, d, score, compared) -> Iterator[pa.RecordBatch]:
+        none = pa.nulls(len(q), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(d, pa.int64()), pa.array(score, pa.float64()), none], schema=schema)
+        if compared:
+            yield pa.RecordBatch.from_pylist([{"compared": compared}], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, pieces, part = None, [], None
+        for batch in batches:
+            for mine, side, piece in tiles.runs(batch, ("part", "split", "side")):
+                if mine != key:
+                    key, pieces, part = mine, [], None
+                if side == 0:
+                    pieces.append(piece)
+                    continue
+                if part is None:
+                    if not pieces:
+                        continue  # a part that no block is dealt to
+                    part, pieces = _Side(pieces), []
+                query = _Side([piece])
+                low = 0
+                while low < len(query.ends):  # blocks of about ASKED_ROWS rows at once
+                    high = max(low + 1, int(np.searchsorted(query.ends, query.starts[low] + ASKED_ROWS, side="right")))
+                    for hits in _meet(query, low, high, part, k):
+                        yield from table(*hits)
+                    low = high
+
+    return both.mapInArrow(run, "query_id long, database_id long, score double, compared long")

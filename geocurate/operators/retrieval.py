@@ -35,7 +35,7 @@ def knn(
     Queries that a broadcast of *max_broadcast_bytes* holds are sent to the database: a task
     streams its part past them, holds the k best of each, and emits them once at its end; a
     window limited to k merges the parts.  More queries are searched by blocks around
-    pivots (:mod:`pivots`, at most *rows* in a block), which reads the database once whatever their number.
+    pivots (:mod:`pivots`, at most *rows* in a block), which moves the database once for each 16,384 queries.
     """
     if queries.count() * 8 * max(1, B.vector_size(queries, vector)) > max_broadcast_bytes:
         return pivots.search(pivots.build(database, vector, rows=rows), queries, k, vector)[0]

@@ -63,3 +63,40 @@ def test_large_query_sets_read_the_database_once(spark, monkeypatch):
     b = retrieval.knn(frame(spark, q), frame(spark, d), 5, max_broadcast_bytes=0, rows=16)
     key = lambda df: sorted((r.query_id, r["rank"], r.database_id) for r in df.collect())
     assert key(b) == sorted((r.query_id, r["rank"], r.database_id) for r in a.collect())
+
+
+def ranks(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.query_id - 5000, []).append((r["rank"], r.database_id))
+    return {n: [i for _, i in sorted(v)] for n, v in got.items()}
+
+
+@pytest.mark.parametrize("spread", [0.05, 3.0])
+def test_more_rows_than_a_task_holds(spark, monkeypatch, spread):
+    monkeypatch.setattr(pivots, "PART_ROWS", 40)
+    monkeypatch.setattr(pivots, "ASKED_ROWS", 11)
+    d, q = clustered(7, 300, spread), clustered(8, 90, spread)
+    found, _ = pivots.search(pivots.build(frame(spark, d), rows=8), frame(spark, q, 5000), 7)
+    assert ranks(found) == dict(enumerate(exact(q, d, 7)))
+
+
+def test_written_rows_do_not_grow_with_pairs_of_blocks(spark, monkeypatch):
+    """Neither pairs of blocks nor copies that tie with the last neighbour are written."""
+    counts, stage = [], pivots.stage
+
+    def counted(df, label):
+        done = stage(df, label)
+        counts.append(done.df.count())
+        return done
+
+    monkeypatch.setattr(pivots, "stage", counted)
+    d, q = clustered(7, 500, 3.0), clustered(8, 60, 3.0)
+    found, _ = pivots.search(pivots.build(frame(spark, d), rows=2), frame(spark, q, 5000), 7)
+    assert ranks(found) == dict(enumerate(exact(q, d, 7)))
+    assert sum(counts) < 5 * (len(d) + len(q) * 7)
+    counts.clear()
+    copies = np.tile(d[:1], (400, 1))
+    found, _ = pivots.search(pivots.build(frame(spark, copies), rows=64), frame(spark, copies[:40], 5000), 3)
+    assert set(map(tuple, ranks(found).values())) == {(0, 1, 2)}
+    assert sum(counts) < 3 * (400 + 40 * 3)
