@@ -155,3 +155,26 @@ def test_equal_paths_of_two_sources(spark, folder):
     with pytest.raises(DataCheckError, match="1 image paths belong to several sources"):
         tables.load_embeddings(spark, f"{folder}/store", ids=named.select("image_path"))
     assert tables.load_embeddings(spark, f"{folder}/store", "a", named.select("image_path")).count() == 2
+
+
+def test_an_updated_manifest_reads_its_listing_once(spark, folder):
+    """The listing is joined with the stored rows once, and unchanged files are not written again."""
+    before = spark.range(40).select(
+        F.lit(0).alias("root"), F.format_string("a/%03d.jpg", "id").alias("path"), F.col("id").alias("length"), F.timestamp_seconds("id").alias("modified")
+    )
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(df):
+        def count(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+        return df.mapInArrow(count, df.schema)
+
+    parse = lambda files: files.withColumn("name", F.upper("path"))
+    sinks.updated_manifest(before, folder, parse)
+    now = before.filter("length >= 5").withColumn("length", F.when(F.col("length") < 9, -1).otherwise(F.col("length")))
+    rows, counts = sinks.updated_manifest(watched(now), folder, parse)
+    assert counts == {"kept": 31, "parsed": 4, "removed": 5}
+    assert sorted((r.path, r.length, r.name) for r in rows.collect()) == sorted((r.path, r.length, r.path.upper()) for r in now.collect())
+    assert seen.value == 35
