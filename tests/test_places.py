@@ -105,3 +105,18 @@ def test_combine_renumbers(spark):
     assert [(r["image_id"], r["source"], r["place_id"]) for r in got] == [
         (0, "b", None), (1, "b", None), (2, "a", 1), (3, "a", 1),
     ]
+
+
+def test_removing_small_places_counts_them_once_and_sends_back_lost_matches_only(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, i // 4 if i < 36 else i, [i + 1, None, i - 1, i + 1, 99] if i % 5 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "image_id long, place_id long, matches array<long>")
+    got = {r.image_id: r.matches for r in places.remove_small_places(df.mapInArrow(count, df.schema), 2).collect()}
+    assert got == {i: None if m is None else [x for x in m if x is not None and 0 <= x < 36] for i, _, m in rows if i < 36}
+    assert seen.value <= 4 * len(rows)  # the places, the images that stay, the lost matches, the result
