@@ -105,3 +105,22 @@ def test_ground_truth_ignores_unknown_ids(spark):
         "image_id long, is_query boolean, matches array<long>",
     )
     assert {r["image_id"]: r["gold"] for r in matches.ground_truth(df).collect()} == {0: [5, 6], 1: [], 2: []}
+
+
+def test_radius_pairs_read_the_images_once_and_copy_queries_to_four_cells(spark, monkeypatch):
+    seen, copies = spark.sparkContext.accumulator(0), []
+    rows, df = scene(spark, n=400, seed=9)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    stage = matches.stage
+    monkeypatch.setattr(matches, "stage", lambda d, label: copies.append(label) or stage(d, label))
+    for radius in (0.5, 3.0, 11.0):
+        before = seen.value
+        got = [tuple(r) for r in matches.radius_pairs(df.mapInArrow(count, df.schema), radius).collect()]
+        assert len(got) == len(set(got)) and set(got) == near(rows, radius)
+        assert seen.value - before == len(rows)
+    assert copies == ["spots", "cells"] * 3
