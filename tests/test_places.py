@@ -120,3 +120,14 @@ def test_removing_small_places_counts_them_once_and_sends_back_lost_matches_only
     got = {r.image_id: r.matches for r in places.remove_small_places(df.mapInArrow(count, df.schema), 2).collect()}
     assert got == {i: None if m is None else [x for x in m if x is not None and 0 <= x < 36] for i, _, m in rows if i < 36}
     assert seen.value <= 4 * len(rows)  # the places, the images that stay, the lost matches, the result
+
+
+def test_images_whose_matches_all_fell_with_their_places_are_removed(spark):
+    df = spark.createDataFrame(
+        [("a1", "a", ["c1"]), ("a2", "a", ["c1", "a1"]), ("b1", "b", ["a1"]), ("b2", "b", []), ("c1", "c", ["a1"])],
+        "image_id string, place_id string, matches array<string>",
+    )
+    left = places.remove_unmatched(places.remove_small_places(df, 2))
+    assert {r.image_id: r.matches for r in left.collect()} == {"a2": ["a1"], "b1": ["a1"]}
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "posexplode" not in plan  # matches that stay are not sent back
