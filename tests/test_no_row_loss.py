@@ -178,3 +178,19 @@ def test_an_updated_manifest_reads_its_listing_once(spark, folder):
     assert counts == {"kept": 31, "parsed": 4, "removed": 5}
     assert sorted((r.path, r.length, r.name) for r in rows.collect()) == sorted((r.path, r.length, r.path.upper()) for r in now.collect())
     assert seen.value == 35
+
+
+def test_only_what_a_number_needs_is_sorted(spark, monkeypatch):
+    """Paths and positions of city lines, and the walk keys of files, are not written with the order."""
+    from geocurate.sources import cities
+
+    written, stage = [], ids.stage
+    monkeypatch.setattr(ids, "stage", lambda df, label: written.append(df.columns) or stage(df, label))
+    rows = spark.createDataFrame(
+        [("Rome", 7, 2019, 5, 90, 41.9, 12.5, "p1", "Rome", 0, 1), ("Oslo", 3, 2018, 11, 5, 59.9, 10.7, "p0", "Oslo", 0, 0)],
+        "city_id string, place_id long, year int, month int, northdeg int, lat double, lon double, panoid string, file_city string, block long, line long",
+    )
+    got = cities.city_manifest(rows, cities.city_ordinals(rows, None)).orderBy("image_id").collect()
+    assert [(r.image_id, r.place_id, r.heading) for r in got] == [(0, 3, 5.0), (1, 100007, 90.0)]
+    assert [r.image_path.split("/")[-1].split("_")[0] for r in got] == ["Oslo", "Rome"]
+    assert not {"image_path", "utm_east"} & set(written[0])
