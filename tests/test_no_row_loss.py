@@ -194,3 +194,7 @@ def test_only_what_a_number_needs_is_sorted(spark, monkeypatch):
     assert [(r.image_id, r.place_id, r.heading) for r in got] == [(0, 3, 5.0), (1, 100007, 90.0)]
     assert [r.image_path.split("/")[-1].split("_")[0] for r in got] == ["Oslo", "Rome"]
     assert not {"image_path", "utm_east"} & set(written[0])
+    files = spark.createDataFrame([(0, "/r/b/1.jpg"), (0, "/r/a.jpg"), (0, "/r/a/2.jpg")], "root int, path string")
+    walked = images.in_walk_order(files)
+    assert walked.columns == ["root", "path", "image_id"] and "_walk" not in written[-1]
+    assert [r.path for r in walked.orderBy("image_id").collect()] == [r.path for r in images.in_walk_order(walked.repartition(3)).orderBy("image_id").collect()]
