@@ -8,7 +8,7 @@ Two sets of sizes a and b with overlap o link when 9 * o >= 4 * (a + b).
     Each such shingle is the key of a block of documents.
 3.  Every document of a block is compared with the block's smallest id.  This joins most
     of what belongs together, at a cost linear in the size of a group.
-4.  Blocks that still hold several components are searched by an R-tree: shingles are hashed
+4.  Blocks that still hold several components, one of each set of documents, are searched by an R-tree: shingles are hashed
     into groups, their counts by group are a document's point, and the sum of the coordinates'
     minima bounds the overlap, with a single point as with the corner of a tree's box.
     Pairs that survive and aren't in one component yet are verified.
@@ -44,6 +44,11 @@ ID_BUCKETS = 1 << 20
 #: Points of one R-tree; larger blocks are cut, and every pair of their parts is searched.
 TREE_POINTS = 2048
 LEAF = 32
+#: Largest block that is sent where all blocks with its smallest id go.  An id is in as many blocks as a
+#: fifth of its shingles, so larger ones would make one task's share too big.
+ROUTED = 256
+#: Pairs that a task of the search holds before it counts how often each met.
+HELD_PAIRS = 1 << 20
 #: Pairs that meet one copy of a text in a task of the verification.
 PAIRS_A_COPY = 500
 #: Bytes of text that are hashed together.
@@ -95,54 +100,55 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _profiles(rows: DataFrame) -> DataFrame:
-    """(id, n, print BINARY, point BINARY) of every row."""
+    """(id, n, print BINARY, point BINARY, first ARRAY) of every row; ``first`` is the first fifth of the set, by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, prints, points = [], [], []
+            n, prints, points, first = [], [], [], []
             for text in batch.column(1):
                 h = shingle_hashes(text.as_py())
                 n.append(len(h))
+                first.append(h[:prefix_length(len(h)) if len(h) else 0].view(np.int64))
                 prints.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 point = np.bincount((h % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
                 points.append(point.astype("<u2" if point.max() < 1 << 16 else "<u4").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(points, pa.binary())],
-                ["id", "n", "print", "point"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(points, pa.binary()), _lists(first)],
+                ["id", "n", "print", "point", "first"],
             )
 
-    return rows.mapInArrow(run, "id long, n long, print binary, point binary")
+    return rows.mapInArrow(run, "id long, n long, print binary, point binary, first array<long>")
 
 
-def _keys(rows: DataFrame, frequent: np.ndarray | None = None) -> DataFrame:
-    """(id, n, rare ARRAY, often ARRAY): the first fifth of each set, frequent shingles last in the order."""
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.zeros(len(parts) + 1, np.int32)
+    np.cumsum([len(x) for x in parts], out=offsets[1:])
+    return pa.ListArray.from_arrays(offsets, np.concatenate(parts) if parts else np.zeros(0, np.int64))
+
+
+def _keys(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """(id, rare ARRAY, often ARRAY): the first fifth of each set, frequent shingles last in the order."""
     shared = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            n, rare, often = [], [], []
+            rare, often = [], []
             for text in batch.column(1):
                 h = shingle_hashes(text.as_py())
-                n.append(len(h))
                 p = prefix_length(len(h)) if len(h) else 0
-                late = _is_set(bits, h) if bits is not None else np.zeros(len(h), bool)
+                late = _is_set(bits, h)
                 early = h[~late][:p]
                 rare.append(early.view(np.int64))
                 often.append(h[late][:p - len(early)].view(np.int64))
-            arrays = [batch.column(0), pa.array(n, pa.int64())]
-            for lists in (rare, often):
-                offsets = np.zeros(len(lists) + 1, np.int32)
-                np.cumsum([len(x) for x in lists], out=offsets[1:])
-                arrays.append(pa.ListArray.from_arrays(offsets, np.concatenate(lists) if lists else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "n", "rare", "often"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(rare), _lists(often)], ["id", "rare", "often"])
 
-    return rows.mapInArrow(run, "id long, n long, rare array<long>, often array<long>")
+    return rows.mapInArrow(run, "id long, rare array<long>, often array<long>")
 
 
-def _frequent(rows: DataFrame, least: int) -> np.ndarray:
+def _frequent(profiles: DataFrame, least: int) -> np.ndarray:
     """Bit filter of the shingles that *least* documents or more have among their first ones."""
-    counts = _keys(rows).select(F.explode("rare").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    counts = profiles.select(F.explode("first").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("c"))
     bit = F.pmod(F.shiftrightunsigned("key", 40), F.lit(FILTER_BITS))
     parts = (
         counts.filter(F.col("c") >= least)
@@ -252,14 +258,18 @@ class Tree:
 def _search_blocks(blocks: DataFrame) -> DataFrame:
     """Pairs (a, b) of the blocks' documents that are in different components and may link.
 
-    A pair meets in as many blocks as the first parts of its sets have shingles in common.
-    Beyond the part that ends first, the overlap is at most what that set has left, so
+    A pair meets in blocks that stand for as many shingles as the first parts of its sets have in common:
+    ``weight`` is the number of a block's shingles.  Small blocks with the same smallest id have one
+    ``route`` and meet in one task, which makes one row of a pair for all of them.  Beyond the part that ends first, the overlap is at most what that set has left, so
     pairs that meet too seldom for a link are dropped.
 
-    Rows are (key, one, two, part, id, label, n, point): a block's cell (one, two) holds the
+    Rows are (route, key, one, two, part, weight, id, label, n, point): a block's cell (one, two) holds the
     parts ``one`` and ``two`` of a block; pairs go from the first to the second.
     """
-    cells = blocks.repartition("key", "one", "two").sortWithinPartitions("key", "one", "two")
+    spark = blocks.sparkSession
+    # a task's work grows with its pairs, so small shuffles are dealt to the whole cluster as well
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    cells = blocks.repartition(tasks, "route").sortWithinPartitions("route", "key", "one", "two")
 
     def cell(rows: pa.Table) -> np.ndarray:
         column = lambda c: rows.column(c).to_numpy()
@@ -270,7 +280,7 @@ def _search_blocks(blocks: DataFrame) -> DataFrame:
         else:
             left, right = np.flatnonzero(part == one[0]), np.flatnonzero(part == two[0])
             if not len(left) or not len(right):
-                return np.zeros((3, 0), np.int64)
+                return np.zeros((4, 0), np.int64)
             q, p = Tree(points[right], n[right]).search(points[left], n[left])
             q, p = left[q], right[p]
         other = labels[q] != labels[p]
@@ -279,42 +289,72 @@ def _search_blocks(blocks: DataFrame) -> DataFrame:
             once = ids[q] < ids[p]
             q, p = q[once], p[once]
         least = -((-4 * (n[q] + n[p])) // 9) - np.maximum(_rest(n[q]), _rest(n[p]))
-        return np.stack([np.minimum(ids[q], ids[p]), np.maximum(ids[q], ids[p]), least])
+        return np.stack([np.minimum(ids[q], ids[p]), np.maximum(ids[q], ids[p]), least, np.full(len(q), rows.column("weight")[0].as_py())])
+
+    def once_each(parts: list[np.ndarray]) -> np.ndarray:
+        found = np.concatenate([np.zeros((4, 0), np.int64), *parts], axis=1)
+        found = found[:, np.lexsort(found[:2])]
+        new = np.flatnonzero(np.concatenate([[True], (found[:2, 1:] != found[:2, :-1]).any(axis=0)])) if found.size else np.zeros(0, int)
+        return np.concatenate([found[:3, new], np.add.reduceat(found[3:], new, axis=1)]) if len(new) else found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
-        def done(table: pa.Table) -> pa.RecordBatch:
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
             keys = np.stack([table.column(c).to_numpy() for c in ("key", "one", "two")])
             cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1), table.num_rows]
-            pairs = [cell(table.slice(x, y - x)) for x, y in zip(cuts, cuts[1:]) if y - x > 1]
-            found = np.concatenate([np.zeros((3, 0), np.int64), *pairs], axis=1)
-            found = found[:, np.lexsort(found)]
-            new = np.flatnonzero(np.concatenate([[True], (found[:, 1:] != found[:, :-1]).any(axis=0)])) if found.size else np.zeros(0, int)
-            counts = np.diff(np.append(new, found.shape[1]))
-            return pa.RecordBatch.from_arrays([*(pa.array(row) for row in found[:, new]), pa.array(counts)], ["a", "b", "least", "shared"])
+            parts, size = [], 0
+            for x, y in zip(cuts, cuts[1:]):
+                if y - x > 1:
+                    parts.append(cell(table.slice(x, y - x)))
+                    size += parts[-1].shape[1]
+                if size > HELD_PAIRS:
+                    parts = [once_each(parts)]
+                    size = parts[0].shape[1]
+                    if 2 * size > HELD_PAIRS:
+                        yield batch_of(parts[0])
+                        parts, size = [], 0
+            yield batch_of(once_each(parts))
+
+        def batch_of(found: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(row) for row in found], ["a", "b", "least", "shared"])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
             if rest is not None:
                 table = pa.concat_tables([rest, table]).combine_chunks()
-            keys = np.stack([table.column(c).to_numpy() for c in ("key", "one", "two")])
-            same = (keys == keys[:, -1:]).all(axis=0)
-            last = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            route = table.column("route").to_numpy()
+            last = int(np.searchsorted(route, route[-1]))
             rest = table.slice(last)
             if last:
-                yield done(table.slice(0, last))
+                yield from done(table.slice(0, last))
         if rest is not None and rest.num_rows:
-            yield done(rest)
+            yield from done(rest)
 
     pairs = cells.mapInArrow(run, "a long, b long, least long, shared long")
     met = pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least"))
     return met.filter("shared >= least").select("a", "b")
 
 
-def _blocks(rows: DataFrame, representatives: DataFrame) -> DataFrame:
+def _one_of_each_set(rows: DataFrame) -> DataFrame:
+    """(key, size, first, weight): of the blocks with the same documents the one with the smallest key, and how many they are.
+
+    Near copies share whole runs of shingles, so most blocks hold what another one holds.  Documents are
+    told apart by their count, their ends and 128 bits of sums of hashes; *rows* are a stored table (key, id, size).
+    """
+    halves = [
+        F.sum(half).alias(f"h{i}{seed}")
+        for seed in (0, 1) for h in [F.xxhash64("id", F.lit(seed))]
+        for i, half in enumerate((h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32)))
+    ]
+    sets = rows.groupBy("key").agg(F.max("size").alias("size"), F.min("id").alias("first"), F.max("id").alias("last"), *halves)
+    names = [c for c in sets.columns if c != "key"]
+    return sets.groupBy(*names).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight")).select("key", "size", "first", "weight")
+
+
+def _blocks(rows: DataFrame, profiles: DataFrame, representatives: DataFrame) -> DataFrame:
     """Stored rows (key, id, size, first): the blocks of two documents or more."""
-    keys = _keys(rows, _frequent(rows, FREQUENT)).drop("n")
+    keys = _keys(rows, _frequent(profiles, FREQUENT))
     keyed = stage(keys.join(representatives.select("id"), "id", "left_semi"), "keyed")
     release(rows.sparkSession)
     whole = "OVER (PARTITION BY key)"  # a rare key has few documents
@@ -354,7 +394,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "classes",
     ).df
     representatives = classes.filter("id IS NOT NULL").select("id").distinct()
-    blocks = _blocks(rows, representatives)
+    blocks = _blocks(rows, profiles, representatives)
 
     # step 3: the head that a document shares most with, if that is enough to make a link likely
     sizes = profiles.groupBy("id").agg(F.max("n").alias("n"))
@@ -379,11 +419,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         "open_keys",
     ).df
     points = profiles.select("id", "n", "point").join(representatives, "id", "left_semi").dropDuplicates(["id"])
-    open_rows = join_lookup(labelled.drop("size"), open_keys, "key", "size").join(points, "id")
+    opened = stage(join_lookup(labelled.drop("size"), open_keys, "key", "size"), "opened").df
+    sets = stage(_one_of_each_set(opened), "sets").df
+    open_rows = join_lookup(opened.drop("size"), sets, "key", "size").join(points, "id")
     parts = F.ceil(F.col("size") / TREE_POINTS).cast("int")
     numbered = open_rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    one, two = F.least("part", "other"), F.greatest("part", "other")
+    route = F.when(F.col("size") <= ROUTED, F.xxhash64("first")).otherwise(F.xxhash64("key", one, two))
     cells = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "key", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "part", "id", "label", "n", "point"
+        route.alias("route"), "key", one.alias("one"), two.alias("two"), "part", "weight", "id", "label", "n", "point"
     )
     candidates = stage(_search_blocks(cells), "candidates").df
     release(rows.sparkSession)

@@ -91,3 +91,29 @@ def test_empty_and_odd_ids(spark):
 def test_hash_sets_have_the_size_of_the_sets():
     for text in corpus(4):
         assert len(J.shingle_hashes(text)) == len(J.shingles_of(text))
+
+
+def test_blocks_of_the_same_documents_are_searched_once(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    other = list(words)
+    for at in rng.sample(range(400), 10):  # about 50 of 396 shingles differ, which is too many for a link
+        other[at] = "x"
+    search, rows = J._search_blocks, []
+    monkeypatch.setattr(J, "_search_blocks", lambda cells: rows.append(cells.count()) or search(cells))
+    monkeypatch.setattr(J, "_verify", lambda pairs, _: pairs.filter("false"))
+    texts = [" ".join(words), " ".join(other)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert J.join(docs).count() == 2
+    assert rows == [2]  # one block of two documents, however many shingles they share
+
+
+def test_a_pair_leaves_the_search_with_all_its_meetings(spark):
+    point = np.full(J.GROUPS, 1, "<u2").tobytes()
+    names = "route long, key long, one int, two int, part int, weight long, id long, label long, n long, point binary"
+    # n = 128: 25 shingles lie in the first parts at least, of which 2 must be shared
+    rows = [(7, key, 0, 0, 0, 1, i, i, 128, point) for key in (1, 2) for i in (1, 2)]
+    rows += [(8, 3, 0, 0, 0, 1, i, i, 128, point) for i in (3, 4)]
+    found = J._search_blocks(spark.createDataFrame(rows, names)).collect()
+    least = -((-4 * 256) // 9) - int(J._rest(np.array([128]))[0])
+    assert sorted(map(tuple, found)) == sorted(p for p, met in (((1, 2), 2), ((3, 4), 1)) if met >= least)
