@@ -16,8 +16,10 @@ from pyspark.sql import types as T
 
 from geocurate.functions import vectors as V
 from geocurate.operators import places
-from geocurate.runtime import arrow_rows, stage
+from geocurate.runtime import arrow_rows, dealt, stage
 
+#: Bytes of a row beside its vector, about.
+_ROW_BYTES = 256
 _EPS = 1e-12  # floor of the norm when similarities are taken
 
 #: A place is filtered inside one task while it holds at most this many vector
@@ -45,16 +47,19 @@ def coherence(
 def _by_size(
     df: DataFrame, vector: str, max_task_values: int, manifest: DataFrame | None = None, width: int | None = None
 ) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of places that fit a task, and rows of larger places (None if there are none).
+    """Rows of places that fit a task, dealt by place, and rows of larger places (None if there are none).
 
     Nothing is written but the large places' numbers: a join below *df* is read by each part for its own rows.
     """
-    limit = task_rows(width or _width(df, vector), max_task_values)
+    width = width or _width(df, vector)
+    is_large = F.col("num_images") > task_rows(width, max_task_values)
     sizes = places.place_sizes(df if manifest is None else manifest)
-    large = stage(sizes.filter(F.col("num_images") > limit).select("place_id"), "large_places").df
-    if large.isEmpty():
-        return df, None
-    return df.join(large, "place_id", "left_anti"), df.join(large, "place_id", "left_semi")
+    rows, n_large = sizes.agg(F.coalesce(F.sum("num_images"), F.lit(0)), F.count_if(is_large)).first()
+    by_place = lambda part: dealt(part.repartition("place_id"), rows, 8 * width + _ROW_BYTES, "place_id")
+    if not n_large:
+        return by_place(df), None
+    large = stage(sizes.filter(is_large).select("place_id"), "large_places").df
+    return by_place(df.join(large, "place_id", "left_anti")), df.join(large, "place_id", "left_semi")
 
 
 def task_rows(dim: int, max_task_values: int = MAX_TASK_VALUES) -> int:
@@ -76,9 +81,10 @@ def _joined_scores(df: DataFrame, vector: str) -> DataFrame:
 
 
 def _stream_scores(df: DataFrame, vector: str, keep_vector: bool) -> DataFrame:
+    """Scores of rows that are dealt by place."""
     out = [f for f in df.schema.fields if keep_vector or f.name != vector]
     names = [f.name for f in out]
-    ordered = df.repartition("place_id").sortWithinPartitions("place_id", "image_id")
+    ordered = df.sortWithinPartitions("place_id", "image_id")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_places(batches):
@@ -154,7 +160,7 @@ def _stream(
 ) -> DataFrame:
     out = [f for f in df.schema.fields if keep_vector or f.name != vector]
     names = [f.name for f in out]
-    ordered = df.repartition("place_id").sortWithinPartitions("place_id", "image_id")
+    ordered = df.sortWithinPartitions("place_id", "image_id")
 
     def survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_places(batches):

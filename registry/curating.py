@@ -55,7 +55,8 @@ def image_coherence(spark, sf):
 )
 def image_coherence_large(spark, sf):
     placed = places.assign_places(W.shots_vectors(spark, sf), W.CELL_M, W.HEADING_DEG)
-    return coherence.coherence(placed).select("image_id", (F.round("coherence", 5) + 0.0).alias("coherence"))
+    narrow = placed.select("image_id", "place_id", "embedding")  # a Python step gets every column it is given
+    return coherence.coherence(narrow).select("image_id", (F.round("coherence", 5) + 0.0).alias("coherence"))
 
 
 def drops(start: str, up_to: float, out: str) -> str:
