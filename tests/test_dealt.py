@@ -32,7 +32,7 @@ def unlinked(df):
     return places.remove_small_places(df.filter("image_id < 590").select("image_id", "place_id", "matches"), 15)
 
 
-@pytest.mark.parametrize("step", [attached, scored, filtered])
+@pytest.mark.parametrize("step", [attached, scored, filtered, unlinked])
 def test_more_rows_are_more_tasks_with_the_same_result(spark, monkeypatch, step):
     before = sorted(map(str, step(images(spark)).collect()))
     monkeypatch.setattr(runtime, "TASK_BYTES", 1 << 12, raising=False)
