@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geocurate.llm.common import components, join_lookup, release
@@ -44,9 +44,9 @@ ID_BUCKETS = 1 << 20
 #: Points of one R-tree; larger blocks are cut, and every pair of their parts is searched.
 TREE_POINTS = 2048
 LEAF = 32
-#: Largest block that is sent where all blocks with its smallest id go.  An id is in as many blocks as a
-#: fifth of its shingles, so larger ones would make one task's share too big.
-ROUTED = 256
+#: Rows that the blocks with one smallest id have together before they are cut: a task's share of all rows or half of what
+#: all others must meet, so that copies stay in proportion; but no less than the first number and no more than the second.
+ROUTE_ROWS, MOST_ROUTE_ROWS = 2048, 1 << 16
 #: Pairs that a task of the search holds before it counts how often each met.
 HELD_PAIRS = 1 << 20
 #: Pairs that meet one copy of a text in a task of the verification.
@@ -255,21 +255,23 @@ class Tree:
         return np.concatenate(found_q), np.concatenate(found_p)
 
 
+def _search_tasks(spark: SparkSession) -> int:
+    """A task's work grows with its pairs, so small shuffles are dealt to the whole cluster as well."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def _search_blocks(blocks: DataFrame) -> DataFrame:
     """Pairs (a, b) of the blocks' documents that are in different components and may link.
 
     A pair meets in blocks that stand for as many shingles as the first parts of its sets have in common:
-    ``weight`` is the number of a block's shingles.  Small blocks with the same smallest id have one
+    ``weight`` is the number of a block's shingles.  The same cells of all blocks with one smallest id have one
     ``route`` and meet in one task, which makes one row of a pair for all of them.  Beyond the part that ends first, the overlap is at most what that set has left, so
     pairs that meet too seldom for a link are dropped.
 
     Rows are (route, key, one, two, part, weight, id, label, n, point): a block's cell (one, two) holds the
     parts ``one`` and ``two`` of a block; pairs go from the first to the second.
     """
-    spark = blocks.sparkSession
-    # a task's work grows with its pairs, so small shuffles are dealt to the whole cluster as well
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    cells = blocks.repartition(tasks, "route").sortWithinPartitions("route", "key", "one", "two")
+    cells = blocks.repartition(_search_tasks(blocks.sparkSession), "route").sortWithinPartitions("route", "key", "one", "two")
 
     def cell(rows: pa.Table) -> np.ndarray:
         column = lambda c: rows.column(c).to_numpy()
@@ -352,6 +354,41 @@ def _one_of_each_set(rows: DataFrame) -> DataFrame:
     return sets.groupBy(*names).agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight")).select("key", "size", "first", "weight")
 
 
+def _cells(met: DataFrame) -> DataFrame:
+    """(route, key, one, two, part, weight, id, label) of the stored rows (key, first, weight, id, label) of blocks.
+
+    The blocks with the same smallest id, ``first``, are cut alike, so a pair of documents is in the same cell of
+    each, and all those are one route.  Documents in the component of ``first`` need only meet the others:
+    where blocks have to be cut, these others have the parts from 0 on and meet all, and the parts behind are of the component.
+    """
+    by_label = met.groupBy("first", "key", "label").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    by_block = by_label.groupBy("first", "key").agg(F.sum("n").alias("n"), F.min(F.struct("id", "label", "n")).alias("own"))
+    inner, outer = F.col("own.n"), F.col("n") - F.col("own.n")
+    groups = stage(
+        by_block.groupBy("first").agg(
+            F.min("own.label").alias("own"), F.sum("n").alias("n"), F.max("n").alias("block"),
+            F.sum(inner).alias("inner"), F.max(inner).alias("inner_block"), F.sum(outer).alias("outer"), F.max(outer).alias("outer_block"),
+        ),
+        "groups",
+    ).df
+    share = (groups.agg(F.sum("n")).first()[0] or 0) // _search_tasks(met.sparkSession)
+    most = F.least(F.lit(MOST_ROUTE_ROWS), F.greatest(F.lit(ROUTE_ROWS), F.lit(share), F.ceil(F.col("outer") / 2)))
+    parts = lambda c: F.ceil(F.greatest(F.col(c) / most, F.col(f"{c}_block") / TREE_POINTS)).cast("int").alias(c)
+    # at most one group for every ROUTE_ROWS rows or TREE_POINTS
+    cut = groups.filter((F.col("n") > most) | (F.col("block") > TREE_POINTS)).select("first", "own", parts("inner"), parts("outer"))
+    numbered = met.join(F.broadcast(cut), "first", "left").withColumns({
+        "is_own": F.coalesce(F.col("label") == F.col("own"), F.lit(False)),
+        "inner": F.coalesce("inner", F.lit(0)), "outer": F.coalesce("outer", F.lit(1)),
+    })
+    number = lambda c: F.pmod(F.xxhash64("id"), F.greatest(F.col(c), F.lit(1))).cast("int")
+    part = F.when(F.col("is_own"), F.col("outer") + number("inner")).otherwise(number("outer"))
+    last = F.when(F.col("is_own"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    one, two = F.least("part", "other"), F.greatest("part", "other")
+    return numbered.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
+        F.xxhash64("first", one, two).alias("route"), "key", one.alias("one"), two.alias("two"), "part", "weight", "id", "label"
+    )
+
+
 def _blocks(rows: DataFrame, profiles: DataFrame, representatives: DataFrame) -> DataFrame:
     """Stored rows (key, id, size, first): the blocks of two documents or more."""
     keys = _keys(rows, _frequent(profiles, FREQUENT))
@@ -421,14 +458,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     points = profiles.select("id", "n", "point").join(representatives, "id", "left_semi").dropDuplicates(["id"])
     opened = stage(join_lookup(labelled.drop("size"), open_keys, "key", "size"), "opened").df
     sets = stage(_one_of_each_set(opened), "sets").df
-    open_rows = join_lookup(opened.drop("size"), sets, "key", "size").join(points, "id")
-    parts = F.ceil(F.col("size") / TREE_POINTS).cast("int")
-    numbered = open_rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    one, two = F.least("part", "other"), F.greatest("part", "other")
-    route = F.when(F.col("size") <= ROUTED, F.xxhash64("first")).otherwise(F.xxhash64("key", one, two))
-    cells = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        route.alias("route"), "key", one.alias("one"), two.alias("two"), "part", "weight", "id", "label", "n", "point"
-    )
+    met = stage(join_lookup(opened.drop("size"), sets, "key", "size").select("key", "first", "weight", "id", "label"), "met").df
+    cells = _cells(met).join(points, "id").select("route", "key", "one", "two", "part", "weight", "id", "label", "n", "point")
     candidates = stage(_search_blocks(cells), "candidates").df
     release(rows.sparkSession)
     more = stage(_verify(candidates, rows), "tree_links").df

@@ -117,3 +117,39 @@ def test_a_pair_leaves_the_search_with_all_its_meetings(spark):
     found = J._search_blocks(spark.createDataFrame(rows, names)).collect()
     least = -((-4 * 256) // 9) - int(J._rest(np.array([128]))[0])
     assert sorted(map(tuple, found)) == sorted(p for p, met in (((1, 2), 2), ((3, 4), 1)) if met >= least)
+
+
+def _unlinked_copies(n):
+    """Texts that differ in more places than a link allows, and each the last by one word."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(n):
+        text = list(words)
+        for at in rng.sample(range(200), 4):
+            text[at] = f"x{i}"
+        texts.append(" ".join(text))
+    return texts + [texts[0] + f" y{i}" for i in range(n // 4)]
+
+
+def test_a_pair_meets_in_one_task_for_all_blocks_with_one_smallest_id(spark, monkeypatch):
+    texts = _unlinked_copies(320)
+    search, seen = J._search_blocks, []
+    monkeypatch.setattr(J, "_search_blocks", lambda cells: seen.extend(cells.drop("point").collect()) or search(cells))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in J.join(docs).collect()}
+    assert got == {i: c for i, (_, c) in brute(texts).items()}
+    first, cells = {}, {}
+    for r in seen:
+        first[r.key] = min(r.id, first.get(r.key, r.id))
+        cells.setdefault((r.route, r.key, r.one, r.two), []).append(r)
+    met = []  # the smallest id of the block, the pair and the route, wherever a pair meets
+    for (route, key, one, two), rows in cells.items():
+        labels, ids, parts = (np.array([getattr(r, c) for r in rows]) for c in ("label", "id", "part"))
+        meet = (labels[:, None] != labels) & (ids[:, None] < ids) & ((parts[:, None] != parts) if one != two else True)
+        a, b = np.nonzero(meet)
+        met.append(np.stack([np.full(len(a), first[key]), ids[a], ids[b], np.full(len(a), route)]))
+    met = np.unique(np.concatenate(met, axis=1), axis=1)
+    pairs = np.unique(met[:3], axis=1).shape[1]
+    assert met.shape[1] == pairs > 5000
+    assert max(np.unique([r.route for r in seen], return_counts=True)[1]) < len(seen) / 3
