@@ -389,9 +389,9 @@ def _cells(met: DataFrame) -> DataFrame:
     )
 
 
-def _blocks(rows: DataFrame, profiles: DataFrame, representatives: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, frequent: np.ndarray, representatives: DataFrame) -> DataFrame:
     """Stored rows (key, id, size, first): the blocks of two documents or more."""
-    keys = _keys(rows, _frequent(profiles, FREQUENT))
+    keys = _keys(rows, frequent)
     keyed = stage(keys.join(representatives.select("id"), "id", "left_semi"), "keyed")
     release(rows.sparkSession)
     whole = "OVER (PARTITION BY key)"  # a rare key has few documents
@@ -424,14 +424,18 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     aren't read.
     """
     rows = _rows(docs, id_col, text_col)
-    profiles = stage(_profiles(rows), "profiles").df
+    with_first = stage(_profiles(rows), "profiles_first")
+    frequent = _frequent(with_first.df, FREQUENT)
+    release(rows.sparkSession)  # the counts, and half of what the profiles take, are gone before keys are written
+    profiles = stage(with_first.df.drop("first"), "profiles").df
+    with_first.drop()
     filled = profiles.filter("print IS NOT NULL")
     classes = stage(
         filled.groupBy("print").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("class_size"), F.max("n").alias("n")),
         "classes",
     ).df
     representatives = classes.filter("id IS NOT NULL").select("id").distinct()
-    blocks = _blocks(rows, profiles, representatives)
+    blocks = _blocks(rows, frequent, representatives)
 
     # step 3: the head that a document shares most with, if that is enough to make a link likely
     sizes = profiles.groupBy("id").agg(F.max("n").alias("n"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from geocurate.llm import ngram_join as J
+from geocurate.runtime import path_exists
 
 
 def brute(texts):
@@ -153,3 +154,18 @@ def test_a_pair_meets_in_one_task_for_all_blocks_with_one_smallest_id(spark, mon
     pairs = np.unique(met[:3], axis=1).shape[1]
     assert met.shape[1] == pairs > 5000
     assert max(np.unique([r.route for r in seen], return_counts=True)[1]) < len(seen) / 3
+
+
+def test_first_shingles_leave_the_disk_before_keys_are_written(spark, monkeypatch):
+    stage, made, left = J.stage, [], {}
+
+    def watched(df, label):
+        left[label] = [s.path for s in made if "first" in s.df.columns and path_exists(spark, s.path)]
+        made.append(stage(df, label))
+        return made[-1]
+
+    monkeypatch.setattr(J, "stage", watched)
+    texts = corpus(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == brute(texts)
+    assert left["profiles"] and not left["keyed"]
