@@ -36,6 +36,8 @@ PROBES = 2
 MARGIN = 1e-7
 #: Query rows that are compared at once.
 ASKED_ROWS = 256
+#: Rows of a part whose largest score is looked at as one, and pairs whose scores are made in double precision at once.
+GROUP, EXACT_ROWS = 16, 1 << 16
 #: Rows of the database that a task holds, of any number, and rows of a split of the queries.
 PART_ROWS = 16_384
 
@@ -163,6 +165,7 @@ class _Side:
         lists = pa.concat_arrays([p.column("rows") for p in pieces])
         rows = lists.flatten()
         self.ids, self.u = B.column(rows, "id"), B.unit_rows(B.matrix(rows, "v"))
+        self.short = self.u.astype(np.float32)
         self.ends = np.cumsum(lists.value_lengths().to_numpy())
         self.starts = np.concatenate([[0], self.ends[:-1]])
         covers = [_covering(self.u[a:b]) for a, b in zip(self.starts, self.ends)]
@@ -172,15 +175,32 @@ class _Side:
         return np.flatnonzero(np.repeat(chosen, self.ends - self.starts))
 
 
-def _best(asked: np.ndarray, database: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Query row, database row and score of the k best of each query, with all that tie with the last; and the last's score."""
-    score = asked @ database.T
-    if score.shape[1] > k:
-        floor = -np.partition(-score, k - 1, axis=1)[:, k - 1]
+def _best(asked: np.ndarray, part: _Side, chosen: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Query row, row of the part and score of the k best of each query, with all that tie with the last; and what the last's score reaches.
+
+    *chosen* are the rows of the part that count.  A product in single precision, whose error is bounded, finds
+    the rows that can be among the best; only theirs are the scores in double precision.
+    """
+    short = part.short if chosen is None else part.short[chosen]
+    score = asked.astype(np.float32) @ short.T
+    error = (asked.shape[1] + 8) * 2.0**-24  # of unit vectors, with both roundings
+    n = score.shape[1]
+    if n < k:
+        floor = np.full(len(score), -2.0, np.float32)
     else:
-        floor = np.full(len(score), -2.0) if score.shape[1] < k else score.min(axis=1)
-    q, d = np.nonzero(score >= floor[:, None] - 1e-12)
-    return q, d, score[q, d], floor
+        # k groups of rows have a maximum that reaches the k-th largest one, so k rows do
+        width = n // GROUP if n // GROUP >= 8 * k else n
+        heads = score if width == n else score[:, :width].copy()
+        for i in range(1, GROUP if width < n else 1):
+            np.maximum(heads, score[:, i * width:(i + 1) * width], out=heads)
+        floor = np.partition(heads, width - k, axis=1)[:, width - k]
+    q, d = np.divmod(np.flatnonzero(score >= (floor - np.float32(3 * error))[:, None]), max(1, n))
+    d = d if chosen is None else chosen[d]
+    exact = np.empty(len(q))
+    for low in range(0, len(q), EXACT_ROWS):
+        own = slice(low, low + EXACT_ROWS)
+        exact[own] = np.einsum("ij,ij->i", asked[q[own]], part.u[d[own]])
+    return q, d, exact, floor.astype(np.float64) - error
 
 
 def _meet(asked: _Side, low: int, high: int, part: _Side, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -197,7 +217,8 @@ def _meet(asked: _Side, low: int, high: int, part: _Side, k: int) -> Iterator[tu
         probed = np.zeros(len(line), bool)
         probed[first] = True
         own = asked.u[asked.starts[at]:asked.ends[at]]
-        limits = [_best(own[a:a + ASKED_ROWS], part.u[part.rows_of(probed)], k)[3].min() for a in range(0, len(own), ASKED_ROWS)]
+        near = part.rows_of(probed)
+        limits = [_best(own[a:a + ASKED_ROWS], part, near, k)[3].min() for a in range(0, len(own), ASKED_ROWS)]
         limit = min(limits)
         reach = math.pi if limit < -1.5 else float(_angle(np.array(limit)))
         mask = probed | (line - part.cover - asked.cover[at] <= reach + MARGIN)
@@ -209,14 +230,13 @@ def _meet(asked: _Side, low: int, high: int, part: _Side, k: int) -> Iterator[tu
     else:
         work = [(slice(asked.starts[at], asked.ends[at]), part.rows_of(mask), int(mask.sum())) for at, mask in zip(range(low, high), masks)]
     for own, chosen, compared in work:
-        database, names = (part.u, part.ids) if chosen is None else (part.u[chosen], part.ids[chosen])
         for a in range(own.start, own.stop, ASKED_ROWS):
             b = min(a + ASKED_ROWS, own.stop)
-            q, d, score, _ = _best(asked.u[a:b], database, k)
-            order = np.lexsort((names[d], -score, q))  # of copies that tie, only those with the smallest ids
+            q, d, score, _ = _best(asked.u[a:b], part, chosen, k)
+            order = np.lexsort((part.ids[d], -score, q))  # of copies that tie, only those with the smallest ids
             q, d, score = q[order], d[order], score[order]
             kept = np.arange(len(q)) - np.searchsorted(q, q) < k
-            yield asked.ids[a:b][q[kept]], names[d[kept]], score[kept], compared if a == own.start else 0
+            yield asked.ids[a:b][q[kept]], part.ids[d[kept]], score[kept], compared if a == own.start else 0
 
 
 def _compared(asked: Blocks, blocks: Blocks, parts: int, splits: int, k: int) -> DataFrame:

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from geocurate.operators import pivots, retrieval
@@ -100,3 +101,23 @@ def test_written_rows_do_not_grow_with_pairs_of_blocks(spark, monkeypatch):
     found, _ = pivots.search(pivots.build(frame(spark, copies), rows=64), frame(spark, copies[:40], 5000), 3)
     assert set(map(tuple, ranks(found).values())) == {(0, 1, 2)}
     assert sum(counts) < 3 * (400 + 40 * 3)
+
+
+def test_most_scores_are_neither_ordered_nor_made_in_double_precision(spark):
+    """The k best of a part that nothing can be left out of, from a bound for each query."""
+    rng = np.random.default_rng(9)
+    d, q = rng.normal(size=(3000, 16)), rng.normal(size=(40, 16))
+    d[2000:2010] = d[5]
+    part, asked = side(d), side(q)
+    a, b, score, limit = pivots._best(asked.u, part, None, 7)
+    exact_score = asked.u @ part.u.T
+    assert np.allclose(score, exact_score[a, b], rtol=0, atol=1e-15) and len(a) < 40 * 40
+    last = np.sort(exact_score, axis=1)[:, -7]
+    assert (limit <= last).all() and (last - limit < 0.2).all()
+    best = [sorted(zip(-score[a == n], b[a == n]))[:7] for n in range(len(q))]
+    assert [[i for _, i in line] for line in best] == exact(q, d, 7)
+
+
+def side(x):
+    rows = pa.array([[{"id": i, "v": v.tolist()} for i, v in enumerate(x)]])
+    return pivots._Side([pa.RecordBatch.from_arrays([rows], ["rows"])])
