@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from geocurate import runtime
 from geocurate.operators import coherence, embed, places
+from geocurate.sources import sinks
 
 
 def images(spark, n=600):
@@ -40,3 +41,18 @@ def test_more_rows_are_more_tasks_with_the_same_result(spark, monkeypatch, step)
     df = step(images(spark))
     assert df.rdd.getNumPartitions() > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sorted(map(str, df.collect())) == before and before
+
+
+def test_large_partitions_are_cut(spark):
+    """A number of partitions that is given doesn't make a task's share grow with the input."""
+    df = spark.range(0, 40_000, 1, 16).select(F.col("id"), (F.col("id") % 7).alias("key"), F.md5(F.col("id").cast("string")).alias("text"))
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64k")
+        again = sinks.redealt(df, 5, "key")
+        shares = again.rdd.glom().map(len).collect()
+        assert len(shares) > 10 and max(shares) < 40_000 / 10 and sum(shares) == 40_000
+        assert sinks.fingerprint(again).first() == sinks.fingerprint(df).first()
+    finally:
+        spark.conf.set(key, before)
