@@ -184,7 +184,12 @@ def _bits_to_double(bits):
 
 
 def value_histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
-    """(bin, count) of one column: equal bins over [min, max], the last one closed."""
+    """(bin, count) of one column: equal bins over [min, max], the last one closed.
+
+    The column is written once: a sum that is taken again may add its rows in another order, and a lowest
+    value that differs in its last bit would leave the first bin.
+    """
+    df = stage(df.select(column), "histogram_values").df
     low = df.agg(F.min(column).cast("double")).scalar()
     high = df.agg(F.max(column).cast("double")).scalar()
     position = F.floor((F.col(column) - low) / (high - low) * bins)

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,18 @@ def test_samples(spark):
     assert profile.sample_places(df.drop("source"), 3).first()["source"] == "all"
     gallery = profile.sample_gallery(df, supergroups=1, places=2, images=1).collect()
     assert len(gallery) == 2 and len({r["supergroup_id"] for r in gallery}) == 1
+
+
+def test_value_histogram_of_values_whose_last_bits_vary(spark):
+    """Sums of doubles depend on the order of rows, which differs from one reading of a shuffle to the next."""
+
+    def vary(batches):
+        rng = np.random.default_rng()
+        for batch in batches:
+            v = batch.column(0).to_numpy() * (1 + 1e-12 * rng.uniform(-1, 1, batch.num_rows))
+            yield batch.set_column(0, "v", pa.array(v))
+
+    fixed = spark.range(0, 200, 1, 4).select((F.col("id") + 1000.5).alias("v"))
+    for _ in range(3):
+        got = sorted(map(tuple, pairs.value_histogram(fixed.mapInArrow(vary, fixed.schema), "v", 7).collect()))
+        assert [b for b, _ in got] == list(range(7)) and sum(n for _, n in got) == 200
