@@ -124,3 +124,34 @@ def test_radius_pairs_read_the_images_once_and_copy_queries_to_four_cells(spark,
         assert len(got) == len(set(got)) and set(got) == near(rows, radius)
         assert seen.value - before == len(rows)
     assert copies == ["spots", "cells"] * 3
+
+
+def test_crowded_cells_are_not_copied(spark, monkeypatch):
+    """30,000 images in a cell meet in one task: neither side is copied for fragments of the other."""
+    i, cells = F.col("id"), []
+    spot = F.when(i % 3 == 0, 18.0).otherwise(1.0) + (i % 100) / 100.0
+    df = spark.range(30_000).select(
+        i.alias("image_id"), (i % 3 == 0).alias("is_query"),
+        F.when(i == 0, 5.0).otherwise(spot).alias("utm_east"), F.when(i == 0, 5.0).otherwise(spot).alias("utm_north"),
+    )
+    stage = matches.stage
+
+    def kept(d, label):
+        made = stage(d, label)
+        cells.extend(made.df.collect() if label == "cells" else [])
+        return made
+
+    monkeypatch.setattr(matches, "stage", kept)
+    assert {tuple(r) for r in matches.radius_pairs(df, 10.0).collect()} == {(0, d) for d in range(30_000) if d % 3}
+    assert cells and {(c["fd"], c["fq"]) for c in cells} == {(1, 1)}
+
+
+def test_strips_hold_every_pair_within_the_radius(spark):
+    rng = np.random.default_rng(3)
+    e, n = (np.round(rng.normal(0, 12, 4000), 1) + 551000 for _ in range(2))
+    odd = [(4000, False, float("nan"), 551000.0), (4001, True, float("inf"), 551000.0), (4002, False, float("inf"), 551000.0)]
+    rows = [(k, bool(k % 5 == 0), float(a), float(b)) for k, (a, b) in enumerate(zip(e, n))]
+    df = spark.createDataFrame(rows + odd, "image_id long, is_query boolean, utm_east double, utm_north double")
+    for radius, cell_rows in ((5.0, 1 << 18), (0.5, 300), (0.0, 1 << 18)):
+        got = [tuple(r) for r in matches.radius_pairs(df, radius, cell_rows).collect()]
+        assert len(got) == len(set(got)) and set(got) == near(rows, radius) and got
