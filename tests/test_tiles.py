@@ -2,7 +2,7 @@
 
 import pytest
 
-from geocurate.operators import blocks, mining
+from geocurate.operators import blocks, mining, tiles
 from tests.test_batches import brute_force, samples
 
 
@@ -70,3 +70,18 @@ def test_losses_of_batches_without_pairs_are_zero(spark):
         "batch_id long, sample_id long, label long, embedding array<double>",
     )
     assert sorted(mining.mined_loss(df).collect()) == [(0, 0.0), (1, 0.0)]
+
+
+def test_copies_don_t_grow_with_the_input(spark, monkeypatch):
+    """More rows are larger parts, until they fill a task, and not more copies of each row."""
+    assert [tiles.held_rows(64, n, 12) for n in (1_000, 100_000, 615_384, 10 ** 8)] == [8_192, 8_192, 25_641, 125_000]
+    assert tiles.held_rows(8_000, 10 ** 6, 12) == 1_000
+    rows, df = samples(spark, n=150, batches_=1)
+    found, stage = [], tiles.stage
+    monkeypatch.setattr(tiles, "HELD_ROWS", 2)
+    monkeypatch.setattr(tiles, "CORE_PARTS", 4 / spark.sparkContext.defaultParallelism)
+    monkeypatch.setattr(tiles, "stage", lambda d, label: found.append(label) or stage(d, label))
+    pairs = mining.mine_pairs(df, 0.1)
+    assert {(r["anchor_id"], r["other_id"], r["positive"]) for r in pairs.collect()} == brute_force(rows, 0.1)[0]
+    parts = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "38.0" in parts and set(found) == {"part_counts"}
